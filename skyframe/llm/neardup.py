@@ -21,6 +21,8 @@ BANDS, ROWS = 20, 5
 BLOCK = 1024
 #: Neighbours that a document names in a bucket.
 NAMED = 3
+#: Most keys of texts that are sent to all tasks: 16 bytes each.
+SENT = 1_000_000
 
 
 def weighted(raw: np.ndarray, at: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
@@ -184,15 +186,13 @@ def near_duplicates(
     key = F.when(has, F.unhex(F.md5(F.col(text_col))))
     d = docs.select(F.col(id_col).alias("_id"), key.alias("_key"), F.col(text_col).alias("text"))
     ids = table(d.select("_id", "_key"), "ids")
-    # one row of each text is enough; which one does not matter, as equal keys have equal texts
+    # the text with the least id stands for its copies
     rep = ids.where("_key is not null").groupBy("_key").agg(F.min("_id").alias("rep"), F.count("*").alias("copies"))
     rep = table(rep, "texts")
-    one = d.join(rep, (d["_key"] == rep["_key"]) & d["_id"].eqNullSafe(rep["rep"])).select(d["_key"].alias("key"), "text")
-    sigs = table(signatures(one, k), "signatures")
-    # repeated rows of one id gave the same signature twice
-    sigs = sigs.join(rep.where("copies > 1").select(F.col("_key").alias("key")), "key", "left_anti").union(
-        sigs.join(rep.where("copies > 1").select(F.col("_key").alias("key")), "key", "left_semi").dropDuplicates(["key"])
-    )
+    # signatures are shorter than texts: all rows get one where they are read, and copies go after that
+    sigs = table(signatures(d.where("_key is not null").select(F.col("_key").alias("key"), "text"), k), "signatures")
+    twice = rep.where("copies > 1").select(F.col("_key").alias("key"))
+    sigs = sigs.join(twice, "key", "left_anti").union(sigs.join(twice, "key", "left_semi").groupBy("key").agg(F.min("sig").alias("sig")))
     band = band_table(sigs, bands, rows)
     sizes = band.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("any")).where("size > 1").select("bucket", "size")
     member = table(band.join(sizes, "bucket"), "members")
@@ -210,10 +210,16 @@ def near_duplicates(
     sigma = math.sqrt(similarity * (1 - similarity) / k)
     named = candidates(dealt, k, similarity - 4 * sigma).where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     named = table(named, "pairs")
-    side = lambda c, t: one.dropDuplicates(["key"]).select(F.col("key").alias(c), F.col("text").alias(t)).join(named.select(c).distinct(), c, "left_semi")
+    # texts to verify: while their keys are few, these are sent to where the texts are read, else both are shuffled
+    wanted = table(named.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= SENT else wanted
+    both = d.select(F.col("_key").alias("key"), "text").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    both = table(both, "verify")
+    side = lambda c, t: both.select(F.col("key").alias(c), F.col("text").alias(t))
     pairs = named.join(side("u", "tu"), "u").join(side("v", "tv"), "v")
     links = table(similar(pairs, similarity), "links")
     drop(named)
+    drop(both)
     classes = table(components(links), "classes")
     of = rep.join(classes, rep["_key"] == classes["node"], "left").select(rep["_key"].alias("k"), F.coalesce("component", rep["_key"]).alias("c"), "rep", "copies")
     of = table(of, "membership")
