@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import json
 import os
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -19,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from ..format import tables as tb
 from ..format.header import Header
 from ..format.status import FitsError
+from ..functions import checksum as sums
 from . import files
 
 #: Bytes of rows or pixels that one partition reads, and that one batch holds.
@@ -279,8 +281,6 @@ class FitsWriter(DataSourceArrowWriter):
         return out.tobytes()
 
     def commit(self, messages: list) -> None:
-        import shutil
-
         parts = [m for m in messages if m is not None]
         gz = self.options.get("compression") == "gzip"
         single = self.options.get("single") == "true"
@@ -324,15 +324,11 @@ class FitsWriter(DataSourceArrowWriter):
                     body.write(data)
         body.write((b" " if self.ascii else b"\0") * (-body.tell() % 2880))
         if self.options.get("checksum") == "true":
-            from ..functions.checksum import seal
-
             total = 0
             body.seek(0)
-            from ..functions.checksum import add
-
             while data := body.read(2880 * 4096):
-                total = add(total, data)
-            h = seal(h, total)
+                total = sums.add(total, data)
+            h = sums.seal(h, total)
         out = gzip.open(name, "wb", 6) if gz else open(name, "wb")
         with out:
             out.write(tb.empty_primary())
@@ -343,8 +339,6 @@ class FitsWriter(DataSourceArrowWriter):
         body.close()
 
     def abort(self, messages: list) -> None:
-        import shutil
-
         shutil.rmtree(self.stage, ignore_errors=True)
 
 
