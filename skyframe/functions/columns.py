@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,8 +101,6 @@ def with_null(stored: Column, null: int) -> Column:
 
 def number_text(x: Column, decimals: int, exponent: bool) -> Column:
     """As C writes it: ties go to the even digit, which Java's formatter does not."""
-    import pandas as pd
-
     code = "E" if exponent else "f"
 
     @F.pandas_udf("string")
@@ -212,8 +213,6 @@ def pix_to_world(x: Column, y: Column, ref: tuple[float, float], pix: tuple[floa
 
 def world_to_pix(lon: Column, lat: Column, ref: tuple[float, float], pix: tuple[float, float], inc: tuple[float, float], rot: float = 0.0, projection: str = "-TAN") -> tuple[Column, Column]:
     """The inverse; a point behind the tangent plane raises 501."""
-    import math
-
     ra0, dec0 = ref[0] * D2R, ref[1] * D2R
     if projection[-3:] == "CAR":
         dx, dy = (lon - ref[0]), (lat - ref[1])

@@ -1,4 +1,350 @@
 """Registered queries by name, and their SQL twins."""
 
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..codecs import tiles as codec
+from ..functions import checksum
+from ..functions import columns as C
+from ..operators import edits, tiles
+from ..sources import files
+from ..sources.fits import read_fits, write_fits, write_image
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path for a file, in the folder that the cluster shares if there is one."""
+    base = files.local(spark.conf.get("spark.checkpoint.dir", None) or "") or tempfile.mkdtemp(prefix="skyframe-")
+    os.makedirs(base, exist_ok=True)
+    return f"{base}/fits-{uuid.uuid4().hex}"
+
+
+LINE = {"l_returnflag": "1A", "l_linestatus": "1A"}
+NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
+
+def round_trip(df: DataFrame, read: dict | None = None, **options) -> DataFrame:
+    path = scratch(df.sparkSession)
+    write_fits(df, path, **options)
+    return read_fits(df.sparkSession, path, **(read or {}))
+
+
+@query(f"SELECT {', '.join(NUMBERS)}, epoch_us(l_shipdate)::BIGINT AS l_shipdate FROM lineitem")
+def bintable_scan(spark, sf):
+    return round_trip(table(spark, sf, "lineitem").select(*NUMBERS, "l_shipdate"), tform=LINE)
+
+
+@query("SELECT l_returnflag, count(*)::BIGINT AS n, sum(l_quantity)::DOUBLE AS quantity, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem WHERE l_quantity < 30 GROUP BY 1")
+def bintable_filter_agg(spark, sf):
+    d = round_trip(table(spark, sf, "lineitem").select(*NUMBERS), {"columns": "l_returnflag,l_quantity,l_extendedprice"}, tform=LINE)
+    return d.where("l_quantity < 30").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
+
+
+@query("SELECT row::BIGINT AS row, o_orderkey FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS row, o_orderkey FROM orders) WHERE row BETWEEN 101 AND 250")
+def bintable_row_range(spark, sf):
+    d = round_trip(table(spark, sf, "orders").select("o_orderkey").coalesce(1).sortWithinPartitions("o_orderkey"), {"rowid": "true"}, single=True)
+    return d.where("_row between 101 and 250").withColumnRenamed("_row", "row")
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, round(s_acctbal, 2) AS s_acctbal FROM supplier")
+def asciitable_roundtrip(spark, sf):
+    return round_trip(table(spark, sf, "supplier"), kind="ascii", tform={"s_suppkey": "I12", "s_name": "A25", "s_nationkey": "I4", "s_acctbal": "F14.2"})
+
+
+@query("SELECT * FROM nation")
+def gzip_roundtrip(spark, sf):
+    return round_trip(table(spark, sf, "nation"), compression="gzip", tform={"n_name": "25A"})
+
+
+@query("SELECT l_orderkey, l_linenumber, l_linestatus = 'O' AS open, l_linestatus = 'O' AS bit1, l_returnflag = 'R' AS bit2 FROM lineitem")
+def bool_bit_roundtrip(spark, sf):
+    d = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_linestatus") == "O").alias("open"), F.array(F.col("l_linestatus") == "O", F.col("l_returnflag") == "R").alias("bits"))
+    return round_trip(d, tform={"bits": "2X"}).select("l_orderkey", "l_linenumber", "open", F.col("bits")[0].alias("bit1"), F.col("bits")[1].alias("bit2"))
+
+
+@query("SELECT l_orderkey, l_linenumber, nullif(l_quantity, 50)::INTEGER AS q FROM lineitem")
+def null_tnull_roundtrip(spark, sf):
+    return round_trip(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.expr("nullif(l_quantity, 50)").cast("int").alias("q")), tnull={"q": -1})
+
+
+@query("SELECT p_partkey, (p_size - 25)::TINYINT AS s, (p_size + 40000)::INTEGER AS u, (p_partkey + 3000000000)::BIGINT AS v, ((p_partkey::DECIMAL(20, 0) + 9223372036854775808)::DECIMAL(20, 0))::VARCHAR AS w FROM part")
+def unsigned_offset(spark, sf):
+    p = table(spark, sf, "part")
+    d = p.select("p_partkey", (F.col("p_size") - 25).cast("byte").alias("s"), (F.col("p_size") + 40000).alias("u"), (F.col("p_partkey") + 3000000000).alias("v"), (F.col("p_partkey").cast("decimal(19,0)") + F.expr("9223372036854775808BD")).cast("decimal(20,0)").alias("w"))
+    return round_trip(d, tform={"s": "1S", "u": "1U", "v": "1V", "w": "1W"}).withColumn("w", F.col("w").cast("string"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_discount - 0.05) / 0.01)::BIGINT AS stored, round(round((l_discount - 0.05) / 0.01) * 0.01 + 0.05, 6) AS physical FROM lineitem")
+def linear_scale_i16(spark, sf):
+    d = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", C.to_stored(F.col("l_discount"), 0.01, 0.05).alias("stored"))
+    return d.withColumn("physical", F.round(C.to_physical(F.col("stored"), 0.01, 0.05), 6))
+
+
+@query("SELECT vec_id, label, unnest(range(1, 65))::INTEGER AS elem, unnest(embedding)::FLOAT AS elem_value FROM embeddings")
+def vector_explode(spark, sf):
+    d = round_trip(table(spark, sf, "embeddings"), tform={"embedding": "64E"}, tdim={"embedding": "(8,8)"})
+    return C.explode_cells(d, "embedding").select("vec_id", "label", "elem", "elem_value")
+
+
+@query("SELECT e::BIGINT AS e, ((e - 1) % 8 + 1)::BIGINT AS x, ((e - 1) // 8 + 1)::BIGINT AS y, e::BIGINT AS back FROM range(1, 65) t(e)")
+def tdim_index(spark, sf):
+    d = spark.range(1, 65).withColumnRenamed("id", "e")
+    x, y = C.tdim_coords([8, 8], F.col("e"))
+    d = d.withColumns({"x": x, "y": y})
+    return d.withColumn("back", C.tdim_elem([8, 8], [F.col("x"), F.col("y")]))
+
+
+@query("SELECT l_orderkey, unnest(list(l_quantity ORDER BY l_linenumber, l_quantity)) AS q, unnest(range(1, count(*) + 1))::INTEGER AS n FROM lineitem GROUP BY l_orderkey")
+def vla_roundtrip(spark, sf):
+    pairs = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity")))
+    d = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(pairs, lambda x: x["l_quantity"]).alias("q"))
+    return round_trip(d, tform={"q": "1PD"}).select("l_orderkey", F.posexplode("q").alias("n", "q")).withColumn("n", F.col("n") + 1)
+
+
+@query("SELECT row::BIGINT AS row, key FROM (SELECT row_number() OVER (ORDER BY n_nationkey) + CASE WHEN row_number() OVER (ORDER BY n_nationkey) > 5 THEN 2 ELSE 0 END AS row, n_nationkey AS key FROM nation UNION ALL VALUES (6, NULL), (7, NULL)) WHERE row < 20")
+def row_insert_delete(spark, sf):
+    n = table(spark, sf, "nation").select(F.row_number().over(Window.orderBy("n_nationkey")).cast("long").alias("_row"), F.col("n_nationkey").alias("key"))
+    return edits.delete_rows(edits.insert_rows(n, 5, 2), 20, 100).withColumnRenamed("_row", "row")
+
+
+@query("SELECT l_shipdate, l_orderkey FROM lineitem")
+def col_glob(spark, sf):
+    d = table(spark, sf, "lineitem")
+    return d.select(*edits.find_columns(d, "L_SHIP*"), edits.find_column(d, "l_orderk?y"))
+
+
+@query("SELECT c_custkey, rpad('CUSTKEY = ' || lpad(c_custkey::VARCHAR, 20, ' ') || ' / key', 80, ' ') AS num, rpad('NAME    = ''' || rpad(c_name, greatest(8, length(c_name))::INTEGER, ' ') || '''', 80, ' ') AS str FROM customer")
+def card_format(spark, sf):
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", C.card(F.lit("CUSTKEY"), F.col("c_custkey").cast("string"), F.lit("key")).alias("num"), C.card(F.lit("NAME"), C.quote(F.col("c_name"))).alias("str"))
+
+
+@query("SELECT c_custkey, 'NAME' AS keyword, c_name AS value, 'of ' || c_mktsegment AS comment, 150 AS class FROM customer")
+def card_parse(spark, sf):
+    c = table(spark, sf, "customer").withColumn("card", C.card(F.lit("NAME"), C.quote(F.col("c_name")), F.concat(F.lit("of "), "c_mktsegment")))
+    card = F.col("card")
+    return c.select("c_custkey", C.card_keyword(card).alias("keyword"), C.unquote(C.card_value(card)).alias("value"), C.card_comment(card).alias("comment"), C.key_class(card).alias("class"))
+
+
+KEYS = [("SIMPLE", 10), ("ZIMAGE", 20), ("TSCAL1", 30), ("TNULL3", 40), ("TDIM2", 50), ("DATAMAX", 60), ("TUNIT9", 70), ("TDISP1", 80), ("EXTNAME", 90), ("CHECKSUM", 100), ("CRVAL1", 110), ("DATE-OBS", 120), ("COMMENT", 130), ("CONTINUE", 140), ("OBJECT", 150)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {c})" for k, c in KEYS) + ") t(keyword, class)")
+def key_class(spark, sf):
+    return spark.createDataFrame([(k,) for k, _ in KEYS], "keyword string").withColumn("class", C.key_class(F.col("keyword")))
+
+
+@query("SELECT doc_id, i::INTEGER AS n, 'COMMENT ' || substr(text, (i - 1) * 72 + 1, 72) AS card FROM (SELECT doc_id, text, unnest(range(1, greatest(ceil(length(text) / 72.0)::INTEGER, 1) + 1)) AS i FROM documents)")
+def comment_chunks(spark, sf):
+    return C.comment_chunks(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", F.col("n").cast("int"), "card")
+
+
+@query("SELECT o_orderkey, printf('%.5E', o_totalprice) AS e, printf('%.1f', o_totalprice) AS f FROM orders")
+def number_format(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", C.number_text(F.col("o_totalprice"), 5, True).alias("e"), C.number_text(F.col("o_totalprice"), 1, False).alias("f"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS date, true AS valid FROM orders")
+def fits_datetime(spark, sf):
+    d = table(spark, sf, "orders").select("o_orderkey", C.fits_datetime(F.floor(F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1000000)).alias("date"))
+    return d.withColumn("valid", C.is_fits_date(F.col("date")))
+
+
+IMAGE = "SELECT row_number() OVER (ORDER BY p_partkey) AS pix, p_size AS value FROM part"
+
+
+def part_image(spark, sf) -> DataFrame:
+    """Sizes of parts in order of their dense key from 0: pixel numbers without a window over all rows."""
+    return table(spark, sf, "part").select((F.col("p_partkey") + 1).alias("_pix"), F.col("p_size").alias("value"))
+
+
+@query("SELECT (p_partkey + 1)::BIGINT AS pix, (p_size + 40000)::INTEGER AS value FROM part")
+def image_write_read_u16(spark, sf):
+    d, path = part_image(spark, sf), scratch(spark)
+    n = d.agg(F.max("_pix")).first()[0]
+    write_image(d.withColumn("value", F.col("value") + 40000), path, [n], "u16")
+    return read_fits(spark, path, hdu=1).select(F.col("_pix").alias("pix"), "value")
+
+
+@query("SELECT min(p_retailprice::FLOAT) AS low, max(p_retailprice::FLOAT) AS high, count(*)::BIGINT AS n FROM part")
+def image_minmax_f32(spark, sf):
+    d, path = table(spark, sf, "part").select((F.col("p_partkey") + 1).alias("_pix"), F.col("p_retailprice").alias("value")), scratch(spark)
+    n = d.agg(F.max("_pix")).first()[0]
+    write_image(d, path, [n], "f32")
+    return read_fits(spark, path, hdu=1).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
+
+
+GRID = "SELECT p_partkey, p_size, p_partkey % 50 AS x, p_partkey // 50 AS y FROM part"
+
+
+@query(f"SELECT ((x // 16) + 4 * (y // 8) + 1)::BIGINT AS tile, sum(p_size)::BIGINT AS total, count(*)::BIGINT AS n FROM ({GRID}) GROUP BY 1")
+def tile_enumerate(spark, sf):
+    d = part_image(spark, sf)
+    rows = d.agg(F.ceil(F.max("_pix") / 50)).first()[0]
+    number, _ = tiles.tile_of(F.col("_pix"), [50, rows], [16, 8])
+    return d.groupBy(number.alias("tile")).agg(F.sum("value").alias("total"), F.count("*").alias("n"))
+
+
+def _codec(name: str, bytepix: int):
+    @query("SELECT (p_partkey + 1)::BIGINT AS pix, p_size::BIGINT AS value FROM part WHERE p_partkey // 50 < (SELECT (max(p_partkey) + 1) // 50 FROM part)")
+    def f(spark, sf):
+        d = part_image(spark, sf)
+        rows = d.agg(F.floor(F.max("_pix") / 50)).first()[0]
+        axes, shape = [50, rows], [50, 8]
+        cut = tiles.gather(d.where(F.col("_pix") <= 50 * rows), axes, shape)
+        back = tiles.decompress(tiles.compress(cut, name, bytepix), name, bytepix)
+        return tiles.scatter(back, axes, shape).withColumnRenamed("_pix", "pix")
+
+    return f
+
+
+for _name, _bytes in (("RICE_1", 2), ("GZIP_1", 4), ("GZIP_2", 4), ("PLIO_1", 4), ("NOCOMPRESS", 2)):
+    QUERIES.pop("f", None)
+    _f = _codec(_name, _bytes)
+    QUERIES[f"tile_{_name.lower()}"] = QUERIES.pop("f")
+    ORACLE_SQL[f"tile_{_name.lower()}"] = ORACLE_SQL.pop("f")
+
+
+@query()
+def quantize_roundtrip(spark, sf):
+    """The largest error of each tile in steps: half a step at most."""
+    d = table(spark, sf, "part").select((F.col("p_partkey") + 1).alias("_pix"), F.col("p_retailprice").alias("value"))
+    rows = d.agg(F.floor(F.max("_pix") / 50)).first()[0]
+    cut = tiles.gather(d.where(F.col("_pix") <= 50 * rows), [50, rows], [50, 1])
+    q = tiles.quantize(cut)
+    back = tiles.dequantize(q).withColumnRenamed("values", "back")
+    off = F.array_max(F.zip_with("values", "back", lambda a, b: F.abs(a - b)))
+    return cut.join(back, "tile").join(q.select("tile", "step"), "tile").select("tile", (off <= F.coalesce(F.col("step"), F.lit(0.0)) * 0.5000001).alias("close"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_quantity - lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)) AS diff FROM lineitem")
+def adjacent_diff(spark, sf):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity") - F.lag("l_quantity").over(w)).alias("diff"))
+
+
+@query()
+def dither_table(spark, sf):
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(codec.dither_table())], "i int, value double")
+
+
+@query("SELECT l_returnflag, CASE WHEN sum(l_orderkey) = 0 THEN 0 ELSE ((sum(l_orderkey * 65536 + l_partkey) - 1) % 4294967295 + 1) END::BIGINT AS sum FROM lineitem GROUP BY 1")
+def checksum_words(spark, sf):
+    d = table(spark, sf, "lineitem")
+    return d.groupBy("l_returnflag").agg(checksum.fold_column(F.sum(F.col("l_orderkey") * 65536 + F.col("l_partkey"))).alias("sum"))
+
+
+@query("SELECT o_orderkey, o_orderkey * 4093 % 4294967295 AS value FROM orders")
+def checksum_text(spark, sf):
+    @F.pandas_udf("string")
+    def text(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: checksum.encode(int(v)))
+
+    d = table(spark, sf, "orders").select("o_orderkey", text(F.col("o_orderkey") * 4093 % 4294967295).alias("t"))
+    return d.select("o_orderkey", checksum.decode_column(F.col("t")).alias("value"))
+
+
+REF = {"ref": (45.83, 63.57), "pix": (256.0, 257.0), "inc": (-0.00277777, 0.00277777)}
+_A = "0.01745329252"
+_TAN = f"""SELECT p_partkey, (p_size - 256.0) * -0.00277777 * {_A} AS l, (p_partkey % 512 - 257.0) * 0.00277777 * {_A} AS m, 45.83 * {_A} AS ra0, 63.57 * {_A} AS dec0 FROM part"""
+_XYZ = f"SELECT p_partkey, cos(dec0) * cos(ra0) - l * sin(ra0) - m * cos(ra0) * sin(dec0) AS a, cos(dec0) * sin(ra0) + l * cos(ra0) - m * sin(ra0) * sin(dec0) AS b, sin(dec0) + m * cos(dec0) AS z FROM ({_TAN})"
+
+
+@query(f"SELECT p_partkey, round(atan2(b, a) / {_A}, 8) AS lon, round(atan(z / sqrt(a * a + b * b)) / {_A}, 8) AS lat FROM ({_XYZ})")
+def wcs_tan(spark, sf):
+    lon, lat = C.pix_to_world(F.col("p_size"), F.col("p_partkey") % 512, **REF)
+    return table(spark, sf, "part").select("p_partkey", F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"))
+
+
+@query("SELECT p_partkey, p_size::DOUBLE AS x, (p_partkey % 512)::DOUBLE AS y FROM part")
+def wcs_inverse(spark, sf):
+    d = table(spark, sf, "part")
+    lon, lat = C.pix_to_world(F.col("p_size"), F.col("p_partkey") % 512, **REF)
+    x, y = C.world_to_pix(F.col("lon"), F.col("lat"), **REF)
+    return d.select("p_partkey", lon.alias("lon"), lat.alias("lat")).select("p_partkey", (F.round(x, 5) + 0.0).alias("x"), (F.abs(F.round(y, 5)) + 0.0).alias("y"))
+
+
+@query(f"SELECT p_partkey, round((45.83 * {_A} + (p_size - 256.0) * -0.00277777 * {_A}) / {_A}, 8) AS lon, round((63.57 * {_A} + (p_partkey % 512 - 257.0) * 0.00277777 * {_A}) / {_A}, 8) AS lat FROM part")
+def wcs_car(spark, sf):
+    lon, lat = C.pix_to_world(F.col("p_size"), F.col("p_partkey") % 512, projection="-CAR", **REF)
+    return table(spark, sf, "part").select("p_partkey", F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"))
+
+
+def _nbit(n: int):
+    @query(f"SELECT (event_id // {8 // n})::BIGINT AS byte_index, sum((event_id % {1 << n}) * (1 << ({8 - n} - {n} * (event_id % {8 // n})))::BIGINT)::BIGINT AS byte FROM events GROUP BY 1")
+    def packed(spark, sf):
+        return C.pack(table(spark, sf, "events").select("event_id", (F.col("event_id") % (1 << n)).alias("s")), "event_id", "s", n)
+
+    @query(f"SELECT e::BIGINT AS sample_index, CASE WHEN e % {1 << n} >= {1 << (n - 1)} AND {n} > 1 THEN e % {1 << n} - {1 << n} ELSE e % {1 << n} END::BIGINT AS sample FROM (SELECT unnest(range(0, (SELECT (max(event_id) // {8 // n} + 1) * {8 // n} FROM events))) AS e) WHERE e <= (SELECT max(event_id) FROM events)")
+    def unpacked(spark, sf):
+        out = C.unpack(packed(spark, sf), "byte_index", "byte", n)
+        most = table(spark, sf, "events").agg(F.max("event_id")).first()[0]
+        return out.where(F.col("sample_index") <= most).select("sample_index", (C.signed(F.col("sample"), n) if n > 1 else F.col("sample")).alias("sample"))
+
+    for f in (packed, unpacked):
+        for d in (QUERIES, ORACLE_SQL):
+            d[f"nbit_{f.__name__}_{n}"] = d.pop(f.__name__)
+
+
+for _n in (1, 2, 4, 8):
+    _nbit(_n)
+
+
+@query("SELECT vec_id, i - 1 AS i, plane, plane % 4 AS chan, round((v * 100 - 2) * (plane + 0.5) + plane * 10, 3) AS physical FROM (SELECT vec_id, i, (i - 1) // 8 AS plane, embedding[i]::DOUBLE AS v FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings))")
+def cube_scale_fold(spark, sf):
+    """Cells of 64 as (8 bins, 4 channels, 2 polarisations), calibrated by plane."""
+    d = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    plane, chan = C.fold_index(F.col("i"), 8, 4)
+    d = d.select("vec_id", F.col("i").cast("long").alias("i"), plane.alias("plane"), chan.alias("chan"), F.col("v").cast("double").alias("v"))
+    raw = F.col("v") * 100
+    return d.select("vec_id", "i", "plane", "chan", F.round(C.calibrate(raw, F.col("plane") + 0.5, F.col("plane") * 10, 2), 3).alias("physical"))
+
+
+@query("SELECT (e)::BIGINT AS i, (e % 8)::BIGINT AS plane, (e % 4)::BIGINT AS chan FROM range(0, 64) t(e)")
+def cube_index_search(spark, sf):
+    plane, chan = C.search_index(F.col("id"), 4, 2)
+    return spark.range(64).select(F.col("id").alias("i"), plane.alias("plane"), chan.alias("chan"))
+
+
+@query("SELECT code::INTEGER AS code, text FROM (VALUES (0, 'OK - no error'), (104, 'could not open the named file'), (412, 'datatype conversion overflow'), (600, 'unknown error status')) t(code, text)")
+def status_text(spark, sf):
+    return spark.createDataFrame([(c,) for c in (0, 104, 412, 600)], "code int").withColumn("text", C.status_text(F.col("code")))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def hdu_surgery(spark, sf):
+    """The nation table copied behind others, and these deleted."""
+    path = scratch(spark)
+    write_fits(table(spark, sf, "nation"), path, single=True, tform={"n_name": "25A"})
+    a, b = edits.Container.open(path), edits.Container()
+    a.copy(2, b)
+    b.insert(1, a.units[0][0])
+    b.delete(2)
+    out = scratch(spark)
+    with open(out, "wb") as f:
+        f.write(b.to_bytes())
+    return read_fits(spark, out)
