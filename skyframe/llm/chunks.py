@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_arrow_batches, table
+from .store import SENT, drop, sent, small_arrow_batches, table
 from .textkit import Powers, Prefixes, U, mix, texts, words
 
 #: Bytes that the rolling hash at a place depends on, words on either side of a cut without another, words of the longest chunk.
@@ -53,22 +53,26 @@ def cut(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """(key, owner, n, a, b) of each chunk: its number in the text and a digest of 128 bits. docs: key, owner, text."""
+    """(k, l, n, w, a, b) of each chunk: 96 bits of its text's key, its number in the text, its words, and a digest of 96
+    bits. docs: key, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            keys, owners = batch.column(0), batch.column(1)
-            for first, raw, at in texts(batch.column(2)):
+            keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">i8,>i4,>i4")
+            for first, raw, at in texts(batch.column(1)):
                 s, e, rows = cut(raw, at)
                 p, q = Prefixes(raw, powers), Prefixes(mix(raw.astype(U) + U(1)), powers)
                 size = (e - s).astype(U)
                 a, b = mix(p.of(s, e) ^ mix(size)), mix(q.of(s, e) + size)
                 n = np.arange(len(s)) - np.searchsorted(rows, rows)
-                take = pa.array(rows + first)
-                yield pa.RecordBatch.from_arrays([keys.take(take), owners.take(take), pa.array(n.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["key", "owner", "n", "a", "b"])
+                starts, _, _ = words(raw, at)
+                w = np.diff(np.searchsorted(starts, np.append(s, len(raw))))
+                k = keys[rows + first]
+                arrays = (k["f0"].astype(np.int64), k["f1"].astype(np.int32), n.astype(np.int32), w.astype(np.int8), a.view(np.int64), (b >> U(32)).astype(np.uint32).view(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["k", "l", "n", "w", "a", "b"])
 
-    return docs.select("key", "owner", "text").mapInArrow(run, "key binary, owner long, n int, a long, b long")
+    return docs.select("key", "text").mapInArrow(run, "k long, l int, n int, w byte, a long, b int")
 
 
 def removed_runs(docs: DataFrame, min_words: int) -> DataFrame:
@@ -105,32 +109,43 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """All columns of docs and _kept_text, _n_removed: passages that stand earlier in the corpus are cut out of each text.
 
     Texts are cut into chunks of 4 to 64 words, 7 on average, where a gear rolling hash says. A chunk is a repeat unless it is
-    the first with its digest, in order of (least id of the text, text, place). Maximal runs of repeats of min_words words
+    the first with its digest, in order of the texts' own digests and of place. Maximal runs of repeats of min_words words
     or more are removed. Chunks at the edges of a passage may survive; a run of 50 repeated words loses its inside.
 
     Equal texts count as one: the copy with the least id is kept like any text and the others are removed whole if they
     have min_words words. Rows that repeat id and text share one result. Null ids come last. Null texts stay null, empty ones empty.
 
-    Only digests are shuffled with the places of chunks; texts go through one join, and only those with repeats. A digest's first
-    place is found with a minimum on the map side; its repeats are dealt by the skew join of adaptive execution.
+    Only digests, 96 bits for a chunk and for a text, are shuffled; a digest's first place is found with a minimum on the map side
+    and its repeats are dealt by the skew join of adaptive execution. Texts are joined to what is small while it is: copies are
+    left out and repeats looked up where texts are read; see store.sent().
     """
     small_arrow_batches(docs.sparkSession)
     key = F.unhex(F.md5(F.col(text_col)))
     d = docs.withColumns({"_key": key, "_order": F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)).cast("long")})
-    owners = table(d.where("_key is not null").groupBy("_key").agg(F.min("_order").alias("owner"), F.count("*").alias("copies")), "owners")
-    slim = d.select("_key", "_order", F.col(text_col).alias("text"))
-    # one row of each text: the owner's, of which repeated rows are dropped after the chunks are cut
-    mine = slim.join(owners, (slim["_key"] == owners["_key"]) & (slim["_order"] == owners["owner"])).select(slim["_key"].alias("key"), "owner", "text")
+    copied = d.where("_key is not null").groupBy("_key").agg(F.min("_order").alias("_owner"), F.count("*").alias("n")).where("n > 1").select("_key", "_owner")
+    copied = table(copied, "copies")
+    owned = d.join(sent(copied), "_key", "left")
+    # all copies but the owner's are left out; of rows that repeat id and text each is cut, and the chunks are counted by place
+    mine = owned.where("_key is not null and (_owner is null or _owner = _order)").select(F.col("_key").alias("key"), F.col(text_col).alias("text"))
     chunks = table(chunk_table(mine), "chunks")
-    order = F.struct("owner", "key", "n")
-    first = chunks.groupBy("a", "b").agg(F.min(order).alias("first"), F.max(order).alias("last")).where(F.col("first") != F.col("last")).select("a", "b", "first")
-    again = chunks.join(first, ["a", "b"]).where(order != F.col("first"))
-    marks = table(again.groupBy("key").agg(F.collect_set("n").alias("dup")), "repeats")
-    own = mine.join(marks, "key").dropDuplicates(["key"])
-    texts_ = table(removed_runs(own.select("key", "dup", "text"), min_words).where("n_removed > 0"), "kept")
-    d = d.join(owners.select("_key", "owner", "copies"), "_key", "left").join(texts_.withColumnRenamed("key", "_key"), "_key", "left")
+    place = F.struct("k", "l", "n")
+    first = chunks.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("a", "b", "first")
+    again = chunks.join(first, ["a", "b"]).where(place != F.col("first"))
+    marks = again.groupBy("k", "l").agg(F.collect_set(F.struct("n", "w")).alias("x"))
+    enough = F.aggregate("x", F.lit(0), lambda s, y: s + y["w"]) >= min_words
+    marks = table(marks.where(enough).select("k", "l", F.transform("x", lambda y: y["n"]).alias("dup")), "repeats")
+    drop(chunks)
+    hex_ = F.hex("key")
+    k = F.conv(F.substring(hex_, 1, 16), 16, -10).cast("long")
+    half = F.conv(F.substring(hex_, 17, 8), 16, 10).cast("long")
+    low = F.when(half >= 1 << 31, half - (1 << 32)).otherwise(half).cast("int")
+    own = mine.withColumns({"k": k, "l": low}).join(sent(marks, SENT // 4), ["k", "l"])
+    own = table(removed_runs(own.select("key", "dup", "text"), min_words).where("n_removed > 0"), "kept").dropDuplicates(["key"]).withColumnRenamed("key", "_key")
+    changed = sent(table(own.select("_key"), "changed"))
+    same = owned.join(changed, "_key", "left_anti").withColumns({"kept_text": F.lit(None).cast("string"), "n_removed": F.lit(None).cast("long")})
+    d = owned.join(changed, "_key", "left_semi").join(own, "_key").unionByName(same)
     size = F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+"))
-    copy = (F.col("_order") != F.col("owner")) & (size >= min_words)
+    copy = F.coalesce(F.col("_order") != F.col("_owner"), F.lit(False)) & (size >= min_words)
     kept = F.when(copy, F.lit("")).otherwise(F.coalesce("kept_text", F.col(text_col)))
     gone = F.when(copy, size.cast("long")).otherwise(F.coalesce("n_removed", F.lit(0)))
     return d.select(*[F.col(c) for c in docs.columns], kept.alias("_kept_text"), gone.alias("_n_removed"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import drop, small_arrow_batches, table
+from .store import drop, sent, small_arrow_batches, table
 from .textkit import LOWER, Powers, Prefixes, U, mix, shingles, texts, unit, words
 
 N = 5
@@ -21,8 +21,6 @@ BANDS, ROWS = 20, 5
 BLOCK = 1024
 #: Neighbours that a document names in a bucket.
 NAMED = 3
-#: Most keys of texts that are sent to all tasks: 16 bytes each.
-SENT = 1_000_000
 
 
 def weighted(raw: np.ndarray, at: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +175,8 @@ def near_duplicates(
     over BLOCK texts is dealt into blocks by hash, anew in every band, each with the bucket's most central text.
 
     Null texts and texts without a word are classes of their own, one for each row. A text under 5 words is one shingle.
-    Null ids: class_id is the least id that is not null, or null. Rows that repeat id and text are all of the class, and is_kept is true for one.
+    Null ids: class_id is the least id that is not null, or null. Rows that repeat id and text
+    are one document with one result: is_kept is true for all of them or none.
     """
     spark = docs.sparkSession
     small_arrow_batches(spark)
@@ -190,12 +189,12 @@ def near_duplicates(
     rep = ids.where("_key is not null").groupBy("_key").agg(F.min("_id").alias("rep"), F.count("*").alias("copies"))
     rep = table(rep, "texts")
     # signatures are shorter than texts: all rows get one where they are read, and copies go after that
-    sigs = table(signatures(d.where("_key is not null").select(F.col("_key").alias("key"), "text"), k), "signatures")
+    raw_sigs = sigs = table(signatures(d.where("_key is not null").select(F.col("_key").alias("key"), "text"), k), "signatures")
     twice = rep.where("copies > 1").select(F.col("_key").alias("key"))
     sigs = sigs.join(twice, "key", "left_anti").union(sigs.join(twice, "key", "left_semi").groupBy("key").agg(F.min("sig").alias("sig")))
     band = band_table(sigs, bands, rows)
     sizes = band.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("any")).where("size > 1").select("bucket", "size")
-    member = table(band.join(sizes, "bucket"), "members")
+    raw_member = member = table(band.join(sizes, "bucket"), "members")
     centre = member.groupBy("key").agg(F.sum(F.log2(F.col("size").cast("double"))).alias("centre"))
     # 8 bits of each number are enough to compare signatures
     bytes_ = F.concat(*[F.substring("sig", 4 * i + 1, 1) for i in range(k)])
@@ -210,10 +209,11 @@ def near_duplicates(
     sigma = math.sqrt(similarity * (1 - similarity) / k)
     named = candidates(dealt, k, similarity - 4 * sigma).where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     named = table(named, "pairs")
+    drop(raw_sigs)
+    drop(raw_member)
     # texts to verify: while their keys are few, these are sent to where the texts are read, else both are shuffled
     wanted = table(named.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= SENT else wanted
-    both = d.select(F.col("_key").alias("key"), "text").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    both = d.select(F.col("_key").alias("key"), "text").join(sent(wanted), "key", "left_semi").dropDuplicates(["key"])
     both = table(both, "verify")
     side = lambda c, t: both.select(F.col("key").alias(c), F.col("text").alias(t))
     pairs = named.join(side("u", "tu"), "u").join(side("v", "tv"), "v")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,16 @@ def drop(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Most rows of keys that are sent to all tasks; some 32 bytes each.
+SENT = 1_000_000
+
+
+def sent(keys: DataFrame, most: int = SENT) -> DataFrame:
+    """A table of keys for the side of a join that texts are on the other side of: broadcast while it is small, so that
+    the texts stay where they are read; beyond `most` rows both are shuffled. keys: made by table()."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def small_arrow_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bounds what a Python worker holds at once. Texts may be long, so a batch has few rows and a few MB."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
