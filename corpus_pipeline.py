@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyframe.llm import chunks, decontam, langid, mixing, neardup
-from skyframe.llm.store import table
+from skyframe.llm.store import sent, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,14 +18,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays; of rows that repeat id and text one."""
-    classes = neardup.near_duplicates(docs.select("doc_id", "text"))
-    kept = classes.where("is_kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    classes = table(neardup.near_duplicates(docs.select("doc_id", "text")), "classes")
+    # what goes, and rows that stand more than once, are few: texts need not move
+    gone = table(classes.where("not is_kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "gone")
+    more = table(classes.where("is_kept and text_key is not null").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).count().where("count > 1").drop("count"), "more")
     # a document without words is on its own and has no key
-    key = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5("text")))
-    d = docs.withColumn("_k", key)
-    stays = d.join(kept, d["doc_id"].eqNullSafe(kept["_id"]) & d["_k"].eqNullSafe(kept["_key"]), "left_semi")
-    single = stays.where("_k is not null").dropDuplicates(["doc_id", "_k"])
-    return single.unionByName(stays.where("_k is null")).select(docs.columns)
+    d = docs.withColumn("_k", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5("text"))))
+    same = lambda x: d["doc_id"].eqNullSafe(x["_id"]) & (d["_k"] == x["_key"])
+    stays = d.join(sent(gone), same(gone), "left_anti")
+    if more.isEmpty():
+        return stays.select(docs.columns)
+    again = stays.join(sent(more), same(more), "left_semi").dropDuplicates(["doc_id", "_k"])
+    return stays.join(sent(more), same(more), "left_anti").unionByName(again).select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
