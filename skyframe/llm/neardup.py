@@ -21,10 +21,12 @@ BANDS, ROWS = 20, 5
 BLOCK = 1024
 #: Neighbours that a document names in a bucket.
 NAMED = 3
+#: How far under the similarity the share of equal numbers of two signatures may be for a text to be named.
+SLACK = 0.3
 
 
-def weighted(raw: np.ndarray, at: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """(element, row) of the shingles of N lower-cased words (A-Z), one element for each time that a shingle stands in a row:
+def weighted(raw: np.ndarray, at: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(element, row, times before) of the shingles of N lower-cased words (A-Z), one element for each time that a shingle stands in a row:
     the c-th time of a shingle is the strip of weight from c-1 to c."""
     s, e, rows = words(raw, at)
     h = mix(Prefixes(LOWER[raw], powers).of(s, e) + (e - s).astype(U))
@@ -35,7 +37,7 @@ def weighted(raw: np.ndarray, at: np.ndarray, powers: Powers) -> tuple[np.ndarra
     new[1:] = key[order[1:]] != key[order[:-1]]
     first = np.flatnonzero(new)
     nth = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
-    return mix(g[order] + nth.astype(U) * U(0xA0761D6478BD642F)), of[order]
+    return mix(g[order] + nth.astype(U) * U(0xA0761D6478BD642F)), of[order], nth
 
 
 def darts(element: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> np.ndarray:
@@ -79,7 +81,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
         powers = Powers()
         for batch in batches:
             for first, raw, at in texts(batch.column(1)):
-                element, row = weighted(raw, at, powers)
+                element, row, _ = weighted(raw, at, powers)
                 has = np.bincount(row, minlength=len(at) - 1) > 0
                 sig = darts(element, row, len(at) - 1, k)[has]
                 keys = batch.column(0).take(pa.array(np.flatnonzero(has) + first))
@@ -137,28 +139,32 @@ def candidates(members: DataFrame, k: int, least: float) -> DataFrame:
 
 
 def similar(pairs: DataFrame, least: float) -> DataFrame:
-    """Of pairs (u, v, tu, tv) those whose texts' weighted shingles have a Jaccard similarity of `least` or more, counted exactly."""
+    """Of pairs (u, v, tu, tv) those whose texts' shingles have a Jaccard similarity of `least` or more, counted exactly, either with
+    their weights or as plain sets: a passage that one text repeats more often does not part it from the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
 
-        def of(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-            got = [(e, r + first) for first, raw, at in texts(column) for e, r in [weighted(raw, at, powers)]]
-            return np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
+        def of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            got = [(e, r + first, n) for first, raw, at in texts(column) for e, r, n in [weighted(raw, at, powers)]]
+            return tuple(np.concatenate([x[k] for x in got]) for k in range(3))
+
+        def share(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray, n: int) -> np.ndarray:
+            rows = np.concatenate([ra, rb])
+            both = mix(np.concatenate([a, b]) + rows.astype(U) * U(0xD6E8FEB86659FD93))
+            order = np.argsort(both)
+            shared = np.bincount(rows[order[1:]][both[order[1:]] == both[order[:-1]]], minlength=n)
+            return shared / np.maximum(np.bincount(rows, minlength=n) - shared, 1)
 
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            (a, ra), (b, rb) = of(batch.column(2), n), of(batch.column(3), n)
-            both = np.concatenate([mix(a + ra.astype(U) * U(0xD6E8FEB86659FD93)), mix(b + rb.astype(U) * U(0xD6E8FEB86659FD93))])
-            rows = np.concatenate([ra, rb])
-            order = np.argsort(both)
-            shared = np.bincount(rows[order[1:]][both[order[1:]] == both[order[:-1]]], minlength=n)
-            total = np.bincount(ra, minlength=n) + np.bincount(rb, minlength=n) - shared
-            good = shared >= least * total - 1e-9
+            (a, ra, na), (b, rb, nb) = of(batch.column(2)), of(batch.column(3))
+            got = np.maximum(share(a, ra, b, rb, n), share(a[na == 0], ra[na == 0], b[nb == 0], rb[nb == 0], n))
+            good = got >= least - 1e-9
             take = pa.array(np.flatnonzero(good))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((shared / np.maximum(total, 1))[good])], names=["u", "v", "similarity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(got[good])], names=["u", "v", "similarity"])
 
     return pairs.select("u", "v", "tu", "tv").mapInArrow(run, "u binary, v binary, similarity double")
 
@@ -206,8 +212,8 @@ def near_duplicates(
     more = head.select("bucket", "h.*", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("h.size") / (BLOCK // 2)) - 1).cast("int"))).alias("block"))
     cols = ["bucket", "block", "key", "centre", "sig"]
     dealt = dealt.select(cols).union(more.select(cols)).repartition("bucket", "block").sortWithinPartitions("bucket", "block", F.desc("centre"), "key")
-    sigma = math.sqrt(similarity * (1 - similarity) / k)
-    named = candidates(dealt, k, similarity - 4 * sigma).where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    # signatures follow weights; what is similar as sets may agree less
+    named = candidates(dealt, k, similarity - SLACK).where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     named = table(named, "pairs")
     drop(raw_sigs)
     drop(raw_member)

@@ -111,7 +111,7 @@ def test_mix_hits_targets(spark, documents):
 
 def jaccard(a, b):
     n = sum((a & b).values())
-    return n / (sum(a.values()) + sum(b.values()) - n)
+    return max(n / (sum(a.values()) + sum(b.values()) - n), len(a.keys() & b.keys()) / len(a.keys() | b.keys()))
 
 
 def test_near_duplicates_brute(spark, documents):
