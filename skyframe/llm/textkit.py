@@ -67,7 +67,7 @@ class Prefixes:
         return (self.sums[n:] - self.sums[:-n]) * self.down[: len(self.sums) - n]
 
 
-def texts(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def texts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first row, bytes, offsets of rows) for runs of rows of about `most` bytes, or one longer row. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
