@@ -17,8 +17,8 @@ from .textkit import LOWER, Powers, Prefixes, U, mix, shingles, texts, unit, wor
 N = 5
 #: Bands and rows of a band. A pair of similarity 0.8 meets in some band with probability 0.9996, one of 0.3 with 0.05.
 BANDS, ROWS = 20, 5
-#: How many documents of a bucket one task compares with each other at most.
-BLOCK = 1024
+#: How many documents of a bucket, and elements of them, are compared with each other at once.
+BLOCK, ELEMENTS = 1024, 1 << 21
 #: Neighbours that a document names in a bucket.
 NAMED = 3
 #: How far under the similarity the share of equal numbers of two signatures may be for a text to be named.
@@ -94,7 +94,124 @@ def band_table(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
     """(bucket, key): a bucket is the hash of a band's number and its rows."""
     width = 4 * rows
     each = [F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(bands)]
-    return sigs.select(F.explode(F.array(*each)).alias("bucket"), "key")
+    return sigs.select(F.posexplode(F.array(*each)).alias("band", "bucket"), "key")
+
+
+def elements(docs: DataFrame) -> DataFrame:
+    """(key, n, once, more): the sorted numbers of 32 bits of a text's shingles and of their repetitions, n of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            for first, raw, at in texts(batch.column(1)):
+                element, row, nth = weighted(raw, at, powers)
+                order = np.lexsort((element, row))
+                element, row, nth = (element[order] >> U(32)).astype(np.uint32), row[order], nth[order]
+                cut = np.searchsorted(row, np.arange(len(at)))
+                once, more = [], []
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    e, new = element[a:b], nth[a:b] == 0
+                    once.append(e[new].tobytes())
+                    more.append(e[~new].tobytes())
+                keys = batch.column(0).slice(first, len(at) - 1)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(cut)), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["key", "n", "once", "more"])
+
+    return docs.select("key", "text").mapInArrow(run, "key binary, n long, once binary, more binary")
+
+
+def rest(members: DataFrame, classes: DataFrame, texts_of, sigs: DataFrame, bands: int, rows: int, similarity: float) -> DataFrame:
+    """(u, v): every pair of texts of one bucket that are in different classes so far and whose elements are similar. Only these
+    pairs are made. members: band, bucket, key. texts_of: gives (key, text) of a table of keys.
+
+    A bucket whose texts are all of one class has nothing to add. The others' texts are compared in full: all pairs of a cell of at most
+    two blocks, a block having about BLOCK texts and ELEMENTS elements. A pair is compared in the first band that it shares.
+    """
+    k = bands * rows
+    of = members.join(classes, members["key"] == classes["node"], "left").select("band", "bucket", "key", F.coalesce("component", "key").alias("c"))
+    mixed = of.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("bucket")
+    of = table(of.join(mixed, "bucket"), "mixed")
+    keys = table(of.select("key").distinct(), "mixed_keys")
+    parts = table(elements(texts_of(keys)).join(sigs, "key"), "elements")
+    of = of.join(parts.select("key", "n"), "key")
+    blocks = of.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / ELEMENTS)).cast("int").alias("g"))
+    dealt = of.join(blocks, "bucket").withColumn("h", F.pmod(F.xxhash64("key", "bucket"), F.col("g")).cast("int"))
+    cells = dealt.select("band", "bucket", "key", "c", "h", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
+    cells = cells.select("band", "bucket", F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b"), "h", "key", "c").join(parts, "key")
+    cells = cells.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            names = list(zip(*(batch[x].to_pylist() for x in ("bucket", "a", "b")), strict=True))
+            start = 0
+            for i, name in enumerate(names):
+                if name != last:
+                    if i > start:
+                        held.append(batch.slice(start, i - start))
+                    if held:
+                        yield pa.Table.from_batches(held)
+                    held, start, last = [], i, name
+            if start < len(names):
+                held.append(batch.slice(start))
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        each = [np.frombuffer(x, np.uint32) for x in column.to_pylist()]
+        return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+
+    def shared(numbers: np.ndarray, at: np.ndarray, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers that i and each other have in common, numbers of the other)."""
+        mine, size = numbers[at[i] : at[i + 1]], at[others + 1] - at[others]
+        if not len(mine):
+            return np.zeros(len(others), np.int64), size
+        ends = np.cumsum(size)
+        which = np.repeat(np.arange(len(others)), size)
+        theirs = numbers[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[others] - ends + size, size)]
+        hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+        return np.bincount(which[hit], minlength=len(others)), size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # numbers of 32 bits may fall together: what is near the border is verified later
+        least, border = similarity - SLACK, similarity - 0.01
+        for t in groups(batches):
+            if len(t) < 2 or len(t["c"].unique()) < 2:
+                continue
+            keys, side = t["key"].combine_chunks(), t["h"].to_numpy()
+            two = t["a"][0].as_py() != t["b"][0].as_py()
+            band = t["band"][0].as_py()
+            c = t["c"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(len(t), k)
+            (once, at), (more, at2) = flat(t["once"]), flat(t["more"])
+            n = t["n"].to_numpy()
+            n1 = np.diff(at)
+            us, vs = [], []
+            for i in range(1, len(t)):
+                want = c[:i] != c[i]
+                if two:
+                    want &= side[:i] != side[i]
+                for m in (n, n1):  # lengths alone rule most out
+                    near = np.minimum(m[:i], m[i]) >= border * np.maximum(m[:i], m[i])
+                    ok = near if m is n else ok | near
+                j = np.flatnonzero(want & ok)
+                if not len(j):
+                    continue
+                same = sig[j] == sig[i]
+                j = j[(same.mean(1) >= least) & (same.reshape(len(j), bands, rows).all(2).argmax(1) == band)]
+                if not len(j):
+                    continue
+                (x, nx), (y, _) = shared(once, at, i, j), shared(more, at2, i, j)
+                plain, full = x / (nx + n1[i] - x), (x + y) / (n[j] + n[i] - x - y)
+                j = j[np.maximum(plain, full) >= border]
+                us.append(np.full(len(j), i))
+                vs.append(j)
+            if us:
+                u, v = (keys.take(pa.array(np.concatenate(x))) for x in (us, vs))
+                yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"])
+
+    cells = cells.select("band", "bucket", "a", "b", "h", "key", "c", "n", "once", "more", "sig")
+    return cells.mapInArrow(run, "u binary, v binary")
 
 
 def candidates(members: DataFrame, k: int, least: float) -> DataFrame:
@@ -177,8 +294,9 @@ def near_duplicates(
     Texts of equal bytes are one text from the start. Each gets a weighted signature; texts that agree in a band share a
     bucket. In a bucket each text names the most similar by signature of those more central than itself, a text's centre
     being the sizes of its buckets: in a family of copies the original comes first. What is named is verified on whole texts,
-    and classes are the connected components of verified pairs. So a bucket of m texts gives 3m pairs at most. A bucket
-    over BLOCK texts is dealt into blocks by hash, anew in every band, each with the bucket's most central text.
+    and the connected components of verified pairs are the first classes. So a bucket of m texts names 3m pairs at most. A bucket
+    over BLOCK texts is dealt into blocks by hash, anew in every band, each with the bucket's most central text. Then
+    every pair of a bucket that is still in different classes is compared (see rest()), so that naming few loses no link.
 
     Null texts and texts without a word are classes of their own, one for each row. A text under 5 words is one shingle.
     Null ids: class_id is the least id that is not null, or null. Rows that repeat id and text
@@ -215,18 +333,28 @@ def near_duplicates(
     # signatures follow weights; what is similar as sets may agree less
     named = candidates(dealt, k, similarity - SLACK).where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     named = table(named, "pairs")
+
+    def texts_of(keys: DataFrame) -> DataFrame:
+        # while keys are few, they are sent to where the texts are read, else both are shuffled
+        return d.select(F.col("_key").alias("key"), "text").join(sent(keys), "key", "left_semi").dropDuplicates(["key"])
+
+    def verified(named: DataFrame) -> DataFrame:
+        wanted = table(named.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "wanted")
+        both = table(texts_of(wanted), "verify")
+        side = lambda c, t: both.select(F.col("key").alias(c), F.col("text").alias(t))
+        links = table(similar(named.join(side("u", "tu"), "u").join(side("v", "tv"), "v"), similarity), "links")
+        drop(named)
+        drop(both)
+        return links
+
+    links = verified(named)
+    classes = table(components(links), "classes")
+    left = table(rest(raw_member, classes, texts_of, sigs, bands, rows, similarity), "rest")
+    if not left.isEmpty():
+        left = table(left.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "rest_pairs")
+        classes = table(components(links.union(verified(left))), "classes")
     drop(raw_sigs)
     drop(raw_member)
-    # texts to verify: while their keys are few, these are sent to where the texts are read, else both are shuffled
-    wanted = table(named.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "wanted")
-    both = d.select(F.col("_key").alias("key"), "text").join(sent(wanted), "key", "left_semi").dropDuplicates(["key"])
-    both = table(both, "verify")
-    side = lambda c, t: both.select(F.col("key").alias(c), F.col("text").alias(t))
-    pairs = named.join(side("u", "tu"), "u").join(side("v", "tv"), "v")
-    links = table(similar(pairs, similarity), "links")
-    drop(named)
-    drop(both)
-    classes = table(components(links), "classes")
     of = rep.join(classes, rep["_key"] == classes["node"], "left").select(rep["_key"].alias("k"), F.coalesce("component", rep["_key"]).alias("c"), "rep", "copies")
     of = table(of, "membership")
     total = of.groupBy("c").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("rep").isNull().alias("x"), "rep", "k")).alias("best"))

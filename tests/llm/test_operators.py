@@ -260,3 +260,19 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_few_named_lose_no_link(spark, monkeypatch):
+    """Chains of copies whose neighbours are similar and whose ends are not, in buckets dealt over many blocks, with nothing named at first."""
+    texts = []
+    for family in range(3):
+        chain = prose(50 + family, 400).split()
+        for i in range(30):
+            chain[i * 9 : i * 9 + 2] = [f"new{family}", f"edit{i}"]
+            texts.append(" ".join(chain))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {(r["doc_id"], r["class_id"]) for r in neardup.near_duplicates(docs).collect()}
+    assert want == {(i, i // 30 * 30) for i in range(90)}
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "candidates", lambda members, k, least: members.where("false").select(members["key"].alias("u"), members["key"].alias("v")))
+    assert {(r["doc_id"], r["class_id"]) for r in neardup.near_duplicates(docs).collect()} == want
