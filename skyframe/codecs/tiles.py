@@ -1,4 +1,4 @@
-"""Codecs of image tiles: RICE_1, GZIP_1, GZIP_2, PLIO_1, and floats as integers with dither."""
+"""Codecs of image tiles: RICE_1, GZIP_1, GZIP_2, PLIO_1, HCOMPRESS_1, and floats as integers with dither."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import gzip
 import numpy as np
 
 from ..format.status import FitsError
+from . import htransform
 
 #: RICE by bytes of a pixel: bits of a block's header, its largest split, bits of a raw value.
 RICE = {1: (3, 6, 8), 2: (4, 14, 16), 4: (5, 25, 32)}
@@ -254,7 +255,8 @@ def dequantize(q: np.ndarray, step: float, zero: float, method: int = 1, row: in
     return np.where(q == ZERO_VALUE, 0.0, out) if method == 2 else out
 
 
-def encode_tile(pixels: np.ndarray, codec: str, bytepix: int = 4) -> bytes:
+def encode_tile(pixels: np.ndarray, codec: str, bytepix: int = 4, width: int | None = None, scale: int = 0) -> bytes:
+    """width: pixels in a row of the tile, scale: divisor of coefficients; both for HCOMPRESS_1 alone."""
     big = f">i{bytepix}" if bytepix > 1 else "u1"
     if codec == "RICE_1":
         return rice_encode(pixels, bytepix)
@@ -262,6 +264,8 @@ def encode_tile(pixels: np.ndarray, codec: str, bytepix: int = 4) -> bytes:
         return gzip_encode(np.asarray(pixels).astype(big).tobytes(), bytepix, codec == "GZIP_2")
     if codec == "PLIO_1":
         return plio_encode(pixels).astype(">i2").tobytes()
+    if codec == "HCOMPRESS_1":
+        return htransform.encode(np.asarray(pixels).reshape(-1, width or len(pixels)), scale)
     if codec == "NOCOMPRESS":
         return np.asarray(pixels).astype(big).tobytes()
     raise FitsError(413, codec)
@@ -275,6 +279,8 @@ def decode_tile(data: bytes, n: int, codec: str, bytepix: int = 4) -> np.ndarray
         return np.frombuffer(gzip_decode(data, n, bytepix, codec == "GZIP_2"), big).astype(np.int64)
     if codec == "PLIO_1":
         return plio_decode(np.frombuffer(data, ">i2").astype(np.int16), n)
+    if codec == "HCOMPRESS_1":
+        return htransform.decode(data).ravel()
     if codec == "NOCOMPRESS":
         return np.frombuffer(data, big).astype(np.int64)
     raise FitsError(414, codec)

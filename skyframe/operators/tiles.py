@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..codecs import tiles as codec
+from ..format.status import FitsError
 
 
 def tile_of(pix: Column, axes: list[int], tile: list[int]) -> tuple[Column, Column]:
@@ -46,14 +47,21 @@ def scatter(tiles: DataFrame, axes: list[int], tile: list[int], values: str = "v
     return out.select(pix.cast("long").alias("_pix"), "value")
 
 
-def compress(tiles: DataFrame, name: str, bytepix: int = 4) -> DataFrame:
-    """(tile, n, data) of (tile, values) by a codec: RICE_1, GZIP_1, GZIP_2, PLIO_1, NOCOMPRESS; one tile is a unit of work."""
+def compress(tiles: DataFrame, name: str, bytepix: int = 4, axes: list[int] | None = None, tile: list[int] | None = None, scale: int = 0) -> DataFrame:
+    """(tile, n, data) of (tile, values) by a codec: RICE_1, GZIP_1, GZIP_2, PLIO_1, HCOMPRESS_1, NOCOMPRESS; one tile is a unit of work.
+    HCOMPRESS_1 needs the axes of the image and of a tile; a scale above 1 loses detail."""
+    if name == "HCOMPRESS_1" and not (axes and tile):
+        raise FitsError(413, name)
+    width = F.lit(None).cast("long")
+    if axes and tile:
+        across = -(-axes[0] // tile[0])
+        width = F.least(F.lit(tile[0]), F.lit(axes[0]) - F.pmod(F.col("tile") - 1, F.lit(across)) * tile[0]).cast("long")
 
     @F.pandas_udf("binary")
-    def f(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: codec.encode_tile(np.asarray(v, np.int64), name, bytepix))
+    def f(s: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([codec.encode_tile(np.asarray(v, np.int64), name, bytepix, None if pd.isna(x) else int(x), scale) for v, x in zip(s, w, strict=True)])
 
-    return tiles.select("tile", F.size("values").alias("n"), f("values").alias("data"))
+    return tiles.select("tile", F.size("values").alias("n"), f("values", width).alias("data"))
 
 
 def decompress(tiles: DataFrame, name: str, bytepix: int = 4) -> DataFrame:

@@ -216,13 +216,13 @@ def _codec(name: str, bytepix: int):
         rows = d.agg(F.floor(F.max("_pix") / 50)).first()[0]
         axes, shape = [50, rows], [50, 8]
         cut = tiles.gather(d.where(F.col("_pix") <= 50 * rows), axes, shape)
-        back = tiles.decompress(tiles.compress(cut, name, bytepix), name, bytepix)
+        back = tiles.decompress(tiles.compress(cut, name, bytepix, axes, shape), name, bytepix)
         return tiles.scatter(back, axes, shape).withColumnRenamed("_pix", "pix")
 
     return f
 
 
-for _name, _bytes in (("RICE_1", 2), ("GZIP_1", 4), ("GZIP_2", 4), ("PLIO_1", 4), ("NOCOMPRESS", 2)):
+for _name, _bytes in (("RICE_1", 2), ("GZIP_1", 4), ("GZIP_2", 4), ("PLIO_1", 4), ("HCOMPRESS_1", 4), ("NOCOMPRESS", 2)):
     QUERIES.pop("f", None)
     _f = _codec(_name, _bytes)
     QUERIES[f"tile_{_name.lower()}"] = QUERIES.pop("f")

@@ -1,10 +1,13 @@
 """Tile codecs give back what they were given."""
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from skyframe.codecs import htransform as H
 from skyframe.codecs import tiles as T
+from skyframe.format.status import FitsError
 
 
 @settings(max_examples=60, deadline=None)
@@ -29,3 +32,21 @@ def test_quantized():
         back = T.dequantize(q, step, zero, method, 3)
         assert np.nanmax(abs(back - x)) <= step * 0.5001 and np.isnan(back[7])
     assert T.quantize(np.full(50, 5.0)) is None
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 40), st.integers(1, 40), st.integers(0, 31), st.integers(0, 99))
+def test_htransform(x, y, bits, seed):
+    image = np.random.default_rng(seed).integers(-(1 << bits), 1 << bits, (x, y))
+    data = H.encode(image)
+    assert (H.decode(data) == image).all()
+    assert (T.decode_tile(T.encode_tile(image.ravel(), "HCOMPRESS_1", width=y), x * y, "HCOMPRESS_1") == image.ravel()).all()
+
+
+def test_htransform_scaled_and_broken():
+    image = (1000 * np.sin(np.arange(64)[:, None] / 9) + np.random.default_rng(1).normal(0, 3, (64, 48))).astype(int)
+    whole, scaled = H.encode(image), H.encode(image, 16)
+    assert whole[:2] == b"\xdd\x99" and len(scaled) < len(whole) and abs(H.decode(scaled) - image).max() < 16
+    for bad in (b"", b"xx" + whole[2:], whole[: len(whole) // 2]):
+        with pytest.raises(FitsError):
+            H.decode(bad)
