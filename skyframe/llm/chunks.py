@@ -106,7 +106,7 @@ def removed_runs(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 16) -> DataFrame:
-    """All columns of docs and _kept_text, _n_removed: passages that stand earlier in the corpus are cut out of each text.
+    """All columns of docs and _kept_text, _n_removed (in the place of columns so named): passages that stand earlier in the corpus are cut out of each text.
 
     Texts are cut into chunks of 4 to 64 words, 7 on average, where a gear rolling hash says. A chunk is a repeat unless it is
     the first with its digest, in order of the texts' own digests and of place. Maximal runs of repeats of min_words words
@@ -120,13 +120,15 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     left out and repeats looked up where texts are read; see store.sent().
     """
     small_arrow_batches(docs.sparkSession)
-    key = F.unhex(F.md5(F.col(text_col)))
-    d = docs.withColumns({"_key": key, "_order": F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)).cast("long")})
+    docs = docs.drop("_kept_text", "_n_removed")
+    # columns of docs travel as one struct, so that none of their names is met here
+    d = docs.select(F.struct(*docs.columns).alias("_doc"), F.unhex(F.md5(F.col(text_col))).alias("_key"), F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)).cast("long").alias("_order"))
+    text = F.col("_doc")[text_col]
     copied = d.where("_key is not null").groupBy("_key").agg(F.min("_order").alias("_owner"), F.count("*").alias("n")).where("n > 1").select("_key", "_owner")
     copied = table(copied, "copies")
     owned = d.join(sent(copied), "_key", "left")
     # all copies but the owner's are left out; of rows that repeat id and text each is cut, and the chunks are counted by place
-    mine = owned.where("_key is not null and (_owner is null or _owner = _order)").select(F.col("_key").alias("key"), F.col(text_col).alias("text"))
+    mine = owned.where("_key is not null and (_owner is null or _owner = _order)").select(F.col("_key").alias("key"), text.alias("text"))
     chunks = table(chunk_table(mine), "chunks")
     place = F.struct("k", "l", "n")
     first = chunks.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("a", "b", "first")
@@ -144,11 +146,11 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     changed = sent(table(own.select("_key"), "changed"))
     same = owned.join(changed, "_key", "left_anti").withColumns({"kept_text": F.lit(None).cast("string"), "n_removed": F.lit(None).cast("long")})
     d = owned.join(changed, "_key", "left_semi").join(own, "_key").unionByName(same)
-    size = F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+"))
+    size = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
     copy = F.coalesce(F.col("_order") != F.col("_owner"), F.lit(False)) & (size >= min_words)
-    kept = F.when(copy, F.lit("")).otherwise(F.coalesce("kept_text", F.col(text_col)))
+    kept = F.when(copy, F.lit("")).otherwise(F.coalesce("kept_text", text))
     gone = F.when(copy, size.cast("long")).otherwise(F.coalesce("n_removed", F.lit(0)))
-    return d.select(*[F.col(c) for c in docs.columns], kept.alias("_kept_text"), gone.alias("_n_removed"))
+    return d.select("_doc.*", kept.alias("_kept_text"), gone.alias("_n_removed"))
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:

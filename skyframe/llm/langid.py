@@ -45,18 +45,19 @@ def train(
     return out
 
 
-def predict(docs: DataFrame, model: dict[str, bytes], *, text_col: str = "text", level: int = 9, margin: float = 0.01) -> DataFrame:
-    """Adds lang_pred, score and rejected to all columns of docs.
+def predict(docs: DataFrame, model: dict[str, bytes], *, text_col: str = "text", level: int = 9, margin: float = 0.01, prefix: str = "") -> DataFrame:
+    """Adds lang_pred, score and rejected, their names after `prefix`, to all columns of docs; columns of docs with these names are replaced.
 
     Each whole text, in lower case, is compressed once with each language's dictionary; the smallest result names the language, ties go to
     the first name. score is what the best result saves against the second, relative to it. rejected: score under `margin`,
     or lang_pred is `und`: the text is null, empty or without a letter, or nothing was learned. With one language score is 1.
     """
     small_arrow_batches(docs.sparkSession)
-    names, schema = sorted(model), docs.schema
-    out_names = [f.name for f in schema.fields] + ["lang_pred", "score", "rejected"]
+    added = [prefix + x for x in ("lang_pred", "score", "rejected")]
+    docs = docs.drop(*added)
+    names, out_names = sorted(model), docs.columns + added
     at = out_names.index(text_col)
-    out_schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")).schema
+    out_schema = docs.select("*", *[F.lit(x).alias(a) for x, a in zip(("", 0.0, True), added, strict=True)]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = []

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from skyframe.llm import chunks, decontam, graph, hmm, langid, licenses, mixing, neardup, quality, queries, suffixes, urls
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key string, word string, size int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key string, word string, size int, lang_pred string, score double, rejected int, key string, kept_text string, n_removed long, kept int, row int, n int, _id int, _t int, sig int, class_id int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -30,8 +30,8 @@ def odd(spark):
     """Nulls in every column, empty and very long texts, ties, repeated rows, clashing column names."""
     base = prose(1, 120)
     texts = [base, base, base + " end", None, "", " \t\n", "x", "été ñandú", prose(2, 30000), "same " * 500, prose(3, 60), prose(4, 80) + " " + prose(3, 60), "1234 5678", " ", "a\x00b c"]
-    rows = [(i if i != 5 else None, t, ["en", "fr", None][i % 3], ["s", None, "t"][i % 3], None, "k", "w", 1) for i, t in enumerate(texts)]
-    rows += [rows[0], rows[0], (None, None, None, None, None, None, None, None)]
+    rows = [(i if i != 5 else None, t, ["en", "fr", None][i % 3], ["s", None, "t"][i % 3], None, "k", "w", 1, "l", 2.0, 3, "k", "t", 4, 5, 6, 7, 8, 9, 10, 11) for i, t in enumerate(texts)]
+    rows += [rows[0], rows[0], (None,) * 21]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -54,12 +54,13 @@ def all_operators(spark, docs):
         "suffixes": lambda: suffixes.remove_repeats(docs),
         "decontam": lambda: decontam.find_leaks(docs, items(spark)),
         "quality": lambda: quality.risk_controlled(docs, labels),
+        "quality by number": lambda: quality.risk_controlled(docs, labels, stratum_col="size"),
         "langid": lambda: langid.predict(docs, langid.train(docs)),
         "chunks": lambda: chunks.substring_dedup(docs),
     }
 
 
-NAMES = ["mixing", "licenses", "neardup", "hmm", "suffixes", "decontam", "quality", "langid", "chunks"]
+NAMES = ["mixing", "licenses", "neardup", "hmm", "suffixes", "decontam", "quality", "quality by number", "langid", "chunks"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -82,6 +83,7 @@ def test_odd_results(spark, odd):
     kept = {r["doc_id"]: r["_kept_text"] for r in chunks.substring_dedup(odd).collect()}
     assert kept[0] is not None and kept[1] == "" and kept[3] is None and kept[4] == ""
     assert min(len(kept[10].split()), len(kept[11].split()) - 80) < 40
+    assert {(r["_key"], r["kept_text"], r["n_removed"]) for r in chunks.substring_dedup(odd.where("doc_id is not null")).collect()} == {("k", "t", 4)}
     langs = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(odd, {"en": b"the of and", "fr": b"le la les"}).collect()}
     assert langs[3] == langs[4] == langs[12] == ("und", 0.0)
 
