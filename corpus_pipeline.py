@@ -12,8 +12,8 @@ from skyframe.llm.store import sent, table
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is not clear; lang becomes the prediction. Learns from the input's labelled documents that are not held out."""
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
-    out = langid.predict(docs, model).where("not rejected")
-    return out.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    out = langid.predict(docs, model, prefix="_langid_").where("not _langid_rejected")
+    return out.withColumn("lang", F.col("_langid_lang_pred")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
