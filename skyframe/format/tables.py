@@ -291,7 +291,7 @@ def _encode(c: Column, a: pa.Array, n: int, heap: bytearray) -> np.ndarray:
             if x is None:
                 continue
             b = x.encode() if isinstance(x, str) else bytes(x) if isinstance(x, bytes) else np.packbits(np.array(x, bool)).tobytes() if f.letter == "X" else _stored(c, pa.array(x, ARROW[c.kind])).tobytes()
-            d[i] = len(b) if f.letter in "AB" else len(x), len(heap)
+            d[i] = len(b) // WIDTH[f.letter] if isinstance(x, (str, bytes)) else len(x), len(heap)
             heap += b
         return d.view(np.uint8).reshape(n, -1)
     if f.letter == "A":

@@ -16,6 +16,7 @@ from ..functions import checksum
 from ..functions import columns as C
 from ..operators import edits, tiles
 from ..sources import files
+from ..sources.compressed import write_compressed_image
 from ..sources.fits import read_fits, write_fits, write_image
 
 QUERIES: dict = {}
@@ -190,6 +191,32 @@ def image_write_read_u16(spark, sf):
     return read_fits(spark, path, hdu=1).select(F.col("_pix").alias("pix"), "value")
 
 
+def _zimage(name: str):
+    @query("SELECT (p_partkey + 1)::BIGINT AS pix, (p_size + 40000)::INTEGER AS value FROM part WHERE p_partkey // 50 < (SELECT (max(p_partkey) + 1) // 50 FROM part)")
+    def f(spark, sf):
+        d, path = part_image(spark, sf), scratch(spark)
+        rows = d.agg(F.floor(F.max("_pix") / 50)).first()[0]
+        whole = d.where(F.col("_pix") <= 50 * rows).withColumn("value", F.col("value") + 40000)
+        write_compressed_image(whole, path, [50, rows], "u16", name)
+        return read_fits(spark, path, hdu=2).select(F.col("_pix").alias("pix"), "value")
+
+    return f
+
+
+for _name in ("RICE_1", "GZIP_2", "HCOMPRESS_1"):
+    _zimage(_name)
+    QUERIES[f"zimage_{_name.lower()}"] = QUERIES.pop("f")
+    ORACLE_SQL[f"zimage_{_name.lower()}"] = ORACLE_SQL.pop("f")
+
+
+@query("SELECT (p_partkey + 1)::BIGINT AS pix, p_retailprice::DOUBLE AS value FROM part WHERE p_partkey < 50 * (SELECT (max(p_partkey) + 1) // 50 FROM part)")
+def zimage_whole_floats(spark, sf):
+    d, path = table(spark, sf, "part").select((F.col("p_partkey") + 1).alias("_pix"), F.col("p_retailprice").alias("value")), scratch(spark)
+    rows = d.agg(F.floor(F.max("_pix") / 50)).first()[0]
+    write_compressed_image(d.where(F.col("_pix") <= 50 * rows), path, [50, rows], "f64", "GZIP_2", tile=[16, 8], level=0)
+    return read_fits(spark, path, hdu=2).select(F.col("_pix").alias("pix"), "value")
+
+
 @query("SELECT min(p_retailprice::FLOAT) AS low, max(p_retailprice::FLOAT) AS high, count(*)::BIGINT AS n FROM part")
 def image_minmax_f32(spark, sf):
     d, path = table(spark, sf, "part").select((F.col("p_partkey") + 1).alias("_pix"), F.col("p_retailprice").alias("value")), scratch(spark)

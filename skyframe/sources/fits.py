@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
+from ..codecs import tiles as codec
 from ..format import tables as tb
+from ..format import zimage
 from ..format.header import Header
 from ..format.status import FitsError
 from ..functions import checksum as sums
@@ -46,7 +48,7 @@ def _options(o: dict) -> dict:
 
 
 def _pixel(h: Header) -> tuple[str, pa.DataType, float, float]:
-    bitpix, zero, scale = h.integer("BITPIX"), float(h.get("BZERO", 0)), float(h.get("BSCALE", 1))
+    bitpix, zero, scale = h.integer("ZBITPIX" if h.get("ZIMAGE", False) is True else "BITPIX"), float(h.get("BZERO", 0)), float(h.get("BSCALE", 1))
     if scale == 1 and (bitpix, int(zero)) in PIXELS and zero == int(zero):
         return *PIXELS[bitpix, int(zero)], 1.0, zero
     return PIXELS[bitpix, 0][0], pa.float64(), scale, zero
@@ -120,6 +122,11 @@ class FitsReader(DataSourceReader):
         with files.open_bytes(path) as f:
             hdu = files.find(files.scan(f), **_options(self.options))
             whole = isinstance(f, gzip.GzipFile)
+        z = zimage.parse(hdu.header) if self.options.get("raw") != "true" else None
+        if z:
+            first, last = z.rows_of(max(self.low, 1), self.high)
+            step = max(1, z.rows if whole else int(self.options.get("partbytes", PART)) // (z.width * int(np.prod(z.tile))))
+            return [Slice(path, hdu.number, a, min(step, last - a + 1)) for a in range(first, last + 1, step)]
         if hdu.kind == "image" and self.options.get("raw") != "true":
             unit = abs(hdu.header.integer("BITPIX")) // 8
             total = hdu.data_bytes // unit
@@ -136,6 +143,8 @@ class FitsReader(DataSourceReader):
                 width = hdu.header.integer("NAXIS1")
                 for a, n, data in self._blocks(f, hdu, part, width):
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + n)), pa.array([data[i * width : (i + 1) * width] for i in range(n)], pa.binary())], schema=self.schema)
+            elif z := zimage.parse(hdu.header):
+                yield from self._tiles(f, hdu, part, z)
             elif hdu.kind == "image":
                 kind, arrow, scale, zero = _pixel(hdu.header)
                 blank = hdu.header.get("BLANK")
@@ -157,6 +166,34 @@ class FitsReader(DataSourceReader):
                         columns = [pa.array(np.arange(a, a + n)), *columns]
                     yield pa.RecordBatch.from_arrays(columns, schema=self.schema)
 
+    def _tiles(self, f, hdu: files.Hdu, part: Slice, z: zimage.ZImage):
+        """The pixels of compressed tiles, a batch for each."""
+        lay = tb.layout(hdu.header, hdu.data_start)
+        of = {c.name.upper(): c for c in lay.columns}
+        _, arrow, scale, zero = _pixel(hdu.header)
+        blank = hdu.header.get("ZBLANK", hdu.header.get("BLANK")) if z.bitpix > 0 else None
+        table = codec.dither_table() if z.method else None
+
+        def heap(cells: np.ndarray, name: str) -> bytes:
+            if name not in of:
+                return b""
+            c = of[name]
+            n, offset = cells[c.offset : c.offset + c.form.nbytes].view(">i4" if c.form.descriptor == "P" else ">i8").tolist()
+            size = n * tb.WIDTH[c.form.letter]
+            if offset < 0 or lay.heap + offset + size > hdu.data_bytes:
+                raise FitsError(264)
+            f.seek(lay.data_start + lay.heap + offset)
+            return f.read(size)
+
+        def number(cells: np.ndarray, name: str) -> float | None:
+            x = float(cells[of[name].offset :][:8].view(">f8")[0]) if name in of else None
+            return None if x is None or x != x else x
+
+        for a, n, data in self._blocks(f, hdu, part, lay.row_bytes):
+            for row, cells in enumerate(np.frombuffer(data, np.uint8).reshape(n, -1), a):
+                stored = z.decode(row, heap(cells, "COMPRESSED_DATA"), heap(cells, "GZIP_COMPRESSED_DATA"), number(cells, "ZSCALE"), number(cells, "ZZERO"), table)
+                yield pa.RecordBatch.from_arrays([pa.array(z.pixels(row)), pixels(stored, arrow, scale, zero, blank)], schema=self.schema)
+
     @staticmethod
     def _blocks(f, hdu: files.Hdu, part: Slice, unit: int):
         step = max(1, BATCH // max(unit, 1))
@@ -215,7 +252,7 @@ class Part(WriterCommitMessage):
 class FitsWriter(DataSourceArrowWriter):
     """One file of each task, or with single=true one in all. Options: path, tform (JSON: column to format), tunit, tdim, tnull,
     tscal, tzero (JSON too), extname, kind=binary|ascii, compression=gzip, checksum=true, single=true. Without a format strings
-    and arrays become cells of variable length. Tasks write rows and heap beside the target; committing joins them."""
+    and arrays become cells of variable length. cards (JSON: {"cards": [[name, value, comment]]}) end the header. Tasks write rows and heap beside the target; committing joins them."""
 
     def __init__(self, options: dict, schema: T.StructType, overwrite: bool) -> None:
         self.options, self.overwrite = options, overwrite
@@ -226,6 +263,7 @@ class FitsWriter(DataSourceArrowWriter):
             raise FitsError(105, "only folders that are mounted can be written")
         given = {k: json.loads(options.get(k, "{}")) for k in ("tform", "tunit", "tdim", "tnull", "tscal", "tzero")}
         self.ascii = options.get("kind") == "ascii"
+        self.cards = json.loads(options.get("cards", "{}")).get("cards", [])
         self.columns, at = [], 0
         for f in schema.fields:
             text = given["tform"].get(f.name) or default_tform(f.dataType, self.ascii)
@@ -303,6 +341,8 @@ class FitsWriter(DataSourceArrowWriter):
                 c.form.width = max((p.longest.get(i, 0) for p in group), default=0)
         n, heap = sum(p.n for p in group), sum(p.heap_bytes for p in group)
         h = tb.ascii_header(self.columns, n, self.options.get("extname", "")) if self.ascii else tb.table_header(self.columns, n, heap, self.options.get("extname", ""))
+        for card in self.cards:
+            h.write(*card)
         body = tempfile.TemporaryFile(dir=self.stage)
         before = 0
         for p in group:
