@@ -319,9 +319,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     equal = per.where("n > 1").select("gram", "context")
     reach = length - GRAM
     whole = found.join(equal, ["gram", "context"]).join(copies, "key", "left_anti")
-    whole = whole.select("key", F.greatest(F.col("place") - reach, F.lit(0)).alias("a"), (F.col("place") + length).alias("b"))
+    whole = table(whole.select("key", F.greatest(F.col("place") - reach, F.lit(0)).alias("a"), (F.col("place") + length).alias("b")), "whole")
+    drop(found)
     open_ = per.join(grams.where("kinds > 1").select("gram", "kinds"), "gram").select("gram", "kinds", "one.key", "one.place")
     open_ = table(open_, "open")
+    drop(per)
     wanted = open_.groupBy("key").agg(F.collect_list(F.struct("place", "gram")).alias("at"))
     one = long_.select("key", "text").join(wanted, "key").dropDuplicates(["key"])
     around = context_table(one, length)
