@@ -16,6 +16,8 @@ N = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Items that one scan looks for. More are looked for in further scans.
 ITEMS = 20_000
+#: Pairs of a seed and a place, and words of passages, that are held at a time, or one text's or one passage's.
+PAIRS, WORDS = 1 << 21, 1 << 20
 LEAKS = "array<struct<item_id:long,score:double,first_word:int,n_words:int>>"
 
 
@@ -71,15 +73,37 @@ class Items:
         self.offset = self.at - self.start[self.item]
         self.keys = np.unique(self.grams)
 
-    def rare(self, count: np.ndarray, share: float, least: int) -> np.ndarray:
-        """Of the places of n-grams those that are seeds: the rarest share of each item's, `least` at the fewest."""
+        # a word of an item as one number, and how often the item has it
+        self.pairs, self.times = np.unique(paired(h, of), return_counts=True)
+
+    def rare(self, count: np.ndarray, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the n-grams that the corpus has, which of them are rare: the rarest share of each item's, `least` at the fewest)."""
         c = count[np.searchsorted(self.keys, self.grams)]
-        order = np.lexsort((self.offset, c, self.item))
-        nth = np.arange(len(order)) - np.searchsorted(self.item[order], self.item[order])
-        n = np.bincount(self.item, minlength=len(self.ids))
-        seeds = np.zeros(len(order), bool)
-        seeds[order] = nth < np.maximum(np.ceil(n * share), least)[self.item[order]]
-        return seeds
+        there = np.flatnonzero(c)
+        there = there[np.lexsort((self.offset[there], c[there], self.item[there]))]
+        item = self.item[there]
+        n = np.bincount(item, minlength=len(self.ids))
+        return there, np.arange(len(there)) - np.searchsorted(item, item) < np.maximum(np.ceil(n * share), least)[item]
+
+
+def paired(h: np.ndarray, item: np.ndarray) -> np.ndarray:
+    return mix(h ^ mix(item.astype(U) + U(1)))
+
+
+def in_common(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, pairs: np.ndarray, times: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """How many words the passages h[lo:hi] have in common with their items, each as often as both have it."""
+    out, a = np.zeros(len(lo), np.int64), 0
+    past = np.cumsum(hi - lo)
+    while a < len(lo):
+        b = max(a + 1, int(np.searchsorted(past, past[a] - (hi[a] - lo[a]) + WORDS, "right")))
+        size = hi[a:b] - lo[a:b]
+        of = np.repeat(np.arange(b - a), size)
+        x = paired(h[np.arange(len(of)) + np.repeat(lo[a:b] - np.cumsum(size) + size, size)], item[a:b][of])
+        k = among(x, pairs, bits)
+        both, n = np.unique(of[k] * len(pairs) + np.searchsorted(pairs, x[k]), return_counts=True)
+        out[a:b] = np.bincount(both // len(pairs), np.minimum(n, times[both % len(pairs)]), b - a)
+        a = b
+    return out
 
 
 def grams(h: np.ndarray, rows: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
@@ -102,17 +126,30 @@ def bit_table(keys: np.ndarray) -> np.ndarray:
     return table
 
 
+def runs(rows: np.ndarray, times: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, past the last) hit of runs of whole rows with PAIRS pairs at most, or of one row."""
+    head = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    ends, past = np.append(head[1:], len(rows)), np.cumsum(times)
+    a = 0
+    while a < len(head):
+        before = past[head[a]] - times[head[a]]
+        b = max(a + 1, int(np.searchsorted(past[ends - 1], before + PAIRS, "right")))
+        yield int(head[a]), int(ends[b - 1])
+        a = b
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
     score: float = 0.5, seed_share: float = 0.5, least_seeds: int = 8, most_items: int = 10_000_000,
 ) -> DataFrame:
     """All columns of docs and _leaks: the items that a passage of the text copies, with edits, as an array, empty if none.
 
-    A scan of the corpus counts each item's n-grams of three words in all documents. The rarest half of an item's, and eight
-    at the fewest, are its seeds, so that an item always has some, however often it leaked. A second scan joins passages to
-    items on seeds; seeds on near diagonals give one passage, the item's length and half of it on either side, which is
-    aligned with the item word by word (Smith-Waterman: 2 for equal words, -1 for other ones and gaps). score is the alignment's share
-    of what the item has with itself; `score` or more is a leak. Of several passages the best counts for an item.
+    A scan of the corpus counts each item's n-grams of three words in all documents. All that occur are its seeds; the rarest half
+    of them, and eight at the fewest, are rare. A second scan joins passages to items on seeds; seeds on near diagonals give
+    one passage, the item's length and half of it on either side, which is aligned with the item word by word (Smith-Waterman: 2 for
+    equal words, -1 for other ones and gaps). A passage without a rare seed is aligned only if it has so many of the item's words
+    that it can reach `score`, so this loses nothing. score is the alignment's share of what the item has with itself; `score` or
+    more is a leak. Of several passages the best counts for an item. A copy that has no three words of the item in a row is not seen.
 
     Nothing is shuffled but the counts. Items go to all tasks in blocks of ITEMS, a scan pair for each, so what is sent has a
     bound; over most_items are refused. Null, empty or short texts have no leaks; items under three words and null items are not looked for.
@@ -149,15 +186,19 @@ def _one_block(out: DataFrame, docs: DataFrame, items: Items, text_col: str, lea
     counts = np.zeros(len(items.keys), np.int64)
     for r in docs.select(text_col).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         counts[r["k"]] = r["n"]
-    seeds = np.flatnonzero(items.rare(counts, share, fewest))
-    seeds = seeds[np.argsort(items.grams[seeds], kind="stable")]
+    seeds, rare = items.rare(counts, share, fewest)
+    if not len(seeds):
+        return out
+    order = np.argsort(items.grams[seeds], kind="stable")
+    seeds, rare = seeds[order], rare[order]
     gram, item, offset = items.grams[seeds], items.item[seeds], items.offset[seeds]
-    model = sc.broadcast((gram, item, offset, bit_table(gram), items.words, items.start, items.length, items.ids))
+    shared = (items.pairs, items.times, bit_table(items.pairs))
+    model = sc.broadcast((gram, item, offset, rare, bit_table(gram), items.words, items.start, items.length, items.ids, shared))
     schema = out.schema
     at_text, at_leaks = schema.names.index(text_col), schema.names.index("_leaks")
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, item, offset, bits, item_words, start, length, ids = model.value
+        gram, item, offset, rare, bits, item_words, start, length, ids, shared = model.value
         powers = Powers()
         for batch in batches:
             found: list[list[dict]] = batch.column(at_leaks).to_pylist()
@@ -167,21 +208,27 @@ def _one_block(out: DataFrame, docs: DataFrame, items: Items, text_col: str, lea
                 hit = among(g, gram, bits)
                 if not len(hit):
                     continue
-                lo, hi = np.searchsorted(gram, g[hit], "left"), np.searchsorted(gram, g[hit], "right")
-                times = hi - lo
-                seed = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                place = np.repeat(pos[hit], times)
-                row, it, diagonal = rows[place], item[seed], place - offset[seed]
-                order = np.lexsort((diagonal, it, row))
-                row, it, diagonal = row[order], it[order], diagonal[order]
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (it[1:] != it[:-1]) | (diagonal[1:] - diagonal[:-1] > length[it[1:]] // 2)
-                head = np.flatnonzero(new)
-                tail = np.append(head[1:], len(row)) - 1
-                row, it = row[head], it[head]
-                begin_row, end_row = np.searchsorted(rows, row), np.searchsorted(rows, row, "right")
-                lo = np.maximum(diagonal[head] - length[it] // 2, begin_row)
-                hi = np.minimum(diagonal[tail] + length[it] + length[it] // 2, end_row)
+                left, right = np.searchsorted(gram, g[hit], "left"), np.searchsorted(gram, g[hit], "right")
+                parts = []
+                for a, b in runs(rows[pos[hit]], right - left):
+                    times = right[a:b] - left[a:b]
+                    seed = np.repeat(left[a:b], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    place = np.repeat(pos[hit[a:b]], times)
+                    row, it, diagonal = rows[place], item[seed], place - offset[seed]
+                    order = np.lexsort((diagonal, it, row))
+                    row, it, diagonal = row[order], it[order], diagonal[order]
+                    new = np.ones(len(row), bool)
+                    new[1:] = (row[1:] != row[:-1]) | (it[1:] != it[:-1]) | (diagonal[1:] - diagonal[:-1] > length[it[1:]] // 2)
+                    head = np.flatnonzero(new)
+                    tail = np.append(head[1:], len(row)) - 1
+                    row, it, sure = row[head], it[head], np.logical_or.reduceat(rare[seed[order]], head)
+                    lo = np.maximum(diagonal[head] - length[it] // 2, np.searchsorted(rows, row))
+                    hi = np.minimum(diagonal[tail] + length[it] + length[it] // 2, np.searchsorted(rows, row, "right"))
+                    ask = np.flatnonzero(~sure)
+                    sure[ask] = in_common(h, lo[ask], hi[ask], it[ask], *shared) >= least * length[it[ask]]
+                    parts.append([x[sure] for x in (row, it, lo, hi)])
+                row, it, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+                begin_row = np.searchsorted(rows, row)
                 by = np.argsort((hi - lo) + length[it])
                 best: dict[tuple[int, int], tuple[float, int, int]] = {}
                 a = 0

@@ -204,6 +204,42 @@ def test_leaks_of_edited_copies(spark):
     assert [x["item_id"] for x in got[1]] == [7] and 0.8 < got[1][0]["score"] < 1 and got[2] == []
 
 
+def test_leaks_of_copies_with_many_edits(spark):
+    """Also where over half of an item's 3-grams are gone, or only those are left that many documents have."""
+    asked, docs, want = [], [], {}
+    for n in (20, 30, 50, 80):
+        for kind in (4, 5, 6, "half"):
+            i = len(asked)
+            q = [f"q{i}w{k}" for k in range(n)]
+            copy = q[: n // 2] if kind == "half" else [f"other{i}w{k}" if k % kind == kind - 1 else w for k, w in enumerate(q)]
+            asked.append((i, " ".join(q)))
+            docs.append((i, " ".join([prose(50 + i, 60), *copy, prose(90 + i, 60)])))
+            want[i] = [i]
+    common = prose(40, 18).split()
+    q = common + [f"r{k}" for k in range(22)]
+    asked.append((99, " ".join(q)))
+    docs.append((99, " ".join([prose(41, 50), *common, *["other" if k % 3 == 2 else w for k, w in enumerate(q[18:])], prose(42, 50)])))
+    docs += [(100 + k, " ".join([f"a{k}", *common, f"b{k}"])) for k in range(60)]
+    docs += [(201, " ".join(q[23:29]))]  # has the rarest seeds
+    want |= {99: [99]}
+    leaks = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "item_id long, text string")).collect()
+    assert {r["doc_id"]: [x["item_id"] for x in r["_leaks"]] for r in leaks} == {r[0]: want.get(r[0], []) for r in docs}
+
+
+def test_leaks_in_small_runs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    h, rows = rng.integers(0, 9, 900).astype(np.uint64), np.sort(rng.integers(0, 40, 900))
+    monkeypatch.setattr(decontam, "PAIRS", 50)
+    monkeypatch.setattr(decontam, "WORDS", 50)
+    got = list(decontam.runs(rows, np.full(900, 3)))
+    assert [a for a, _ in got] == [0, *[b for _, b in got[:-1]]] and got[-1][1] == 900 and all(rows[a] != rows[a - 1] for a, _ in got[1:])
+    pairs, times = np.unique(decontam.paired(h[:60], np.repeat([0, 1], 30)), return_counts=True)
+    lo = rng.integers(0, 800, 70)
+    hi, item = lo + rng.integers(1, 90, 70), rng.integers(0, 2, 70)
+    brute = [sum((collections.Counter(h[a:b]) & collections.Counter(h[30 * i : 30 * i + 30])).values()) for a, b, i in zip(lo, hi, item, strict=True)]
+    assert decontam.in_common(h, lo, hi, item, pairs, times, decontam.bit_table(pairs)).tolist() == brute
+
+
 def test_measures_brute(spark, documents, odd):
     for d in (documents, odd):
         for r, t in zip(quality.measures(d.select("doc_id", "text").coalesce(1)).collect(), [x["text"] or "" for x in d.coalesce(1).collect()], strict=True):
