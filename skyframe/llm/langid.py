@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .store import small_arrow_batches
 
 LETTER = regex.compile(r"\p{L}")
+#: What a dictionary saves has a bound, so longer texts are compressed in equal blocks of this many bytes at most.
+BLOCK = 8192
 
 
 def held_out(id_col: Column, modulus: int = 4, fold: int = 2) -> Column:
@@ -45,11 +47,16 @@ def train(
     return out
 
 
+def blocks(raw: bytes) -> list[bytes]:
+    n = -(-len(raw) // BLOCK)
+    return [raw[len(raw) * i // n : len(raw) * (i + 1) // n] for i in range(n)]
+
+
 def predict(docs: DataFrame, model: dict[str, bytes], *, text_col: str = "text", level: int = 9, margin: float = 0.01, prefix: str = "") -> DataFrame:
     """Adds lang_pred, score and rejected, their names after `prefix`, to all columns of docs; columns of docs with these names are replaced.
 
-    Each whole text, in lower case, is compressed once with each language's dictionary; the smallest result names the language, ties go to
-    the first name. score is what the best result saves against the second, relative to it. rejected: score under `margin`,
+    Each whole text, in lower case, is compressed once with each language's dictionary, block by block, so that a long text has the margin
+    that its parts have; the smallest sum names the language, ties go to the first name. score is what the best sum saves against the second, relative to it. rejected: score under `margin`,
     or lang_pred is `und`: the text is null, empty or without a letter, or nothing was learned. With one language score is 1.
     """
     small_arrow_batches(docs.sparkSession)
@@ -74,8 +81,8 @@ def predict(docs: DataFrame, model: dict[str, bytes], *, text_col: str = "text",
                     langs.append("und")
                     scores.append(0.0)
                     continue
-                raw = t.lower().encode()
-                size = sorted((len(c.compress(raw)), n) for c, n in zip(coders, names, strict=True))
+                parts = blocks(t.lower().encode())
+                size = sorted((sum(len(c.compress(x)) for x in parts), n) for c, n in zip(coders, names, strict=True))
                 langs.append(size[0][1])
                 scores.append(1.0 - size[0][0] / size[1][0] if len(size) > 1 else 1.0)
             rejected = [n == "und" or s < margin for n, s in zip(langs, scores, strict=True)]

@@ -270,6 +270,18 @@ def test_language_accuracy(spark):
     assert sum(r[0] == r[1] for r in got) / len(got) > 0.96
 
 
+def test_long_texts_are_not_rejected(spark):
+    """Held-out texts of one language joined, up to a few MB."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null and lang is not null")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    long = docs.where(langid.held_out(F.col("doc_id"))).groupBy("lang").agg(F.concat_ws("\n", F.collect_list("text")).alias("text"))
+    got = langid.predict(long, model).collect()
+    assert min(len(r["text"]) for r in got) > 500_000 and max(len(r["text"]) for r in got) > 3_000_000
+    assert all(r["lang_pred"] == r["lang"] and not r["rejected"] and r["score"] > 0.05 for r in got)
+    for n in (1, 8192, 8193, 100_000):
+        assert b"".join(langid.blocks(bytes(n))) == bytes(n) and max(map(len, langid.blocks(bytes(n)))) <= langid.BLOCK
+
+
 def test_url_aliases(spark):
     pages = spark.createDataFrame(
         [(1, "http://a.net/x", '<link rel="canonical" href="http://b.net/es/1">'), (2, "http://b.net/es/1", None), (3, "http://c.org/", '<meta http-equiv="refresh" content="0; url=http://a.net/x">'), (4, "http://d.org/", ""), (5, None, None), (6, "none", ""), (7, "http://e.com/q", "")],
