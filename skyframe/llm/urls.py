@@ -21,15 +21,39 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(parts(1), UPPER, LOWER), parts(2)
 
 
+def without_dots(path: Column) -> Column:
+    """A path that starts with /, its segments . and .. carried out."""
+    step = lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, x))
+    # a dot segment at the end leaves a /
+    parts = F.split(F.regexp_replace(F.substring(path, 2, 1 << 30), r"(?s)(\A|/)(\.\.?)\z", "$1$2/"), "/")
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The url that a link names on the page at base (RFC 3986), as it is if it has a scheme and ://.
+
+    Null for a fragment of the page itself, other schemes (mailto:), and relative targets where base has no ://."""
+    of = lambda k: F.regexp_extract(base, r"(?s)\A([^:/?#]+):(//[^/?#]*)([^?#]*)", k)
+    path, rest = (F.regexp_extract(target, r"(?s)\A([^?#]*)(.*)", k) for k in (1, 2))
+    folder = F.concat(F.when(of(3) == "", "/").otherwise(F.regexp_extract(of(3), r"(?s)\A(.*/)", 1)), path)
+    inner = F.when(F.startswith(target, F.lit("?")), of(3)).when(F.startswith(target, F.lit("/")), without_dots(path)).otherwise(without_dots(folder))
+    return (
+        F.when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"\A(#|[A-Za-z][A-Za-z0-9+.-]*:|\z)") | (of(1) == ""), F.lit(None))
+        .when(F.startswith(target, F.lit("//")), F.concat(of(1), F.lit(":"), target))
+        .otherwise(F.concat(of(1), F.lit(":"), of(2), inner, rest))
+    )
+
+
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst) of the canonical links and the refresh redirects that pages declare. Relative links are left out."""
+    """(src, dst) of the canonical links and the refresh redirects that pages declare, relative ones resolved against the page's url (a <base> tag is not read)."""
     html = F.col(html_col)
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), 0)
     tag = pages.where(F.col(url_col).isNotNull() & (F.contains(html, F.lit("anonical")) | F.contains(html, F.lit("efresh")) | F.contains(html, F.lit("CANONICAL")) | F.contains(html, F.lit("EFRESH"))))
     tag = tag.select(F.col(url_col).alias("src"), F.explode(tags).alias("tag"))
     canonical = F.when(F.col("tag").rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     refresh = F.when(F.col("tag").rlike(r"(?i)http-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?is)\burl\s*=\s*['\"]?([^\"'\s>;]+)", 1))
-    return tag.select("src", F.coalesce(canonical, refresh).alias("dst")).where(F.contains("dst", F.lit("://")))
+    return tag.select("src", resolved(F.coalesce(canonical, refresh), F.col("src")).alias("dst")).where("dst is not null")
 
 
 def apply_rules(df: DataFrame, rules: tuple[tuple[str, str, str], ...] | DataFrame, host: str = "host", path: str = "path") -> DataFrame:

@@ -295,6 +295,22 @@ def test_url_aliases(spark):
     assert a == {(r["page_id"], r["rule"], r["verdict"]) for r in urls.url_filter(spark.read.parquet(f"{SF}/pages.parquet")).collect()}
 
 
+def test_relative_links(spark):
+    base = "http://a.net/b/c/d?q"
+    want = {
+        "/en/1": "http://a.net/en/1", "//h.org/x?y": "http://h.org/x?y", "g": "http://a.net/b/c/g", "./g/": "http://a.net/b/c/g/", "../g#s": "http://a.net/b/g#s", "../../../g": "http://a.net/g", "..": "http://a.net/b/",
+        ".": "http://a.net/b/c/", "?y=1/../2": "http://a.net/b/c/d?y=1/../2", "/x?u=http://h/": "http://a.net/x?u=http://h/", "https://h/": "https://h/", "/a/./b/../c": "http://a.net/a/c", "#s": None, "mailto:x": None, "g...": "http://a.net/b/c/g...",
+    }
+    rows = [(t, base, u) for t, u in want.items()] + [("x", "http://a.net", "http://a.net/x"), ("/x", "none", None)]
+    for r in spark.createDataFrame(rows, "t string, b string, u string").withColumn("got", urls.resolved(F.col("t"), F.col("b"))).collect():
+        assert r["got"] == r["u"], r
+    pages = spark.createDataFrame(
+        [(1, "http://a.org/es/0", '<link rel="canonical" href="//b.net/es/1">'), (2, "http://c.org/x/y", '<meta http-equiv="refresh" content="0; url=../es/0">'), (3, "http://c.org/es/0", '<link href="//b.net/es/1" rel=canonical>'), (4, "http://d.org/", '<link rel="canonical" href="#x">')],
+        "page_id long, url string, html string",
+    )
+    assert {r["page_id"]: r["verdict"] for r in urls.url_filter(pages).collect()} == {1: "block", 2: "block", 3: "block", 4: "allow"}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1040)]
