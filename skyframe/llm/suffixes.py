@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,14 +10,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import drop, small_arrow_batches, table
+from .store import drop, join_dealt, small_arrow_batches, table
 from .textkit import Powers, Prefixes, U, mix, texts
 
 #: Bytes that an anchor's hash covers.
 GRAM = 64
-#: Most contexts of one anchor that one task sorts; more are counted by window instead.
+#: Most contexts of one anchor that one task sorts; more are told apart by the bytes next to the anchor first.
 GROUP = 16_384
-SPANS = "array<struct<a:int,b:int>>"
+#: Distances at a time that a crowded anchor's contexts are told apart for.
+STEP = 42
+#: Bytes of the digests that say two strings are equal.
+DIGEST = 16
+
+
+def digest(*parts: bytes) -> bytes:
+    return hashlib.blake2b(b"".join(parts), digest_size=DIGEST).digest()
 
 
 def anchors(raw: np.ndarray, at: np.ndarray, length: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, Prefixes]:
@@ -26,11 +34,8 @@ def anchors(raw: np.ndarray, at: np.ndarray, length: int, powers: Powers) -> tup
     if len(raw) < length:
         return np.zeros(0, np.int64), np.zeros(0, U), p
     h = mix(p.sliding(GRAM))
-    bits = U(22)
-    low = U((1 << 22) - 1)
-    if len(h) >= 1 << 22:  # one text of over 4 MB
-        bits, low = U(32), U((1 << 32) - 1)
-    least = (h >> bits << bits) | np.arange(len(h), dtype=U)
+    # 32 bits of the hash and the place, in texts of any length: which of equal hashes wins depends on their order alone
+    least = (h >> U(32) << U(32)) | np.arange(len(h), dtype=U)
     width, span = length - GRAM + 1, 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
@@ -43,28 +48,29 @@ def anchors(raw: np.ndarray, at: np.ndarray, length: int, powers: Powers) -> tup
     fit = size >= length
     np.add.at(inside, at[:-1][fit], 1)
     np.add.at(inside, at[1:][fit] - length + 1, -1)
-    place = (least & low)[np.cumsum(inside)[: len(least)] > 0].astype(np.int64)
+    place = (least & U((1 << 32) - 1))[np.cumsum(inside)[: len(least)] > 0].astype(np.int64)
     place = place[np.flatnonzero(np.diff(place, prepend=-1))]
     return place, h[place], p
 
 
 def anchor_table(docs: DataFrame, length: int) -> DataFrame:
-    """(key, place, gram, context) of the anchors of docs (key, text); context: a hash of the bytes around, as far as strings with that anchor reach."""
+    """(key, place, gram, context) of the anchors of docs (key, text); context: a digest of the bytes around, as far as strings with that anchor reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
             for first, raw, at in texts(batch.column(1)):
-                place, gram, p = anchors(raw, at, length, powers)
+                place, gram, _ = anchors(raw, at, length, powers)
                 row = np.searchsorted(at, place, "right") - 1
                 a, b = np.maximum(place - (length - GRAM), at[row]), np.minimum(place + length, at[row + 1])
-                context = mix(p.of(a, b) + mix((place - a).astype(U) * U(length + 1) + (b - place).astype(U)))
+                view = memoryview(np.ascontiguousarray(raw))
+                context = [digest(left.to_bytes(4), view[x:y]) for left, x, y in zip((place - a).tolist(), a.tolist(), b.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row + first)), pa.array((place - at[row]).astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))],
+                    [batch.column(0).take(pa.array(row + first)), pa.array((place - at[row]).astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(context, pa.binary())],
                     names=["key", "place", "gram", "context"],
                 )
 
-    return docs.select("key", "text").mapInArrow(run, "key binary, place int, gram long, context long")
+    return docs.select("key", "text").mapInArrow(run, "key binary, place int, gram long, context binary")
 
 
 def context_table(docs: DataFrame, length: int) -> DataFrame:
@@ -217,7 +223,7 @@ def spans_of(flags: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def sorted_groups(contexts: DataFrame, length: int) -> DataFrame:
-    """(key, a, b) covered by strings that another context of the same anchor has; contexts are dealt by gram and sorted by it."""
+    """(key, a, b) covered by strings that another context of the same anchor (gram) has, at distances of lo to hi from it; contexts are dealt by gram and sorted by it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -228,6 +234,8 @@ def sorted_groups(contexts: DataFrame, length: int) -> DataFrame:
             group = np.cumsum(np.diff(gram, prepend=gram[0]) != 0)
             place = t["place"].to_numpy().astype(np.int64)
             flags = repeated(group, t["left"].to_numpy().astype(np.int64), t["bytes"].to_pylist(), length, powers)
+            o = np.arange(flags.shape[1])
+            flags &= (o >= t["lo"].to_numpy()[:, None]) & (o <= t["hi"].to_numpy()[:, None])
             row, a, b = spans_of(flags, place, length)
             return pa.RecordBatch.from_arrays([t["key"].combine_chunks().take(pa.array(row)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["key", "a", "b"])
 
@@ -245,29 +253,43 @@ def sorted_groups(contexts: DataFrame, length: int) -> DataFrame:
         if rows:
             yield solve(pa.Table.from_batches(held))
 
-    return contexts.select("gram", "key", "place", "left", "bytes").mapInArrow(run, "key binary, a int, b int")
+    return contexts.select("gram", "key", "place", "left", "bytes", "lo", "hi").mapInArrow(run, "key binary, a int, b int")
+
+
+def told_apart(contexts: DataFrame, length: int) -> DataFrame:
+    """The contexts of crowded anchors (gram, key, place, left, bytes), dealt into smaller groups: a string that starts o bytes before the
+    anchor, lo <= o <= hi, has the lo bytes before the anchor and the length - hi after it in common with its copies, so contexts are
+    grouped by these bytes' digest, for each such range of STEP distances. gram is replaced by the group's; lo and hi are added."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                gram, around, left = batch.column(0)[i].as_py(), batch.column(4)[i].as_py(), batch.column(3)[i].as_py()
+                lows = [o for o in range(0, length - GRAM + 1, STEP) if o <= left and length - min(o + STEP - 1, length - GRAM) <= len(around) - left]
+                highs = [min(o + STEP - 1, length - GRAM) for o in lows]
+                group = [int.from_bytes(digest(gram.to_bytes(8, signed=True), o.to_bytes(4), around[left - o : left + length - h])[:8], signed=True) for o, h in zip(lows, highs, strict=True)]
+                one = batch.slice(i, 1).take(pa.array([0] * len(lows), pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), *one.columns[1:], pa.array(lows, pa.int32()), pa.array(highs, pa.int32())], names=["gram", "key", "place", "left", "bytes", "lo", "hi"])
+
+    return contexts.select("gram", "key", "place", "left", "bytes").mapInArrow(run, "gram long, key binary, place int, left int, bytes binary, lo int, hi int")
 
 
 def counted_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with more contexts than a task should hold: each string is counted by a hash of 128 bits."""
+    """(key, a, b) covered by strings that stand at two places, for groups of contexts that even told_apart() leaves too large for one task: each
+    string at a distance of lo to hi is counted by a digest of its bytes, which needs no task to hold a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
         for batch in batches:
-            for key, place, left, around in zip(*(batch.column(i) for i in range(4)), strict=True):
-                raw, skip = np.frombuffer(around.as_py(), np.uint8), left.as_py()
-                starts = np.arange(0, min(skip, len(raw) - length) + 1)
-                if not len(starts):
-                    continue
-                p, q = Prefixes(raw, powers), Prefixes(mix(raw.astype(U) + U(7)), powers)
-                a = place.as_py() - skip + starts
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(starts), pa.binary()), pa.array(a.astype(np.int32)), pa.array(mix(p.of(starts, starts + length)).view(np.int64)), pa.array(mix(q.of(starts, starts + length)).view(np.int64))], names=["key", "a", "h1", "h2"])
-
-    w = contexts.select("key", "place", "left", "bytes").mapInArrow(run, "key binary, a int, h1 long, h2 long")
+            for key, place, left, around, lo, hi in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                starts = [s for s in range(max(0, left - hi), left - lo + 1) if s + length <= len(around)]
+                a = [place - left + s for s in starts]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(starts), pa.binary()), pa.array(a, pa.int32()), pa.array([digest(around[s : s + length]) for s in starts], pa.binary())], names=["key", "a", "h"])
+
+    w = table(contexts.select("key", "place", "left", "bytes", "lo", "hi").mapInArrow(run, "key binary, a int, h binary"), "windows")
     # contexts of two anchors may hold one string of a text: only different places count
     at = F.struct("key", "a")
-    more = w.groupBy("h1", "h2").agg(F.min(at).alias("x"), F.max(at).alias("y")).where("x != y").select("h1", "h2")
-    return w.join(more, ["h1", "h2"]).select("key", "a", (F.col("a") + length).alias("b"))
+    more = table(w.groupBy("h").agg(F.min(at).alias("x"), F.max(at).alias("y"), F.count("*").alias("n")).where("x != y").select("h", "n"), "more")
+    return join_dealt(w, more, ["h"], "n").select("key", "a", (F.col("a") + length).alias("b"))
 
 
 def cut_out(docs: DataFrame) -> DataFrame:
@@ -299,16 +321,19 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     2. Each string has an anchor in it, one place in some 170. Anchors are grouped by hash with counts only; those that stand
        alone are dropped, and contexts that are equal as far as strings reach are known to be repeated from their count alone.
     3. What is left, contexts that share an anchor but differ at some distance, is sorted in one task for each anchor: see
-       repeated(). Anchors with over `group` such contexts are counted string by string, which needs no task to hold them.
-    Hashes that bring texts together are 128 bits; the sort verifies its order and its common lengths on the bytes.
+       repeated(). An anchor with over `group` such contexts is dealt into groups that share the bytes next to it as well: see
+       told_apart(); one of these that is still over `group` is counted string by string, which needs no task to hold it.
+    The sort verifies its order and its common lengths on the bytes, so hashes decide nothing there. Where bytes do not meet in a
+    task (equal texts, equal contexts, counted strings), equal means an equal cryptographic digest of the bytes, 128 bits.
 
-    Null texts count as empty; texts under `length` bytes keep all. Rows that repeat id and text have copies like any others.
+    Null texts count as empty; texts under `length` bytes keep all. Rows that repeat id and text have copies like any others, and ties
+    have no order: every copy of a string is removed. Other columns of docs are not read, whatever their names.
     """
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
     small_arrow_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
+    d = docs.select(F.col(id_col).alias("id"), F.substring(F.unhex(F.sha2(text, 256)), 1, DIGEST).alias("key"), text.alias("text"))
     long_ = d.where(F.octet_length("text") >= length)
     copies = table(long_.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1").select("key"), "copies")
     # copies of a text give equal rows of anchors; only their number differs
@@ -316,9 +341,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     per = found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("one"))
     per = table(per, "contexts")
     grams = per.groupBy("gram").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
-    equal = per.where("n > 1").select("gram", "context")
+    equal = per.where("n > 1").select("gram", "context", "n")
     reach = length - GRAM
-    whole = found.join(equal, ["gram", "context"]).join(copies, "key", "left_anti")
+    whole = join_dealt(found, equal, ["gram", "context"], "n").join(copies, "key", "left_anti")
     whole = table(whole.select("key", F.greatest(F.col("place") - reach, F.lit(0)).alias("a"), (F.col("place") + length).alias("b")), "whole")
     drop(found)
     open_ = per.join(grams.where("kinds > 1").select("gram", "kinds"), "gram").select("gram", "kinds", "one.key", "one.place")
@@ -327,10 +352,18 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     wanted = open_.groupBy("key").agg(F.collect_list(F.struct("place", "gram")).alias("at"))
     one = long_.select("key", "text").join(wanted, "key").dropDuplicates(["key"])
     around = context_table(one, length)
-    hot = open_.where(F.col("kinds") > group).select("gram").distinct()
     around = table(around, "around")
-    cold = around.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram", "key", "place")
-    spans = sorted_groups(cold, length).union(counted_windows(around.join(hot, "gram"), length))
+    crowded = open_.groupBy("gram").agg(F.max("kinds").alias("kinds")).where(F.col("kinds") > group).select("gram")
+    near = around.join(crowded, "gram", "left_anti").withColumns({"lo": F.lit(0), "hi": F.lit(reach)})
+    if not (crowded := table(crowded, "crowded")).isEmpty():
+        apart = table(told_apart(around.join(crowded, "gram"), length), "apart")
+        kinds = table(apart.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "kinds")
+        near = near.unionByName(apart.join(kinds.where(F.col("n") <= group).select("gram"), "gram", "left_semi"))
+        many = counted_windows(join_dealt(apart, kinds.where(F.col("n") > group), ["gram"], "n"), length)
+    else:
+        many = None
+    spans = sorted_groups(near.repartition("gram").sortWithinPartitions("gram", "key", "place"), length)
+    spans = spans.union(many) if many is not None else spans
     spans = table(spans.union(whole).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
     drop(around)
     own = long_.select("key", "text").join(copies, "key", "left_anti").join(spans, "key")

@@ -168,23 +168,37 @@ def test_forward_is_exact():
     assert counts[: hmm.STATES].sum() == pytest.approx(2, rel=1e-4) and counts[hmm.STATES + hmm.STATES**2 :].sum() == pytest.approx(5, rel=1e-4)
 
 
-@pytest.mark.parametrize("group", [suffixes.GROUP, 2])
-def test_repeats_brute(spark, odd, group):
-    docs = odd.union(odd.where("doc_id = 10").withColumns({"doc_id": F.lit(50).cast("long"), "text": F.concat(F.lit("abc "), "text", F.lit(" xyz"))}))
-    got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in suffixes.remove_repeats(docs, length=100, group=group).collect())
-    raws = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
-    seen = collections.Counter(raw[i : i + 100] for _, raw in raws for i in range(len(raw) - 99))
-    want = collections.Counter()
+def without_repeats(raws, length):
+    """(id, bytes, removed, spans, digest of the rest) of each (id, bytes), by a count of all strings."""
+    seen = collections.Counter(raw[i : i + length] for _, raw in raws for i in range(len(raw) - length + 1))
+    out = collections.Counter()
     for i, raw in raws:
         gone = np.zeros(len(raw) + 1, int)
-        for k in range(len(raw) - 99):
-            if seen[raw[k : k + 100]] > 1:
+        for k in range(len(raw) - length + 1):
+            if seen[raw[k : k + length]] > 1:
                 gone[k] += 1
-                gone[k + 100] -= 1
-        out = np.cumsum(gone)[:-1] > 0
-        kept = np.frombuffer(raw, np.uint8)[~out].tobytes()
-        want[i, len(raw), int(out.sum()), int((np.diff(out.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()] += 1
-    assert got == want
+                gone[k + length] -= 1
+        cut = np.cumsum(gone)[:-1] > 0
+        kept = np.frombuffer(raw, np.uint8)[~cut].tobytes()
+        out[i, len(raw), int(cut.sum()), int((np.diff(cut.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()] += 1
+    return out
+
+
+@pytest.mark.parametrize(("length", "group"), [(100, suffixes.GROUP), (100, 2), (300, 2)])
+def test_repeats_brute(spark, odd, length, group):
+    docs = odd.union(odd.where("doc_id = 10").withColumns({"doc_id": F.lit(50).cast("long"), "text": F.concat(F.lit("abc "), "text", F.lit(" xyz"))}))
+    passage = prose(77, 70)  # in many texts, with one side or both in common: a crowded anchor
+    rows = [(200 + i, f"{prose(80 + i % 2, 40)[: 30 * (i % 5)]} {passage} {prose(90 + i % 3, 40)[: 40 * (i % 7)]} {prose(300 + i, 30)}") for i in range(12)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in suffixes.remove_repeats(docs, length=length, group=group).collect())
+    assert got == without_repeats([(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()], length)
+
+
+def test_repeats_of_documents(spark, documents):
+    """The query's own length, on all documents of the smallest tables."""
+    got = collections.Counter(map(tuple, suffixes.op5_suffix_dedup(spark, SF).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()))
+    assert got == without_repeats([(r["doc_id"], (r["text"] or "").encode()) for r in documents.collect()], 400)
+    assert any(r[2] for r in got) and any(not r[2] for r in got)
 
 
 def test_sort_survives_collisions():
