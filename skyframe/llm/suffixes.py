@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import drop, join_dealt, small_arrow_batches, table
+from .store import drop, join_dealt, sent, small_arrow_batches, table
 from .textkit import Powers, Prefixes, U, mix, texts
 
 #: Bytes that an anchor's hash covers.
 GRAM = 64
 #: Most contexts of one anchor that one task sorts; more are told apart by the bytes next to the anchor first.
-GROUP = 16_384
+GROUP = 4096
 #: Distances at a time that a crowded anchor's contexts are told apart for.
 STEP = 42
 #: Bytes of the digests that say two strings are equal.
@@ -353,10 +353,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     one = long_.select("key", "text").join(wanted, "key").dropDuplicates(["key"])
     around = context_table(one, length)
     around = table(around, "around")
-    crowded = open_.groupBy("gram").agg(F.max("kinds").alias("kinds")).where(F.col("kinds") > group).select("gram")
-    near = around.join(crowded, "gram", "left_anti").withColumns({"lo": F.lit(0), "hi": F.lit(reach)})
-    if not (crowded := table(crowded, "crowded")).isEmpty():
-        apart = table(told_apart(around.join(crowded, "gram"), length), "apart")
+    crowded = table(open_.groupBy("gram").agg(F.max("kinds").alias("kinds")).where(F.col("kinds") > group).select("gram"), "crowded")
+    near = around.join(sent(crowded), "gram", "left_anti").withColumns({"lo": F.lit(0), "hi": F.lit(reach)})
+    if not crowded.isEmpty():
+        apart = table(told_apart(around.join(sent(crowded), "gram"), length), "apart")
         kinds = table(apart.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "kinds")
         near = near.unionByName(apart.join(kinds.where(F.col("n") <= group).select("gram"), "gram", "left_semi"))
         many = counted_windows(join_dealt(apart, kinds.where(F.col("n") > group), ["gram"], "n"), length)
