@@ -257,25 +257,49 @@ def sorted_groups(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def told_apart(contexts: DataFrame, length: int) -> DataFrame:
-    """The contexts of crowded anchors (gram, key, place, left, bytes), dealt into smaller groups: a string that starts o bytes before the
-    anchor, lo <= o <= hi, has the lo bytes before the anchor and the length - hi after it in common with its copies, so contexts are
-    grouped by these bytes' digest, for each such range of STEP distances. gram is replaced by the group's; lo and hi are added."""
+    """(g, e, key, place, lo) of the contexts of crowded anchors (gram, key, place, left, bytes), for each range of STEP distances: a string that
+    starts o bytes before the anchor, lo <= o < lo + STEP, has the lo bytes before the anchor and length - lo - STEP + 1 after it in common with its
+    copies. g: a digest of the anchor's and these bytes; e: one of all bytes that strings of the range have."""
+    reach = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                gram, around, left = batch.column(0)[i].as_py(), batch.column(4)[i].as_py(), batch.column(3)[i].as_py()
-                lows = [o for o in range(0, length - GRAM + 1, STEP) if o <= left and length - min(o + STEP - 1, length - GRAM) <= len(around) - left]
-                highs = [min(o + STEP - 1, length - GRAM) for o in lows]
-                group = [int.from_bytes(digest(gram.to_bytes(8, signed=True), o.to_bytes(4), around[left - o : left + length - h])[:8], signed=True) for o, h in zip(lows, highs, strict=True)]
-                one = batch.slice(i, 1).take(pa.array([0] * len(lows), pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), *one.columns[1:], pa.array(lows, pa.int32()), pa.array(highs, pa.int32())], names=["gram", "key", "place", "left", "bytes", "lo", "hi"])
-
-    return contexts.select("gram", "key", "place", "left", "bytes").mapInArrow(run, "gram long, key binary, place int, left int, bytes binary, lo int, hi int")
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for gram, key, place, left, around in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                name = gram.to_bytes(8, signed=True)
+                for lo in range(0, min(left, reach) + 1, STEP):
+                    hi = min(lo + STEP - 1, reach)
+                    if len(around) - left < length - hi:
+                        continue
+                    a, z = max(0, left - hi), left - lo + length
+                    out[0].append(int.from_bytes(digest(name, lo.to_bytes(4), around[left - lo : left + length - hi])[:8], signed=True))
+                    out[1].append(digest((left - a).to_bytes(4), around[a:z]))
+                    out[2].append(key)
+                    out[3].append(place)
+                    out[4].append(lo)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["g", "e", "key", "place", "lo"])
+
+    return contexts.select("gram", "key", "place", "left", "bytes").mapInArrow(run, "g long, e binary, key binary, place int, lo int")
+
+
+def crowded_groups(contexts: DataFrame, length: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """(contexts with lo and hi in smaller groups to sort, (key, a, b) covered by strings found otherwise), as remove_repeats() does with all anchors:
+    in each range of distances, contexts with equal bytes are known to be repeated by their count, and one of them stands for them."""
+    reach = length - GRAM
+    apart = table(told_apart(contexts, length), "apart")
+    per = table(apart.groupBy("g", "lo", "e").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("one")), "per")
+    hi = F.least(F.col("lo") + (STEP - 1), F.lit(reach))
+    whole = join_dealt(apart.select("g", "e", "key", "place", "lo"), per.where("n > 1").select("g", "e", "n"), ["g", "e"], "n")
+    whole = whole.select("key", F.greatest(F.col("place") - hi, F.lit(0)).alias("a"), (F.col("place") - F.col("lo") + length).alias("b"))
+    kinds = per.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    open_ = table(per.join(kinds, "g").select("g", "kinds", "lo", hi.alias("hi"), "one.key", "one.place"), "open")
+    around = contexts.select("key", "place", "left", "bytes").join(sent(open_), ["key", "place"]).withColumnRenamed("g", "gram")
+    few = around.where(F.col("kinds") <= group)
+    return few.select("gram", "key", "place", "left", "bytes", "lo", "hi"), whole.union(counted_windows(around.where(F.col("kinds") > group), length))
 
 
 def counted_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """(key, a, b) covered by strings that stand at two places, for groups of contexts that even told_apart() leaves too large for one task: each
+    """(key, a, b) covered by strings that stand at two places, for groups of contexts that are too large for one task even within a range of distances: each
     string at a distance of lo to hi is counted by a digest of its bytes, which needs no task to hold a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,8 +345,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     2. Each string has an anchor in it, one place in some 170. Anchors are grouped by hash with counts only; those that stand
        alone are dropped, and contexts that are equal as far as strings reach are known to be repeated from their count alone.
     3. What is left, contexts that share an anchor but differ at some distance, is sorted in one task for each anchor: see
-       repeated(). An anchor with over `group` such contexts is dealt into groups that share the bytes next to it as well: see
-       told_apart(); one of these that is still over `group` is counted string by string, which needs no task to hold it.
+       repeated(). An anchor with over `group` such contexts is dealt into groups that share the bytes next to it as well, by
+       ranges of distances: see crowded_groups(). One of these that is still over `group` is counted string by string, which needs no task to hold it.
     The sort verifies its order and its common lengths on the bytes, so hashes decide nothing there. Where bytes do not meet in a
     task (equal texts, equal contexts, counted strings), equal means an equal cryptographic digest of the bytes, 128 bits.
 
@@ -356,10 +380,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     crowded = table(open_.groupBy("gram").agg(F.max("kinds").alias("kinds")).where(F.col("kinds") > group).select("gram"), "crowded")
     near = around.join(sent(crowded), "gram", "left_anti").withColumns({"lo": F.lit(0), "hi": F.lit(reach)})
     if not crowded.isEmpty():
-        apart = table(told_apart(around.join(sent(crowded), "gram"), length), "apart")
-        kinds = table(apart.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "kinds")
-        near = near.unionByName(apart.join(kinds.where(F.col("n") <= group).select("gram"), "gram", "left_semi"))
-        many = counted_windows(join_dealt(apart, kinds.where(F.col("n") > group), ["gram"], "n"), length)
+        few, many = crowded_groups(around.join(sent(crowded), "gram"), length, group)
+        near = near.unionByName(few)
     else:
         many = None
     spans = sorted_groups(near.repartition("gram").sortWithinPartitions("gram", "key", "place"), length)
