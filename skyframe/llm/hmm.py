@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from .store import small_arrow_batches, table
 from .textkit import LOWER, Powers, Prefixes, U, mix, texts, words
 
-#: Latent states, classes of words, most words whose counts are sent to every task, tokens that one forward pass holds.
-STATES, CLASSES, HEAD, TOKENS = 8, 4096, 1 << 17, 2_000_000
-#: Texts and tokens of the sample that the start of training is fitted on, rounds on it, rounds over the whole corpus after it.
-SAMPLE, SAMPLE_TOKENS, SAMPLE_ROUNDS, ROUNDS = 400, 150_000, 12, 2
+#: Latent states, classes of words, most words whose counts are sent to every task, tokens that one pass holds.
+STATES, CLASSES, HEAD, TOKENS = 8, 4096, 1 << 17, 1_000_000
+#: Most rounds of training over the whole corpus, and the gain in log10 likelihood a token under which they end.
+ROUNDS, GAIN = 8, 0.002
 END = 0  # the class of the end of a text
 
 
@@ -62,120 +62,138 @@ class Model:
         return Model(a / a.sum(), b / b.sum(1, keepdims=True), c / c.sum(1, keepdims=True))
 
 
-def passes(model: Model, classes: list[np.ndarray], learn: np.ndarray | None = None) -> np.ndarray:
-    """log10 likelihood of each sequence of classes, its end included, by the scaled forward recursion. With learn, the
-    backward recursion adds the expected counts to it. All sequences step together, the longest first."""
+def passes(model: Model, classes: list[np.ndarray], learn: np.ndarray | None = None, most: int = TOKENS) -> np.ndarray:
+    """log10 likelihood of each sequence of classes, its end included, by the scaled forward recursion, in 64 bits. With learn, the
+    backward recursion adds the expected counts to it. All sequences step together, the longest first.
+
+    The forward numbers of at most about `most` tokens are held: of more, only those at the start of every block of steps are, and
+    the backward recursion computes a block's anew. So a very long text costs a second forward pass, not memory."""
     n = np.array([len(c) for c in classes], np.int64)
     order = np.argsort(-n, kind="stable")
     n_sorted = n[order]
     longest = int(n_sorted[0]) if len(n) else 0
-    live = np.searchsorted(-n_sorted, -np.arange(longest), "left")  # sequences longer than t
-    first = np.concatenate([[0], np.cumsum(live)])
-    flat = np.empty(first[-1], np.int64)
+    live = np.searchsorted(-n_sorted, -np.arange(longest), "left").astype(np.int32)  # sequences longer than t
+    first = np.concatenate([[0], np.cumsum(live, dtype=np.int64)])
+    flat = np.empty(first[-1], np.int16)
     for k, i in enumerate(order):
         flat[first[: n[i]] + k] = classes[i]
-    emit = np.ascontiguousarray(model.emit.T.astype(np.float32))
-    move = model.move.astype(np.float32)
+    emit = np.ascontiguousarray(model.emit.T)
     likely = np.zeros(len(n))
-    alphas = np.empty((len(flat), STATES), np.float32) if learn is not None else None
-    scales = np.empty(len(flat), np.float32) if learn is not None else None
-    a = None
-    for t in range(longest):
-        m, x = live[t], flat[first[t] : first[t + 1]]
-        a = (np.broadcast_to(model.start.astype(np.float32), (m, STATES)) if t == 0 else a[:m] @ move) * emit[x]
+
+    def forward(t: int, a: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        x = flat[first[t] : first[t + 1]]
+        a = (np.broadcast_to(model.start, (live[t], STATES)) if t == 0 else a[: live[t]] @ model.move) * emit[x]
         s = a.sum(1)
-        a = a / s[:, None]
-        likely[:m] += np.log10(s, dtype=np.float64)
-        if learn is not None:
-            alphas[first[t] : first[t + 1]], scales[first[t] : first[t + 1]] = a, s
+        return a / s[:, None], s
+
+    # the first step of each block of steps
+    cuts = [0]
+    while learn is not None and first[-1] - first[cuts[-1]] > most:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(first, first[cuts[-1]] + most, "right")) - 1))
+    blocks = list(zip(cuts, [*cuts[1:], longest], strict=True))
+    room = max((first[z] - first[a] for a, z in blocks), default=0) if learn is not None else 0
+    alphas, scales = np.empty((room, STATES)), np.empty(room)
+    before: dict[int, np.ndarray | None] = {}
+    a = None
+    for lo, hi in blocks:
+        before[lo] = a
+        for t in range(lo, hi):
+            a, s = forward(t, a)
+            likely[: live[t]] += np.log10(s)
+            if learn is not None and hi == longest:
+                alphas[first[t] - first[lo] : first[t + 1] - first[lo]], scales[first[t] - first[lo] : first[t + 1] - first[lo]] = a, s
     if learn is not None and longest:
         moved = np.zeros((STATES, STATES))
-        b = np.ones((live[longest - 1], STATES), np.float32)
-        gammas = np.empty_like(alphas)
-        for t in range(longest - 1, -1, -1):
-            m = live[t]
-            if t < longest - 1:
-                k = live[t + 1]
-                x = flat[first[t + 1] : first[t + 2]]
-                ahead = emit[x] * b / scales[first[t + 1] : first[t + 2], None]
-                moved += alphas[first[t] : first[t] + k].T @ ahead
-                b = np.ones((m, STATES), np.float32)
-                b[:k] = ahead @ move.T
-            gammas[first[t] : first[t + 1]] = alphas[first[t] : first[t + 1]] * b
-        learn[:STATES] += gammas[: live[0]].sum(0)
+        ahead = None  # of step t + 1: emission times what follows, scaled
+        for lo, hi in reversed(blocks):
+            if hi < longest:
+                a = before[lo]
+                for t in range(lo, hi):
+                    a, s = forward(t, a)
+                    alphas[first[t] - first[lo] : first[t + 1] - first[lo]], scales[first[t] - first[lo] : first[t + 1] - first[lo]] = a, s
+            for t in range(hi - 1, lo - 1, -1):
+                p, q = first[t] - first[lo], first[t + 1] - first[lo]
+                b = np.ones((live[t], STATES))
+                if ahead is not None:
+                    k = len(ahead)
+                    moved += alphas[p : p + k].T @ ahead
+                    b[:k] = ahead @ model.move.T
+                ahead = emit[flat[first[t] : first[t + 1]]] * b / scales[p:q, None]
+                alphas[p:q] *= b  # now the chance of each state
+            x = flat[first[lo] : first[hi]]
+            for s in range(STATES):
+                at = STATES + STATES * STATES + s * CLASSES
+                learn[at : at + CLASSES] += np.bincount(x, alphas[: len(x), s], CLASSES)
+            if lo == 0:
+                learn[:STATES] += alphas[: live[0]].sum(0)
         learn[STATES : STATES + STATES * STATES] += (moved * model.move).ravel()
-        for s in range(STATES):
-            at = STATES + STATES * STATES + s * CLASSES
-            learn[at : at + CLASSES] += np.bincount(flat, gammas[:, s], CLASSES)
     out = np.empty(len(n))
     out[order] = likely
     return out
 
 
 def lots(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
-    """Batches together until they have TOKENS tokens, with the sequences of classes of their rows."""
+    """Rows together until they have TOKENS tokens, with the sequences of classes of their rows; one longer row is a lot of its own."""
     held, seqs, size = [], [], 0
     for b in batches:
-        new = [np.frombuffer(x.as_py(), np.int16).astype(np.int64) for x in b.column(column)]
-        held.append(b)
-        seqs += new
-        size += sum(map(len, new))
-        if size >= TOKENS:
-            yield held, seqs
-            held, seqs, size = [], [], 0
-    if held:
+        new = [np.frombuffer(x.as_py(), np.int16) for x in b.column(column)]
+        at = 0
+        for i, x in enumerate(new):
+            if size and size + len(x) > TOKENS:
+                yield [*held, b.slice(at, i - at)], seqs
+                held, seqs, size, at = [], [], 0, i
+            seqs.append(x)
+            size += len(x)
+        held.append(b.slice(at))
+    if seqs:
         yield held, seqs
 
 
-def train(coded: DataFrame, share: np.ndarray) -> Model:
-    """Baum-Welch over all rows of coded (classes: binary of int16). A bounded sample (SAMPLE texts, SAMPLE_TOKENS tokens)
-    first draws the states apart on the driver; ROUNDS passes over the whole corpus follow, each of which sums expected
-    counts in every task and then, by parameter, across tasks. Only the parameters, a fixed number, reach the driver."""
+def train(coded: DataFrame, share: np.ndarray, rounds: int = ROUNDS, gain: float = GAIN) -> Model:
+    """Baum-Welch over all rows of coded (classes: binary of int16). The start follows the shares of the classes in the whole corpus, with
+    a fixed random factor that draws the states apart. Each round sums expected counts and the likelihood in every task and then, by
+    parameter, across tasks; rounds end when the likelihood of a token gains less than `gain`. Only the parameters, a fixed number, reach the driver."""
     model = Model.first(share)
-    rows = coded.orderBy(F.xxhash64("classes"), "classes").limit(SAMPLE).collect()
-    sample, size = [], 0
-    for r in rows:
-        x = np.frombuffer(r["classes"], np.int16).astype(np.int64)
-        if size + len(x) <= SAMPLE_TOKENS:
-            sample.append(x)
-            size += len(x)
     size_of = STATES + STATES * STATES + STATES * CLASSES
-    if not sample:
-        return model
-    for _ in range(SAMPLE_ROUNDS):
-        counts = np.zeros(size_of)
-        passes(model, sample, counts)
-        # classes that the sample lacks keep their share of the corpus
-        counts[STATES + STATES * STATES :] += np.tile(share * 0.02 * size / STATES, STATES)
-        model = Model.of(counts)
     sc = coded.sparkSession.sparkContext
-    for _ in range(ROUNDS):
+    last = -math.inf
+    for _ in range(rounds):
         sent = sc.broadcast(model.parts())
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            counts = np.zeros(size_of)
+            counts, model, likely, n = np.zeros(size_of + 2), Model(*sent.value), 0.0, 0
             for _, seqs in lots(batches, 0):
-                passes(Model(*sent.value), seqs, counts)
+                likely += passes(model, seqs, counts[:size_of]).sum()
+                n += sum(map(len, seqs))
+            counts[size_of:] = likely, n
             k = np.flatnonzero(counts)
             for a in range(0, len(k), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(k[a : a + 4096].astype(np.int32)), pa.array(counts[k[a : a + 4096]])], names=["k", "n"])
 
-        counts = np.zeros(size_of)
-        got = coded.select("classes").mapInArrow(expect, "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).collect()
-        for r in got:
+        counts = np.zeros(size_of + 2)
+        for r in coded.select("classes").mapInArrow(expect, "k int, n double").groupBy("k").agg(F.sum("n").alias("n")).collect():
             counts[r["k"]] = r["n"]
-        model = Model.of(counts)
+        sent.destroy()
+        if not counts[-1]:
+            break
+        model = Model.of(counts[:size_of])
+        now = counts[-2] / counts[-1]
+        if now - last < gain:
+            break
+        last = now
     return model
 
 
-def scores(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, training, n_tokens, n_known, train_tokens, base_score, score.
+def scores(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
+    """One row per document: id, training, n_tokens, n_known, train_tokens, base_score, score. model: states trained before, else train()'s.
 
     Tokens are words, A-Z lower-cased, and one end a text. c counts a token in the texts where training is true, N all of
     them, V distinct ones. base_score sums log10((c + 0.5) / (N + 0.5 (V + 1))). The model's score of a text is the exact
     log10 probability of its tokens: of their classes' sequence under the hidden Markov model, and of each word within its
     class, (c + 0.5) / (n + 0.5 (v + 1)) with n tokens and v distinct ones in the class; the end is alone in its own.
-    Words are counted by hashes of 64 bits. A null or empty text is an end alone. With no training text all counts are 0.
+    Words are counted by hashes of 64 bits. A null or empty text is an end alone. With no training text all counts are 0. Rows that
+    repeat id and text are counted and scored as often as they stand; no other column of docs is read, whatever its name. Very long
+    texts are worked on in blocks of steps, whole.
 
     Two scans read texts: one counts, the other codes texts by class and looks up the HEAD most frequent words, which are sent to
     all tasks; counts of the others are joined by hash. Training and scoring read the codes.
@@ -257,7 +275,7 @@ def scores(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_co
     tail = tail.groupBy("row").agg(F.sum(F.log10(c + 0.5) - F.lit(base_of)).alias("base2"), F.sum(F.log10(c + 0.5) - F.col("of")).alias("word2"), F.sum((c > 0).cast("long")).alias("known2"))
     share = class_n + 0.5
     share[END] = ends + 0.5
-    model = sc.broadcast(train(coded.where("training"), share / share.sum()).parts())
+    model = sc.broadcast((model or train(coded.where("training"), share / share.sum())).parts())
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, seqs in lots(batches, 1):

@@ -157,15 +157,62 @@ def test_hmm(spark, documents):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def random_model(seed=0):
+    rng = np.random.default_rng(seed)
+    return hmm.Model(rng.dirichlet(np.ones(hmm.STATES)), rng.dirichlet(np.ones(hmm.STATES), hmm.STATES), rng.dirichlet(np.ones(hmm.CLASSES), hmm.STATES))
+
+
+def test_hmm_score_brute(spark, documents):
+    """The score of every document by a plain scaled forward recursion over its tokens, one at a time."""
+    m = random_model()
+    got = {r["doc_id"]: r["score"] for r in hmm.scores(documents, ~hmm.held_out(F.col("doc_id")), model=m).collect()}
+    words = {r["doc_id"]: WORD.findall((r["text"] or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) for r in documents.collect()}
+    known = sorted({w for ws in words.values() for w in ws})
+    raw = " ".join(known).encode()
+    classes = dict(zip(known, hmm.tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), hmm.Powers())[1].tolist(), strict=True))
+    c = collections.Counter(w for i, ws in words.items() if binascii.crc32(str(i).encode()) % 5 != 1 for w in ws)
+    n, v = collections.Counter(), collections.Counter(classes[w] for w in c)
+    for w, k in c.items():
+        n[classes[w]] += k
+    for i, ws in words.items():
+        want = sum(math.log10((c[w] + 0.5) / (n[classes[w]] + 0.5 * (v[classes[w]] + 1))) for w in ws)
+        a = None
+        for x in [*[classes[w] for w in ws], hmm.END]:
+            a = (m.start if a is None else a @ m.move) * m.emit[:, x]
+            want += math.log10(a.sum())
+            a = a / a.sum()
+        assert got[i] == pytest.approx(want, rel=1e-9)
+
+
 def test_forward_is_exact():
-    rng = np.random.default_rng(0)
-    m = hmm.Model(rng.dirichlet(np.ones(hmm.STATES)), rng.dirichlet(np.ones(hmm.STATES), hmm.STATES), rng.dirichlet(np.ones(hmm.CLASSES), hmm.STATES))
-    seq = np.array([5, 9, 5, 0])
-    total = sum(m.start[p[0]] * m.emit[p[0], 5] * math.prod(m.move[p[t - 1], p[t]] * m.emit[p[t], seq[t]] for t in (1, 2, 3)) for p in itertools.product(range(hmm.STATES), repeat=4))
-    counts = np.zeros(hmm.STATES + hmm.STATES**2 + hmm.STATES * hmm.CLASSES)
-    got = hmm.passes(m, [seq, np.array([0])], counts)
-    assert got[0] == pytest.approx(math.log10(total), rel=1e-5)
-    assert counts[: hmm.STATES].sum() == pytest.approx(2, rel=1e-4) and counts[hmm.STATES + hmm.STATES**2 :].sum() == pytest.approx(5, rel=1e-4)
+    m, seq, size = random_model(), np.array([5, 9, 5, 0]), hmm.STATES + hmm.STATES**2
+    total, start, move, emit = 0.0, np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.STATES, hmm.CLASSES))
+    for p in itertools.product(range(hmm.STATES), repeat=4):
+        chance = m.start[p[0]] * m.emit[p[0], 5] * math.prod(m.move[p[t - 1], p[t]] * m.emit[p[t], seq[t]] for t in (1, 2, 3))
+        total += chance
+        start[p[0]] += chance
+        for t in range(4):
+            emit[p[t], seq[t]] += chance
+            if t:
+                move[p[t - 1], p[t]] += chance
+    counts = np.zeros(size + hmm.STATES * hmm.CLASSES)
+    assert hmm.passes(m, [seq], counts)[0] == pytest.approx(math.log10(total), rel=1e-12)
+    assert np.allclose(counts, np.concatenate([start, move.ravel(), emit.ravel()]) / total)
+
+
+def test_passes_in_blocks_and_training(spark):
+    rng = np.random.default_rng(1)
+    m, seqs = random_model(), [np.append(rng.integers(1, hmm.CLASSES, n), 0) for n in (700, 0, 31, 31, 250)]
+    whole, parts = (np.zeros(hmm.STATES + hmm.STATES**2 + hmm.STATES * hmm.CLASSES) for _ in range(2))
+    assert np.allclose(hmm.passes(m, seqs, whole), hmm.passes(m, seqs, parts, most=40), rtol=1e-12)
+    assert np.allclose(whole, parts) and whole[: hmm.STATES].sum() == pytest.approx(5)
+    coded = spark.createDataFrame([(bytearray(np.append(rng.permutation(np.repeat([1 + i % 3, 7 + i % 3], 30)), 0).astype(np.int16).tobytes()),) for i in range(60)], "classes binary").repartition(3)
+    flat = [np.frombuffer(r["classes"], np.int16) for r in coded.collect()]
+    share = np.bincount(np.concatenate(flat), minlength=hmm.CLASSES) + 0.5
+    reached = [hmm.passes(hmm.train(coded, share / share.sum(), k, -1.0), flat).sum() for k in (0, 1, 2, 5)]
+    assert reached == sorted(reached) and reached[-1] > reached[0] + 100
+    again = hmm.train(coded, share / share.sum(), 2, -1.0)
+    assert hmm.passes(again, flat).sum() == pytest.approx(reached[2])
 
 
 def without_repeats(raws, length):
