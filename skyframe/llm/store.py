@@ -93,6 +93,13 @@ def kept_apart(docs: DataFrame, names: list[str]) -> DataFrame:
     return docs
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, with underscores behind it until no column of docs is called so."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def small_arrow_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bounds what a Python worker holds at once. Texts may be long, so a batch has few rows and a few MB."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
