@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import SENT, drop, sent, small_arrow_batches, table
+from .store import drop, join_dealt, kept_apart, sent, small_arrow_batches, table
 from .textkit import Powers, Prefixes, U, mix, texts, words
 
 #: Bytes that the rolling hash at a place depends on, words on either side of a cut without another, words of the longest chunk.
@@ -106,33 +106,37 @@ def removed_runs(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 16) -> DataFrame:
-    """All columns of docs and _kept_text, _n_removed (in the place of columns so named): passages that stand earlier in the corpus are cut out of each text.
+    """All columns of docs and _kept_text, _n_removed (columns of docs so named get an underscore behind them): passages that stand earlier in the corpus are cut out of each text.
 
     Texts are cut into chunks of 4 to 64 words, 7 on average, where a gear rolling hash says. A chunk is a repeat unless it is
     the first with its digest, in order of the texts' own digests and of place. Maximal runs of repeats of min_words words
     or more are removed. Chunks at the edges of a passage may survive; a run of 50 repeated words loses its inside.
 
     Equal texts count as one: the copy with the least id is kept like any text and the others are removed whole if they
-    have min_words words. Rows that repeat id and text share one result. Null ids come last. Null texts stay null, empty ones empty.
+    have min_words words. Rows that repeat id and text share one result. Ids are of any type with an order; null ids come last. Null texts
+    stay null, empty ones empty. A tie, a digest that stands twice, is settled by the texts' digests and places alone, so reruns agree.
 
     Only digests, 96 bits for a chunk and for a text, are shuffled; a digest's first place is found with a minimum on the map side
     and its repeats are dealt by the skew join of adaptive execution. Texts are joined to what is small while it is: copies are
     left out and repeats looked up where texts are read; see store.sent().
     """
     small_arrow_batches(docs.sparkSession)
-    docs = docs.drop("_kept_text", "_n_removed")
+    id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
+    docs = kept_apart(docs, ["_kept_text", "_n_removed"])
+    id_col, text_col = docs.columns[id_at], docs.columns[text_at]
     # columns of docs travel as one struct, so that none of their names is met here
-    d = docs.select(F.struct(*docs.columns).alias("_doc"), F.unhex(F.md5(F.col(text_col))).alias("_key"), F.coalesce(F.col(id_col), F.lit((1 << 63) - 1)).cast("long").alias("_order"))
+    d = docs.select(F.struct(*docs.columns).alias("_doc"), F.unhex(F.md5(F.col(text_col))).alias("_key"), F.struct(F.col(id_col).isNull().alias("x"), F.col(id_col).alias("id")).alias("_order"))
     text = F.col("_doc")[text_col]
     copied = d.where("_key is not null").groupBy("_key").agg(F.min("_order").alias("_owner"), F.count("*").alias("n")).where("n > 1").select("_key", "_owner")
     copied = table(copied, "copies")
     owned = d.join(sent(copied), "_key", "left")
     # all copies but the owner's are left out; of rows that repeat id and text each is cut, and the chunks are counted by place
-    mine = owned.where("_key is not null and (_owner is null or _owner = _order)").select(F.col("_key").alias("key"), text.alias("text"))
+    mine = owned.where(F.col("_key").isNotNull() & (F.col("_owner").isNull() | F.col("_owner").eqNullSafe(F.col("_order")))).select(F.col("_key").alias("key"), text.alias("text"))
     chunks = table(chunk_table(mine), "chunks")
     place = F.struct("k", "l", "n")
-    first = chunks.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("a", "b", "first")
-    again = chunks.join(first, ["a", "b"]).where(place != F.col("first"))
+    first = chunks.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
+    first = table(first, "first")
+    again = join_dealt(chunks, first, ["a", "b"], "times").where(place != F.col("first"))
     marks = again.groupBy("k", "l").agg(F.collect_set(F.struct("n", "w")).alias("x"))
     enough = F.aggregate("x", F.lit(0), lambda s, y: s + y["w"]) >= min_words
     marks = table(marks.where(enough).select("k", "l", F.transform("x", lambda y: y["n"]).alias("dup")), "repeats")
@@ -141,13 +145,13 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     k = F.conv(F.substring(hex_, 1, 16), 16, -10).cast("long")
     half = F.conv(F.substring(hex_, 17, 8), 16, 10).cast("long")
     low = F.when(half >= 1 << 31, half - (1 << 32)).otherwise(half).cast("int")
-    own = mine.withColumns({"k": k, "l": low}).join(sent(marks, SENT // 4), ["k", "l"])
+    own = mine.withColumns({"k": k, "l": low}).join(sent(marks), ["k", "l"])
     own = table(removed_runs(own.select("key", "dup", "text"), min_words).where("n_removed > 0"), "kept").dropDuplicates(["key"]).withColumnRenamed("key", "_key")
     changed = sent(table(own.select("_key"), "changed"))
     same = owned.join(changed, "_key", "left_anti").withColumns({"kept_text": F.lit(None).cast("string"), "n_removed": F.lit(None).cast("long")})
     d = owned.join(changed, "_key", "left_semi").join(own, "_key").unionByName(same)
     size = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
-    copy = F.coalesce(F.col("_order") != F.col("_owner"), F.lit(False)) & (size >= min_words)
+    copy = F.col("_owner").isNotNull() & ~F.col("_order").eqNullSafe(F.col("_owner")) & F.coalesce(size >= min_words, F.lit(False))
     kept = F.when(copy, F.lit("")).otherwise(F.coalesce("kept_text", text))
     gone = F.when(copy, size.cast("long")).otherwise(F.coalesce("n_removed", F.lit(0)))
     return d.select("_doc.*", kept.alias("_kept_text"), gone.alias("_n_removed"))
