@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_arrow_batches
+from .store import kept_apart, small_arrow_batches
 from .textkit import LOWER, Powers, Prefixes, U, mix, texts, words
 
 N = 3
@@ -18,7 +18,6 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 ITEMS = 20_000
 #: Pairs of a seed and a place, and words of passages, that are held at a time, or one text's or one passage's.
 PAIRS, WORDS = 1 << 21, 1 << 20
-LEAKS = "array<struct<item_id:long,score:double,first_word:int,n_words:int>>"
 
 
 def hashed_words(raw: np.ndarray, at: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +57,7 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Items:
     """Test items as word hashes, and where each n-gram stands in them."""
 
-    def __init__(self, rows: list[tuple[int | None, str]]) -> None:
+    def __init__(self, rows: list[tuple[object, str]]) -> None:
         powers = Powers()
         self.ids = [r[0] for r in rows]
         h, of = np.zeros(0, U), np.zeros(0, np.int64)
@@ -142,7 +141,8 @@ def find_leaks(
     docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
     score: float = 0.5, seed_share: float = 0.5, least_seeds: int = 8, most_items: int = 10_000_000,
 ) -> DataFrame:
-    """All columns of docs and _leaks: the items that a passage of the text copies, with edits, as an array, empty if none.
+    """All columns of docs and _leaks (a column of docs so named gets an underscore behind it): the items that a passage of the text copies, with
+    edits, as an array of item_id (of the items' own type), score, first_word and n_words, empty if none.
 
     A scan of the corpus counts each item's n-grams of three words in all documents. All that occur are its seeds; the rarest half
     of them, and eight at the fewest, are rare. A second scan joins passages to items on seeds; seeds on near diagonals give
@@ -153,17 +153,22 @@ def find_leaks(
 
     Nothing is shuffled but the counts. Items go to all tasks in blocks of ITEMS, a scan pair for each, so what is sent has a
     bound; over most_items are refused. Null, empty or short texts have no leaks; items under three words and null items are not looked for.
+    Items that repeat id and text count once; of passages with equal scores the last one is told. Repeated rows of docs have one result each.
+    A very long text is searched whole; what is held of it at a time grows with its own seeds alone.
     """
     small_arrow_batches(docs.sparkSession)
-    known = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
+    known = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
     n = known.limit(most_items + 1).count()
     if n > most_items:
         raise ValueError(f"more than {most_items} items")
-    out = docs.withColumn("_leaks", F.array().cast(LEAKS))
+    text_at = docs.columns.index(text_col)
+    docs = kept_apart(docs, ["_leaks"])
+    text_col = docs.columns[text_at]
+    out = docs.withColumn("_leaks", F.array().cast(f"array<struct<item_id:{known.schema['i'].dataType.simpleString()},score:double,first_word:int,n_words:int>>"))
     blocks = -(-n // ITEMS)
     for b in range(blocks):
         rows = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
-        block = Items(sorted(((r["i"], r["t"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+        block = Items(sorted(((r["i"], r["t"]) for r in rows), key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1])))
         if len(block.keys):
             out = _one_block(out, docs, block, text_col, score, seed_share, least_seeds)
     return out
