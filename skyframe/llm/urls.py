@@ -91,7 +91,9 @@ def url_filter(
 
     redirects: (src, dst) besides the links that pages declare. Urls that these connect are aliases. A page's own rule decides.
     Without one, its aliases do, linked urls that are no page among them: if a rule allows any it is allowed, else if a rule
-    blocks any it is blocked, else `default`. Null urls and urls without :// have an empty host and path and are on their own.
+    blocks any it is blocked, else `default`. Null urls and urls without :// have an empty host and path; null ones are on their own.
+    Rows that repeat an id or a url are judged each, equal urls alike. A tie of two rules of one length goes to the first in order of text.
+    Of other columns of pages none is read, whatever its name. Very long pages are searched whole for links; an empty table gives no rows.
     """
     host, path = split_url(F.col(url_col))
     p = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host.alias("host"), path.alias("path"))
@@ -121,12 +123,31 @@ def op9_url_filter(spark, sf_dir: str) -> DataFrame:
     return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
 
 
-#: No page of the tables declares an alias, so rules alone decide there.
-OP9_SQL = r"""
-WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+def chains(pages: DataFrame) -> DataFrame:
+    """(src, dst) of made-up redirects: each page to the one of the next id, five pages a chain."""
+    to = pages.select((F.col("page_id") - 1).alias("_p"), F.col("url").alias("dst"))
+    return pages.where("page_id % 5 != 4").join(to, F.col("page_id") == F.col("_p")).select(F.col("url").alias("src"), "dst")
+
+
+def url_redirect_chains(spark, sf_dir: str) -> DataFrame:
+    """The pages declare no links, so this query gives the filter redirects between them: decisions then spread over chains of aliases."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter(pages, redirects=chains(pages)).select("page_id", "host", "path", "rule", "verdict", "alias_group")
+
+
+_PARTS = r"""u AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 r(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
-b AS (SELECT u.page_id, u.host, u.path, r.h || r.p AS rule, r.verdict, row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.h || r.p) DESC NULLS LAST) AS k
-  FROM u LEFT JOIN r ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p))
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM b WHERE k = 1
+b AS (SELECT u.page_id, u.url, u.host, u.path, r.h || r.p AS rule, r.verdict, row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.h || r.p) DESC NULLS LAST) AS k
+  FROM u LEFT JOIN r ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p))"""
+#: No page of the tables declares an alias, so rules alone decide there.
+OP9_SQL = f"WITH {_PARTS} SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM b WHERE k = 1"
+CHAINS_SQL = f"""
+WITH RECURSIVE {_PARTS},
+l AS (SELECT x.url AS src, y.url AS dst FROM pages x JOIN pages y ON y.page_id = x.page_id + 1 WHERE x.page_id % 5 <> 4 AND x.url <> y.url),
+e AS (SELECT src AS a, dst AS b FROM l UNION SELECT dst, src FROM l),
+reach(n, m) AS (SELECT a, a FROM e UNION SELECT reach.n, e.b FROM reach JOIN e ON reach.m = e.a),
+one AS (SELECT url, max(verdict) AS verdict FROM b WHERE k = 1 GROUP BY url),
+g AS (SELECT n, min(m) AS alias_group, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' WHEN bool_or(verdict = 'block') THEN 'block' END AS verdict FROM reach JOIN one ON m = url GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(b.verdict, g.verdict, 'allow') AS verdict, alias_group FROM b LEFT JOIN g ON b.url = g.n WHERE k = 1
 """
