@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -21,8 +21,9 @@ BANDS, ROWS = 20, 5
 BLOCK, ELEMENTS = 1024, 1 << 21
 #: Neighbours that a document names in a bucket.
 NAMED = 3
-#: How far under the similarity the share of equal numbers of two signatures may be for a text to be named.
+#: How far under the similarity the share of equal numbers of two signatures may be for a text to be named: six standard deviations or more.
 SLACK = 0.3
+KEY = 16  # bytes of a text's key; a signature's name has one more: 0 of the weighted one, 1 of that of the plain set
 
 
 def weighted(raw: np.ndarray, at: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,26 +76,39 @@ def darts(element: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> np.ndarr
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(key, sig) of the texts with a word: k numbers of 32 bits. docs: key, text."""
+    """(node, sig) of the texts with a word: k numbers of 32 bits. docs: key, text. node: the key and one byte. A text that
+    repeats a shingle has two signatures, one with weights and one of its plain set; for the others they are the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
+            keys = batch.column(0).to_pylist()
             for first, raw, at in texts(batch.column(1)):
-                element, row, _ = weighted(raw, at, powers)
-                has = np.bincount(row, minlength=len(at) - 1) > 0
-                sig = darts(element, row, len(at) - 1, k)[has]
-                keys = batch.column(0).take(pa.array(np.flatnonzero(has) + first))
-                yield pa.RecordBatch.from_arrays([keys, pa.array([s.tobytes() for s in sig], pa.binary())], names=["key", "sig"])
+                element, row, nth = weighted(raw, at, powers)
+                n_rows = len(at) - 1
+                some = np.flatnonzero(np.bincount(row, minlength=n_rows))
+                sig = darts(element, row, n_rows, k)
+                nodes, sigs = [keys[first + i] + b"\0" for i in some], [sig[i].tobytes() for i in some]
+                twice = np.unique(row[nth > 0])
+                if len(twice):
+                    once = (nth == 0) & np.isin(row, twice)
+                    plain = darts(element[once], np.searchsorted(twice, row[once]), len(twice), k)
+                    nodes += [keys[first + i] + b"\1" for i in twice]
+                    sigs += [x.tobytes() for x in plain]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())], names=["node", "sig"])
+
+    return docs.select("key", "text").mapInArrow(run, "node binary, sig binary")
+
 
-    return docs.select("key", "text").mapInArrow(run, "key binary, sig binary")
+def key_of(node: str) -> Column:
+    return F.substring(node, 1, KEY)
 
 
 def band_table(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(bucket, key): a bucket is the hash of a band's number and its rows."""
+    """(band, bucket, node): a bucket is the hash of a band's number and its rows."""
     width = 4 * rows
     each = [F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(bands)]
-    return sigs.select(F.posexplode(F.array(*each)).alias("band", "bucket"), "key")
+    return sigs.select(F.posexplode(F.array(*each)).alias("band", "bucket"), "node")
 
 
 def elements(docs: DataFrame) -> DataFrame:
@@ -121,22 +135,25 @@ def elements(docs: DataFrame) -> DataFrame:
 
 def rest(members: DataFrame, classes: DataFrame, texts_of, sigs: DataFrame, bands: int, rows: int, similarity: float) -> DataFrame:
     """(u, v): every pair of texts of one bucket that are in different classes so far and whose elements are similar. Only these
-    pairs are made. members: band, bucket, key. texts_of: gives (key, text) of a table of keys.
+    pairs are made. members: band, bucket, node. texts_of: gives (key, text) of a table of keys.
 
     A bucket whose texts are all of one class has nothing to add. The others' texts are compared in full: all pairs of a cell of at most
     two blocks, a block having about BLOCK texts and ELEMENTS elements. A pair is compared in the first band that it shares.
     """
     k = bands * rows
-    of = members.join(classes, members["key"] == classes["node"], "left").select("band", "bucket", "key", F.coalesce("component", "key").alias("c"))
+    members = members.withColumn("key", key_of("node"))
+    classes = classes.withColumnRenamed("node", "_node")
+    of = members.join(classes, members["key"] == classes["_node"], "left").select("band", "bucket", "node", "key", F.coalesce("component", "key").alias("c"))
     mixed = of.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("bucket")
     of = table(of.join(mixed, "bucket"), "mixed")
     keys = table(of.select("key").distinct(), "mixed_keys")
-    parts = table(elements(texts_of(keys)).join(sigs, "key"), "elements")
-    of = of.join(parts.select("key", "n"), "key")
+    parts = elements(texts_of(keys)).join(sigs.withColumn("key", key_of("node")), "key")
+    parts = table(parts, "elements")
+    of = of.drop("key").join(parts.select("node", "n"), "node")
     blocks = of.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / ELEMENTS)).cast("int").alias("g"))
-    dealt = of.join(blocks, "bucket").withColumn("h", F.pmod(F.xxhash64("key", "bucket"), F.col("g")).cast("int"))
-    cells = dealt.select("band", "bucket", "key", "c", "h", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
-    cells = cells.select("band", "bucket", F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b"), "h", "key", "c").join(parts, "key")
+    dealt = of.join(blocks, "bucket").withColumn("h", F.pmod(F.xxhash64("node", "bucket"), F.col("g")).cast("int"))
+    cells = dealt.select("band", "bucket", "node", "c", "h", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
+    cells = cells.select("band", "bucket", F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b"), "h", "node", "c").join(parts, "node")
     cells = cells.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -216,20 +233,21 @@ def rest(members: DataFrame, classes: DataFrame, texts_of, sigs: DataFrame, band
 
 def candidates(members: DataFrame, k: int, least: float) -> DataFrame:
     """(u, v) to verify: in each block of a bucket each document names, among those that are more central, the NAMED whose
-    signatures agree most with its own, in share `least` or more. members: bucket, block, key, centre, sig."""
+    signatures agree most with its own, in share `least` or more. members: bucket, block, node, centre, sig; u and v are keys of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
 
         def named(t: pa.Table) -> pa.RecordBatch:
-            keys = t["key"].combine_chunks()
+            keys = pa.array([x[:KEY] for x in t["node"].to_pylist()], pa.binary())
+            text = keys.dictionary_encode().indices.to_numpy(zero_copy_only=False)
             sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(t), k)
             group = t["bucket"].to_numpy().astype(np.int64) * 31 + t["block"].to_numpy()
             bound = np.flatnonzero(np.diff(group, prepend=group[0] - 1, append=group[-1] + 1))
             us, vs = [], []
             for a, b in zip(bound[:-1], bound[1:], strict=True):
                 for i in range(a + 1, b):
-                    same = (sig[a:i] == sig[i]).mean(1)
+                    same = np.where(text[a:i] == text[i], -1, (sig[a:i] == sig[i]).mean(1))
                     top = np.argpartition(-same, NAMED - 1)[:NAMED] if i - a > NAMED else np.arange(i - a)
                     top = top[same[top] >= least]
                     us += [i] * len(top)
@@ -252,7 +270,7 @@ def candidates(members: DataFrame, k: int, least: float) -> DataFrame:
         if rows:
             yield named(pa.concat_tables(held))
 
-    return members.select("bucket", "block", "key", "sig").mapInArrow(run, "u binary, v binary")
+    return members.select("bucket", "block", "node", "sig").mapInArrow(run, "u binary, v binary")
 
 
 def similar(pairs: DataFrame, least: float) -> DataFrame:
@@ -291,8 +309,9 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: id, class_id (the least id of its class), class_size, similar_to_any, is_kept (one row of each class).
 
-    Texts of equal bytes are one text from the start. Each gets a weighted signature; texts that agree in a band share a
-    bucket. In a bucket each text names the most similar by signature of those more central than itself, a text's centre
+    Texts are near duplicates if their shingles' weighted similarity, or that of their plain sets, is `similarity` or more. Texts of
+    equal bytes are one text from the start. Each gets a weighted signature, and one of its plain set if it repeats a shingle; texts that
+    agree in a band of any of these share a bucket. In a bucket each text names the most similar by signature of those more central than itself, a text's centre
     being the sizes of its buckets: in a family of copies the original comes first. What is named is verified on whole texts,
     and the connected components of verified pairs are the first classes. So a bucket of m texts names 3m pairs at most. A bucket
     over BLOCK texts is dealt into blocks by hash, anew in every band, each with the bucket's most central text. Then
@@ -300,7 +319,8 @@ def near_duplicates(
 
     Null texts and texts without a word are classes of their own, one for each row. A text under 5 words is one shingle.
     Null ids: class_id is the least id that is not null, or null. Rows that repeat id and text
-    are one document with one result: is_kept is true for all of them or none.
+    are one document with one result: is_kept is true for all of them or none. Ties of centre are settled by the texts' keys. Only the id
+    and the text of docs are read, whatever its other columns are called.
     """
     spark = docs.sparkSession
     small_arrow_batches(spark)
@@ -314,23 +334,25 @@ def near_duplicates(
     rep = table(rep, "texts")
     # signatures are shorter than texts: all rows get one where they are read, and copies go after that
     raw_sigs = sigs = table(signatures(d.where("_key is not null").select(F.col("_key").alias("key"), "text"), k), "signatures")
-    twice = rep.where("copies > 1").select(F.col("_key").alias("key"))
-    sigs = sigs.join(twice, "key", "left_anti").union(sigs.join(twice, "key", "left_semi").groupBy("key").agg(F.min("sig").alias("sig")))
+    twice = table(rep.where("copies > 1").select("_key"), "twice")
+    sigs = sigs.withColumn("_key", key_of("node"))
+    sigs = sigs.join(sent(twice), "_key", "left_anti").drop("_key").union(sigs.join(sent(twice), "_key", "left_semi").groupBy("node").agg(F.min("sig").alias("sig")))
     band = band_table(sigs, bands, rows)
-    sizes = band.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("any")).where("size > 1").select("bucket", "size")
+    # buckets of one text alone go
+    of_text = F.xxhash64(key_of("node"))
+    sizes = band.groupBy("bucket").agg(F.count("*").alias("size"), F.min(of_text).alias("lo"), F.max(of_text).alias("hi")).where("lo != hi").select("bucket", "size")
     raw_member = member = table(band.join(sizes, "bucket"), "members")
-    centre = member.groupBy("key").agg(F.sum(F.log2(F.col("size").cast("double"))).alias("centre"))
+    centre = member.groupBy("node").agg(F.sum(F.log2(F.col("size").cast("double"))).alias("centre"))
     # 8 bits of each number are enough to compare signatures
     bytes_ = F.concat(*[F.substring("sig", 4 * i + 1, 1) for i in range(k)])
-    small = centre.join(sigs, "key").select("key", "centre", bytes_.alias("sig"))
-    member = member.join(small, "key")
-    block = F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("key", "bucket"), F.ceil(F.col("size") / (BLOCK // 2)))).otherwise(0).cast("int")
+    small = centre.join(sigs, "node").select("node", "centre", bytes_.alias("sig"))
+    member = member.join(small, "node")
+    block = F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("size") / (BLOCK // 2)))).otherwise(0).cast("int")
     dealt = member.withColumn("block", block)
-    head = member.where(F.col("size") > BLOCK).groupBy("bucket").agg(F.max_by(F.struct("key", "centre", "sig", "size"), F.struct("centre", "key")).alias("h"))
+    head = member.where(F.col("size") > BLOCK).groupBy("bucket").agg(F.max_by(F.struct("node", "centre", "sig", "size"), F.struct("centre", "node")).alias("h"))
     more = head.select("bucket", "h.*", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("h.size") / (BLOCK // 2)) - 1).cast("int"))).alias("block"))
-    cols = ["bucket", "block", "key", "centre", "sig"]
-    dealt = dealt.select(cols).union(more.select(cols)).repartition("bucket", "block").sortWithinPartitions("bucket", "block", F.desc("centre"), "key")
-    # signatures follow weights; what is similar as sets may agree less
+    cols = ["bucket", "block", "node", "centre", "sig"]
+    dealt = dealt.select(cols).union(more.select(cols)).repartition("bucket", "block").sortWithinPartitions("bucket", "block", F.desc("centre"), "node")
     named = candidates(dealt, k, similarity - SLACK).where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     named = table(named, "pairs")
 
