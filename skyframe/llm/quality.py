@@ -116,14 +116,16 @@ def risk_controlled(
     least label, a null label not at all. With probability 1 - delta over the holdout at most alpha of the good texts of any
     stratum fail a rule. A stratum with too few labels to certify a cutoff rejects nothing beyond the base rules; null is a stratum.
     Counts per stratum, rule and step reach the driver; over max_strata strata are refused. Measures are computed once and kept.
+    Repeated rows have one result each; a text equal to a cutoff passes. Null and empty texts fail the base rules. Only the id, text and
+    stratum columns of docs are read, so columns of other names, clashing ones too, are left out. No text is too long: windows are hashed whole.
     """
     m = measures(docs.select(id_col, text_col, F.col(stratum_col).alias("_stratum")), text_col, (id_col, "_stratum"))
     fail = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     m = table(m.withColumn("base_failed", fail), "measures")
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("_id")).agg(F.min(label_col).alias("_label"))
     f = features()
     step = lambda x: sum((x > c).cast("int") for c in GRID)  # noqa: E731  how many cutoffs, from the lenient end, are below: counted from the strict end
-    told = m.where("not base_failed").withColumn("_stratum", F.col("_stratum").cast("string")).join(known, F.col(id_col) == F.col("_id")).select("_stratum", "_label", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), step(f[r]).alias("n")) for r in RULES])).alias("x"))
+    told = m.where("not base_failed").withColumn("_stratum", F.col("_stratum").cast("string")).join(known, F.col(id_col).cast("string") == F.col("_id")).select("_stratum", "_label", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), step(f[r]).alias("n")) for r in RULES])).alias("x"))
     rows = told.groupBy("_stratum", "x.rule", "x.n").agg(F.sum(F.when(F.col("_label") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("_label") == 0, 1).otherwise(0)).alias("bad"))
     got = rows.limit(max_strata * len(RULES) * (len(GRID) + 1) + 1).collect()
     if len({r["_stratum"] for r in got}) > max_strata:
