@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from skyframe.llm import chunks, decontam, graph, hmm, langid, licenses, mixing, neardup, quality, queries, suffixes, urls
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key string, word string, size int, lang_pred string, score double, rejected int, key string, kept_text string, n_removed long, kept int, row int, n int, _id int, _t int, sig int, class_id int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key string, word string, size int, lang_pred string, score double, rejected int, key string, kept_text string, n_removed long, kept int, row int, n int, _id int, _t int, sig int, class_id int, _leaks string, _kept_text int, _N_removed string, rejected_ int, node int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -30,8 +30,8 @@ def odd(spark):
     """Nulls in every column, empty and very long texts, ties, repeated rows, clashing column names."""
     base = prose(1, 120)
     texts = [base, base, base + " end", None, "", " \t\n", "x", "été ñandú", prose(2, 30000), "same " * 500, prose(3, 60), prose(4, 80) + " " + prose(3, 60), "1234 5678", " ", "a\x00b c"]
-    rows = [(i if i != 5 else None, t, ["en", "fr", None][i % 3], ["s", None, "t"][i % 3], None, "k", "w", 1, "l", 2.0, 3, "k", "t", 4, 5, 6, 7, 8, 9, 10, 11) for i, t in enumerate(texts)]
-    rows += [rows[0], rows[0], (None,) * 21]
+    rows = [(i if i != 5 else None, t, ["en", "fr", None][i % 3], ["s", None, "t"][i % 3], None, "k", "w", 1, "l", 2.0, 3, "k", "t", 4, 5, 6, 7, 8, 9, 10, 11, "x", 12, "y", 13, 14) for i, t in enumerate(texts)]
+    rows += [rows[0], rows[0], (None,) * 26]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -57,10 +57,11 @@ def all_operators(spark, docs):
         "quality by number": lambda: quality.risk_controlled(docs, labels, stratum_col="size"),
         "langid": lambda: langid.predict(docs, langid.train(docs)),
         "chunks": lambda: chunks.substring_dedup(docs),
+        "urls": lambda: urls.url_filter(docs, id_col="doc_id", url_col="text", html_col="_key", redirects=docs.select(F.col("text").alias("src"), F.col("source").alias("dst"))),
     }
 
 
-NAMES = ["mixing", "licenses", "neardup", "hmm", "suffixes", "decontam", "quality", "quality by number", "langid", "chunks"]
+NAMES = ["mixing", "licenses", "neardup", "hmm", "suffixes", "decontam", "quality", "quality by number", "langid", "chunks", "urls"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -69,6 +70,12 @@ def test_odd_input(spark, odd, name):
     assert len(got) == odd.count() or name == "licenses"
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_string_ids(spark, odd, name):
+    got = all_operators(spark, odd.withColumn("doc_id", F.concat(F.lit("id-"), "doc_id")))[name]().toPandas()
+    assert len(got) == odd.count() or name == "licenses"
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_empty_table(spark, name):
     assert all_operators(spark, spark.createDataFrame([], SCHEMA))[name]().count() == 0
@@ -83,7 +90,15 @@ def test_odd_results(spark, odd):
     kept = {r["doc_id"]: r["_kept_text"] for r in chunks.substring_dedup(odd).collect()}
     assert kept[0] is not None and kept[1] == "" and kept[3] is None and kept[4] == ""
     assert min(len(kept[10].split()), len(kept[11].split()) - 80) < 40
-    assert {(r["_key"], r["kept_text"], r["n_removed"]) for r in chunks.substring_dedup(odd.where("doc_id is not null")).collect()} == {("k", "t", 4)}
+    own = odd.where("doc_id is not null")
+    assert {(r["_key"], r["kept_text"], r["n_removed"], r["_kept_text_"], r["_N_removed_"]) for r in chunks.substring_dedup(own).collect()} == {("k", "t", 4, 12, "y")}
+    assert {r["_leaks_"] for r in decontam.find_leaks(own, items(spark)).collect()} == {"x"}
+    assert {(r["lang_pred_"], r["score_"], r["rejected_"], r["rejected__"]) for r in langid.predict(own, {}).collect()} == {("l", 2.0, 13, 3)}
+    text_ids = own.withColumn("doc_id", F.concat(F.lit("id-"), F.lpad(F.col("doc_id").cast("string"), 3, "0")))
+    named = decontam.find_leaks(text_ids, items(spark).withColumn("item_id", F.concat(F.lit("item "), "item_id")))
+    assert {r["doc_id"]: [x["item_id"] for x in r["_leaks"]] for r in named.collect() if r["_leaks"]} == {"id-010": ["item 1"], "id-011": ["item 1"]}
+    same = {(r["doc_id"], r["_kept_text"], r["_n_removed"]) for r in chunks.substring_dedup(own).withColumn("doc_id", F.concat(F.lit("id-"), F.lpad(F.col("doc_id").cast("string"), 3, "0"))).select("doc_id", "_kept_text", "_n_removed").collect()}
+    assert {(r["doc_id"], r["_kept_text"], r["_n_removed"]) for r in chunks.substring_dedup(text_ids).select("doc_id", "_kept_text", "_n_removed").collect()} == same
     langs = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(odd, {"en": b"the of and", "fr": b"le la les"}).collect()}
     assert langs[3] == langs[4] == langs[12] == ("und", 0.0)
 
@@ -136,6 +151,19 @@ def test_near_duplicates_brute(spark, documents):
     assert got == {i: root(i) for i in sets}
 
 
+def test_texts_that_repeat_themselves(spark):
+    """Pairs that are alike as plain sets only: a text, and the same with its passages once or several times more."""
+    rows = []
+    for i in range(40):
+        t = prose(500 + i, 300).split()
+        u = t * 2 if i % 2 else t + t[:200] * 3
+        rows += [(2 * i, " ".join(t)), (2 * i + 1, " ".join(u))]
+        a, b = (collections.Counter(tuple(x[k : k + 5]) for k in range(len(x) - 4)) for x in (t, u))
+        assert sum((a & b).values()) / sum((a | b).values()) < 0.51 and len(a.keys() & b.keys()) / len(a.keys() | b.keys()) > 0.9
+    got = {(r["doc_id"], r["class_id"], r["class_size"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, i // 2 * 2, 2) for i in range(80)}
+
+
 def test_darts_estimate_similarity():
     element = np.arange(1, 901, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     both = np.concatenate([element[:600], element[150:750]])
@@ -257,6 +285,91 @@ def test_sort_survives_collisions():
         assert sorted(map(bytes, rows[g : g + 100])) == [bytes(rows[k]) for k in order[g : g + 100]]
 
 
+def plain_score(item, words):
+    """Smith-Waterman over whole lists of words, one cell at a time; the share of the item's score with itself."""
+    row, best = [0] * (len(words) + 1), 0
+    for x in item:
+        new = [0] * (len(words) + 1)
+        for k, w in enumerate(words, 1):
+            new[k] = max(0, row[k - 1] + (2 if w == x else -1), row[k] - 1, new[k - 1] - 1)
+        row, best = new, max(best, max(new))
+    return best / (2 * len(item))
+
+
+def test_leaks_brute(spark, documents):
+    """Every document against every item, edited copies of items among them, by a plain alignment."""
+    r = random.Random(8)
+    asked = {x["item_id"]: x["text"] for x in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    docs = {x["doc_id"]: x["text"] for x in documents.collect()}
+    for n, (i, t) in enumerate(sorted(asked.items())):
+        w = [y for k, x in enumerate(t.split()) for y in (r.choice([[], ["edited"], [x, "more"]]) if k % (4 + n % 5) == 0 else [x])]
+        docs[1_000_000 + i] = f"{prose(700 + n, 80)} {' '.join(w)} {prose(800 + n, 80)}"
+    bare = lambda t: [x.strip(".,;:!?\"'()[]") or x for x in WORD.findall(t.lower())]
+    want = {}
+    for i, q in asked.items():
+        q = bare(q)
+        for d, t in docs.items():
+            w = bare(t)
+            # half of the item's words at least must match
+            if 2 * sum((collections.Counter(q) & collections.Counter(w)).values()) >= len(q) and (score := plain_score(q, w)) >= 0.5:
+                want[d, i] = score
+    found = decontam.find_leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(asked.items()), "item_id long, text string"))
+    got = {(x["doc_id"], y["item_id"]): y["score"] for x in found.collect() for y in x["_leaks"]}
+    assert len(want) > len(asked) and got.keys() <= want.keys() and len(got) >= 0.9 * len(want)
+    assert all(want[k] == pytest.approx(x) for k, x in got.items())
+
+
+def plain_chunks(raw):
+    """(first byte, byte past the last, words) of each chunk of a text, byte by byte."""
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    table = [mixed((b + 1) * 0x9E3779B97F4A7C15 & mask) for b in range(256)]
+    rolled = [mixed(sum(table[raw[i - j]] << j for j in range(min(i + 1, 16))) & mask) for i in range(len(raw))]
+    words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    at = [rolled[a - 1] if a >= 16 else mask for a, _ in words]
+    begin = [i for i in range(len(words)) if i == 0 or all((i < d or at[i] < at[i - d]) and (i + d >= len(words) or at[i] <= at[i + d]) for d in (1, 2, 3))]
+    begin = [k for a, z in zip(begin, [*begin[1:], len(words)], strict=True) for k in range(a, z, 64)]
+    return [(words[a][0], words[z - 1][1], z - a) for a, z in zip(begin, [*begin[1:], len(words)], strict=True)]
+
+
+def test_chunks_brute(spark, documents):
+    docs = {r["doc_id"]: r["text"] for r in documents.collect()}
+    owner = {}
+    for i, t in sorted(docs.items()):
+        owner.setdefault(t, i)
+    order = lambda t: (int.from_bytes((d := hashlib.md5(t.encode()).digest())[:8], signed=True), int.from_bytes(d[8:12], signed=True))
+    cut, first = {t: plain_chunks(t.encode()) for t in owner}, {}
+    for t in sorted(owner, key=order):
+        for n, (a, z, _) in enumerate(cut[t]):
+            first.setdefault(t.encode()[a:z], (t, n))
+    want = {}
+    for i, t in docs.items():
+        raw, words = t.encode(), len(WORD.findall(t))
+        if owner[t] != i and words >= 16:
+            want[i] = ("", words)
+            continue
+        again = [first[raw[a:z]] != (t, n) for n, (a, z, _) in enumerate(cut[t])] if owner[t] == i else []
+        out, place, removed, n = b"", 0, 0, 0
+        while n < len(again):
+            m = n
+            while m < len(again) and again[m] == again[n]:
+                m += 1
+            if again[n] and (size := sum(x[2] for x in cut[t][n:m])) >= 16:
+                out, removed = out + raw[place : cut[t][n][0]], removed + size
+                place = cut[t][m][0] if m < len(again) else len(raw)
+            n = m
+        want[i] = ((out + raw[place:]).decode(), removed)
+    got = {r["doc_id"]: (r["_kept_text"], r["_n_removed"]) for r in chunks.substring_dedup(documents).collect()}
+    assert got == want and any(x for _, x in want.values())
+
+
 def test_leaks_of_edited_copies(spark):
     q = prose(21, 40).split()
     edited = q[:10] + ["other"] + q[11:25] + ["words", "here"] + q[25:]
@@ -315,6 +428,47 @@ def test_measures_brute(spark, documents, odd):
             assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
 
 
+def test_kept_brute(spark):
+    """The verdict on each document: measures, exact binomial tests and cutoffs told plainly."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    labels = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        if r["doc_id"] is not None and r["quality"] is not None:
+            labels[r["doc_id"]] = min(labels.get(r["doc_id"], 9), r["quality"])
+    value, told = {}, collections.defaultdict(list)
+    for d in docs:
+        t = d["text"] or ""
+        w, at = WORD.findall(t), collections.defaultdict(list)
+        for i in range(len(w) - 7):
+            at[tuple(w[i : i + 8])].append(i)
+        again = len({i + k for places in at.values() if len(places) > 1 for i in places for k in range(8)})
+        if len(w) < 20 or 100 * again > 30 * len(w):
+            value[d["doc_id"]] = None
+            continue
+        lines, chars = [x for x in t.split("\n") if WORD.search(x)], sum(map(len, w))
+        value[d["doc_id"]] = {
+            "symbols_per_word": len(re.findall(r"[#*$%&|<>]", t)) / len(w), "marks_per_word": len(re.findall(r"[!?|]", t)) / len(w), "capitals": len(re.findall("[A-Z]", t)) / chars,
+            "dup_lines": (len(lines) - len(set(lines))) / max(len(lines), 1), "repeats": again / len(w), "long_words": chars / len(w) / 50,
+        }
+        if d["doc_id"] in labels:
+            for rule, x in value[d["doc_id"]].items():
+                told[d["lang"], rule].append((x, labels[d["doc_id"]]))
+    cutoff = {}
+    for key, rows in told.items():
+        good, bad, best = sum(q == 1 for _, q in rows), sum(q == 0 for _, q in rows), 0.0
+        for c in quality.GRID:
+            k, b, p = sum(x > c and q == 1 for x, q in rows), sum(x > c and q == 0 for x, q in rows), 0.02 / 6
+            chance = math.fsum(math.exp(math.lgamma(good + 1) - math.lgamma(i + 1) - math.lgamma(good - i + 1) + i * math.log(p) + (good - i) * math.log1p(-p)) for i in range(min(k, good) + 1))
+            if min(chance, 1.0) > 0.05 / len(told):
+                break
+            if (gain := b / max(bad, 1) - k / max(good, 1)) > best:
+                best, cutoff[key] = gain, c
+    want = {d["doc_id"]: (f := value[d["doc_id"]]) is not None and not any(x > cutoff.get((d["lang"], rule), math.inf) for rule, x in f.items()) for d in docs}
+    assert {r["doc_id"]: r["kept"] for r in quality.op7_quality_rules(spark, sf).collect()} == want
+    assert cutoff and any(value[i] and not k for i, k in want.items())
+
+
 def test_risk_control():
     for k, n, p in ((0, 50, 0.05), (3, 80, 0.05), (10, 40, 0.3)):
         assert quality.binomial_tail(k, n, p) == pytest.approx(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
@@ -401,5 +555,5 @@ def test_few_named_lose_no_link(spark, monkeypatch):
     want = {(r["doc_id"], r["class_id"]) for r in neardup.near_duplicates(docs).collect()}
     assert want == {(i, i // 30 * 30) for i in range(90)}
     monkeypatch.setattr(neardup, "BLOCK", 8)
-    monkeypatch.setattr(neardup, "candidates", lambda members, k, least: members.where("false").select(members["key"].alias("u"), members["key"].alias("v")))
+    monkeypatch.setattr(neardup, "candidates", lambda members, k, least: members.where("false").select(members["node"].alias("u"), members["node"].alias("v")))
     assert {(r["doc_id"], r["class_id"]) for r in neardup.near_duplicates(docs).collect()} == want
