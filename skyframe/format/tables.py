@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .header import Header
 from .status import FitsError
@@ -176,7 +177,7 @@ def ascii_number(field: bytes, decimals: int = 0) -> float | None:
     s = field.decode("ascii", "replace").replace(" ", "").replace(",", ".").upper().replace("D", "E")
     if not s:
         return 0.0
-    if m := re.fullmatch(r"([+-]?\d*\.?\d*)([+-]\d+)", s):
+    if m := re.fullmatch(r"([+-]?(?:\d+\.?\d*|\.\d+))([+-]\d+)", s):
         s = f"{m[1]}E{m[2]}"
     try:
         v = float(s)
@@ -185,6 +186,22 @@ def ascii_number(field: bytes, decimals: int = 0) -> float | None:
     return v / 10**decimals if decimals and "." not in s and ("E" not in s or int(s.partition("E")[2] or 0) == 0) else v
 
 
+def _ascii_numbers(text: pa.Array, decimals: int) -> pa.Array:
+    """ascii_number() of each string: those written plainly at once, the others one by one."""
+    t = pc.replace_substring(pc.utf8_trim(text, " "), "D", "E")
+    plain = pc.match_substring_regex(t, r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$")
+    if decimals:
+        plain = pc.and_(plain, pc.match_substring(t, "."))
+    out = pc.if_else(plain, t, "0").cast(pa.float64())
+    if pc.all(plain).as_py() in (True, None):
+        return out
+    values, odd = out.to_pylist(), np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+    cells = text.take(pa.array(odd)).to_pylist()
+    for i, x in zip(odd, cells, strict=True):
+        values[i] = ascii_number(x.encode("ascii", "replace"), decimals)
+    return pa.array(values, pa.float64())
+
+
 def format_ascii(value, form: tuple[str, int, int]) -> bytes:
     letter, width, decimals = form
     if letter == "A":
@@ -209,9 +226,78 @@ def decode(lay: Layout, block: bytes, heap=None, names: list[str] | None = None)
     return [_decode(by[x], raw[:, by[x].offset :], n, heap) for x in (names or list(by))]
 
 
-def _strings(cell: np.ndarray) -> pa.Array:
-    text = [bytes(x).split(b"\0", 1)[0].rstrip(b" ").decode("utf-8", "replace") for x in cell]
-    return pa.array(text, pa.string())
+def _text(data: np.ndarray, size: np.ndarray, codec: str = "utf-8") -> pa.Array:
+    """Strings that stand one after the other in data; bytes that are no text become U+FFFD."""
+    at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    if len(data) and data.max() >= 128:
+        if codec == "utf-8":
+            out = pa.StringArray.from_buffers(len(size), pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data)))
+            try:
+                out.validate(full=True)
+            except pa.ArrowInvalid:
+                pass
+            else:
+                return out
+        return pa.array([data[x:y].tobytes().decode(codec, "replace") for x, y in zip(at[:-1], at[1:], strict=True)], pa.string())
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def _strings(cell: np.ndarray, nul: bool = True, codec: str = "utf-8") -> pa.Array:
+    """Rows of fixed width up to their first NUL, without blanks at the end."""
+    n, width = cell.shape
+    if not width:
+        return pa.array([""] * n, pa.string())
+    place = np.arange(1, width + 1, dtype=np.int32)
+    keep = cell != 32
+    if nul and not cell.all():
+        zero = cell == 0
+        keep &= np.cumsum(zero, axis=1) == 0
+    size = np.where(keep, place, 0).max(axis=1)
+    return _text(cell[place[None, :] <= size[:, None]], size, codec)
+
+
+def _cells_of(joined: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Strings of variable length, cut like those of _strings()."""
+    at = np.cumsum(size)
+    full = size > 0
+    if len(joined) and (not joined.all() or (joined[at[full] - 1] == 32).any()):
+        cut = [bytes(x).split(b"\0", 1)[0].rstrip(b" ") for x in np.split(joined, at[:-1])]
+        return _text(np.frombuffer(b"".join(cut), np.uint8), np.array([len(x) for x in cut], np.int64))
+    return _text(joined, size)
+
+
+def _gathered(heap, offset: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of cells of the heap, one after the other: one read where they stand close together, else one for each."""
+    full = np.flatnonzero(size > 0)
+    if not len(full):
+        return np.zeros(0, np.uint8)
+    o, n = offset[full], size[full]
+    low, total = int(o.min()), int(n.sum())
+    span = int((o + n).max()) - low
+    if o.min() < 0 or span > 2 * total + (1 << 20):
+        return np.frombuffer(b"".join(heap(int(x), int(y)) for x, y in zip(o, n, strict=True)), np.uint8)
+    data = np.frombuffer(heap(low, span), np.uint8)
+    if span == total and (o[1:] == o[:-1] + n[:-1]).all():
+        return data
+    ends = np.cumsum(n)
+    return data[np.arange(total) + np.repeat(o - low - ends + n, n)]
+
+
+def unsigned(stored: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
+    """Signed numbers of 64 bits plus 2^63, as decimals."""
+    whole = np.zeros((len(stored), 2), "<u8")
+    whole[:, 0] = stored.view(np.uint64) ^ np.uint64(1 << 63)
+    valid = None if mask is None else pa.py_buffer(np.packbits(~mask, bitorder="little"))
+    return pa.Array.from_buffers(pa.decimal128(20, 0), len(stored), [valid, pa.py_buffer(whole)])
+
+
+def signed(a: pa.Array) -> np.ndarray:
+    """Decimals from 0 to 2^64 - 1 less 2^63; null is 2^63 less than 0. Others: status 412."""
+    whole = a.cast(pa.decimal128(38, 0)).fill_null(0)
+    half = np.frombuffer(whole.buffers()[1], "<u8")[2 * whole.offset : 2 * (whole.offset + len(whole))].reshape(-1, 2)
+    if half[:, 1].any():
+        raise FitsError(412)
+    return (half[:, 0] ^ np.uint64(1 << 63)).view(np.int64).copy()
 
 
 def _numbers(values: np.ndarray, c: Column) -> pa.Array:
@@ -223,7 +309,7 @@ def _numbers(values: np.ndarray, c: Column) -> pa.Array:
         return pa.StructArray.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["re", "im"])
     values = values.astype(values.dtype.newbyteorder("="))
     if k == "W":
-        return pa.array([int(v) + (1 << 63) for v in values], pa.decimal128(20, 0), mask=mask)
+        return unsigned(values, mask)
     if k in STORED:
         return pa.array(values.astype(np.int64) + int(c.zero), mask=mask).cast(ARROW[k])
     if c.scale != 1 or c.zero != 0:
@@ -235,26 +321,29 @@ def _numbers(values: np.ndarray, c: Column) -> pa.Array:
 def _decode(c: Column, raw: np.ndarray, n: int, heap) -> pa.Array:
     if isinstance(c.form, tuple):
         letter, width, decimals = c.form
-        cells = [bytes(x) for x in raw[:, :width]]
+        cell = np.ascontiguousarray(raw[:, :width])
+        text = _strings(cell, nul=False, codec="ascii")
         if letter == "A":
-            return pa.array([x.rstrip(b" ").decode("ascii", "replace") for x in cells], pa.string())
-        null = str(c.null).encode() if c.null is not None else None
-        values = [None if null and x.strip().startswith(null.strip()) and null.strip() else ascii_number(x, decimals) for x in cells]
+            return text
+        values = _ascii_numbers(text, decimals)
+        if c.null is not None and (null := str(c.null).strip()):
+            values = pc.if_else(pc.starts_with(pc.utf8_ltrim(text, " "), null), pa.scalar(None, pa.float64()), values)
         if (c.scale, c.zero) != (1, 0):
-            return pa.array([None if v is None else v * c.scale + c.zero for v in values], pa.float64())
-        return pa.array([None if v is None else int(np.floor(abs(v) + 0.5) * np.sign(v)) for v in values], pa.int64()) if letter == "I" else pa.array(values, pa.float64())
+            return pc.add(pc.multiply(values, c.scale), c.zero)
+        return pc.round(values, round_mode="half_towards_infinity").cast(pa.int64()) if letter == "I" else values
     f = c.form
     cell = np.ascontiguousarray(raw[:, : f.nbytes])
     if f.descriptor:
         d = cell.view(">i4" if f.descriptor == "P" else ">i8").reshape(n, 2).astype(np.int64)
         unit = 1 if f.letter == "X" else WIDTH[f.letter]
         size = -(-d[:, 0] // 8) if f.letter == "X" else d[:, 0] * unit
-        parts = [heap(int(o), int(s)) if s else b"" for o, s in zip(d[:, 1], size, strict=True)]
+        joined = _gathered(heap, d[:, 1], size)
         if f.letter == "A":
-            return _strings([p for p in parts])
-        joined = np.frombuffer(b"".join(parts), np.uint8)
-        if f.letter == "X":
-            return pa.array([np.unpackbits(np.frombuffer(p, np.uint8))[:k].astype(bool).tolist() for p, k in zip(parts, d[:, 0], strict=True)], pa.list_(pa.bool_()))
+            return _cells_of(joined, size)
+        if f.letter == "X":  # a cell starts at a byte
+            ends = np.cumsum(d[:, 0])
+            bit = np.arange(ends[-1] if n else 0) + np.repeat((np.cumsum(size) - size) * 8 - ends + d[:, 0], d[:, 0])
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.unpackbits(joined)[bit].astype(bool)))
         offsets = pa.array(np.concatenate([[0], np.cumsum(d[:, 0])]).astype(np.int32))
         return pa.ListArray.from_arrays(offsets, _cells(joined, c))
     if f.letter == "A":
@@ -282,32 +371,66 @@ def encode(columns: list[Column], batch: pa.RecordBatch, heap: bytearray) -> byt
     return rows.tobytes()
 
 
+def _parts(a: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, first byte, size) of strings; null is empty."""
+    a = a.cast(pa.binary()) if a.type != pa.binary() else a
+    a = a.fill_null(b"") if a.null_count else a
+    _, at, data = a.buffers()
+    at = np.frombuffer(at, np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at[:-1], np.diff(at)
+
+
+def _fixed(data: np.ndarray, first: np.ndarray, size: np.ndarray, width: int, right: bool = False) -> np.ndarray:
+    """Strings as rows of `width` bytes, filled with blanks."""
+    out = np.full((len(size), width), 32, np.uint8)
+    before = np.cumsum(size) - size
+    k = np.arange(size.sum()) - np.repeat(before, size)
+    start = np.arange(len(size)) * width + (width - size if right else 0)
+    out.ravel()[k + np.repeat(start, size)] = data[k + np.repeat(first, size)]
+    return out
+
+
+def _bits(flat: np.ndarray, size: np.ndarray, start: np.ndarray, nbytes: int) -> np.ndarray:
+    """Bytes with each cell's bits from its first byte `start` on."""
+    bits = np.zeros(nbytes * 8, bool)
+    bits[np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start * 8, size)] = flat
+    return np.packbits(bits)
+
+
 def _encode(c: Column, a: pa.Array, n: int, heap: bytearray) -> np.ndarray:
     f = c.form
     if f.descriptor:
         d = np.zeros((n, 2), ">i4" if f.descriptor == "P" else ">i8")
-        for i, x in enumerate(a):
-            x = x.as_py()
-            if x is None:
-                continue
-            b = x.encode() if isinstance(x, str) else bytes(x) if isinstance(x, bytes) else np.packbits(np.array(x, bool)).tobytes() if f.letter == "X" else _stored(c, pa.array(x, ARROW[c.kind])).tobytes()
-            d[i] = len(b) // WIDTH[f.letter] if isinstance(x, (str, bytes)) else len(x), len(heap)
-            heap += b
+        if pa.types.is_list(a.type) or pa.types.is_large_list(a.type):
+            count = pc.list_value_length(a).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = a.flatten()
+            if f.letter == "X":
+                size = -(-count // 8)
+                stored = _bits(flat.fill_null(False).to_numpy(zero_copy_only=False), count, np.cumsum(size) - size, int(size.sum()))
+            else:
+                size = count * WIDTH[f.letter]
+                stored = _stored(c, flat.cast(ARROW[c.kind]))
+            data = stored.tobytes()
+        else:
+            raw, first, size = _parts(a)
+            data = raw[first[0] : first[-1] + size[-1]].tobytes() if n else b""
+            count = size // WIDTH[f.letter]
+        offset = len(heap) + np.cumsum(size) - size
+        if f.descriptor == "P" and n and offset[-1] + size[-1] >= 1 << 31:
+            raise FitsError(264, c.name)
+        d[:, 0], d[:, 1] = count, np.where(count > 0, offset, 0)
+        heap += data
         return d.view(np.uint8).reshape(n, -1)
     if f.letter == "A":
-        out = np.zeros((n, f.repeat), np.uint8)
-        for i, x in enumerate(a):
-            b = (x.as_py() or "").encode()
-            if len(b) > f.repeat:
-                b = b[: f.repeat].decode("utf-8", "ignore").encode()
-            out[i, : len(b)] = np.frombuffer(b, np.uint8)
-            out[i, len(b) :] = 32
-        return out
+        data, first, size = _parts(a)
+        for i in np.flatnonzero(size > f.repeat):  # a character is not cut in two
+            size[i] = len(data[first[i] : first[i] + f.repeat].tobytes().decode("utf-8", "ignore").encode())
+        return _fixed(data, first, size, f.repeat)
     if f.letter == "X":
-        bits = np.zeros((n, f.repeat), bool)
-        for i, x in enumerate(a.to_pylist()):
-            bits[i, : len(x or [])] = x or []
-        return np.packbits(bits, axis=1)
+        count = pc.list_value_length(a).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(count) and count.max() > f.repeat:
+            raise FitsError(308, c.name)
+        return _bits(a.flatten().fill_null(False).to_numpy(zero_copy_only=False), count, np.arange(n) * f.nbytes, n * f.nbytes).reshape(n, f.nbytes)
     if f.repeat != 1:
         flat = a.flatten() if a.null_count == 0 else None
         if flat is None or len(flat) != n * f.repeat:
@@ -316,10 +439,52 @@ def _encode(c: Column, a: pa.Array, n: int, heap: bytearray) -> np.ndarray:
     return _stored(c, a).view(np.uint8).reshape(n, -1)
 
 
+def encode_ascii(columns: list[Column], batch: pa.RecordBatch) -> bytes:
+    """Rows of an ASCII table; a null number without TNULL: status 314."""
+    width = max(c.offset + c.form[1] for c in columns)
+    out = np.full((batch.num_rows, width), 32, np.uint8)
+    for c, a in zip(columns, batch.columns, strict=True):
+        letter, wide, decimals = c.form
+        if letter == "A":
+            data, first, size = _parts(pa.array([str(c.null or "") if x is None else str(x) for x in a.to_pylist()] if a.type != pa.string() else a.fill_null(str(c.null or ""))))
+            if len(data) and data.max() >= 128:
+                data, first, size = _parts(pa.array([x.as_py().encode("ascii", "replace") for x in a.fill_null(str(c.null or ""))], pa.binary()))
+            cells = _fixed(data, first, np.minimum(size, wide), wide)
+        else:
+            nulls = np.asarray(a.is_null())
+            if nulls.any() and c.null is None:
+                raise FitsError(314, c.name)
+            values = a.fill_null(0).to_pylist()
+            if (c.scale, c.zero) != (1, 0):
+                values = [(x - c.zero) / c.scale for x in values]
+            if letter == "I":
+                text = [str(int(x)) for x in values]
+            else:
+                numbers = np.array(values, np.float64)
+                if not np.isfinite(numbers).all():
+                    raise FitsError(412, c.name)
+                form = f"%.{decimals}f" if letter == "F" else f"%.{decimals}E"
+                text = [form % x for x in numbers.tolist()]
+                text = [x.replace("E", "D") for x in text] if letter == "D" else text
+            data, first, size = _parts(pa.array(text, pa.string()))
+            if len(size) and size.max() > wide:
+                raise FitsError(412, c.name)
+            cells = _fixed(data, first, size, wide, right=True)
+            if nulls.any():
+                null = str(c.null).encode().ljust(wide)[:wide]
+                cells[nulls] = np.frombuffer(null, np.uint8)
+        out[:, c.offset : c.offset + wide] = cells
+    return out.tobytes()
+
+
 def _stored(c: Column, a: pa.Array) -> np.ndarray:
     base, k = c.form.letter, c.kind
     if base == "L":
-        return np.array([0 if x is None else ord("T") if x else ord("F") for x in a.to_pylist()], np.uint8)
+        out = np.where(a.fill_null(False).to_numpy(zero_copy_only=False), ord("T"), ord("F")).astype(np.uint8)
+        out[np.asarray(a.is_null())] = 0
+        return out
+    if base == "A":
+        return np.frombuffer(b"".join(x.encode()[:1].ljust(1) for x in a.to_pylist()), np.uint8)
     if base in "CM":
         return np.column_stack([a.field(0).to_numpy(zero_copy_only=False), a.field(1).to_numpy(zero_copy_only=False)]).astype(DTYPE[base]).ravel()
     nulls = np.asarray(a.is_null())
@@ -328,7 +493,7 @@ def _stored(c: Column, a: pa.Array) -> np.ndarray:
     if nulls.any() and c.null is None:
         raise FitsError(314, c.name)
     if k == "W":
-        values = np.array([0 if x is None else int(x) - (1 << 63) for x in a.to_pylist()], np.int64)
+        values = signed(a)
     else:
         filled = a.fill_null(0).to_numpy(zero_copy_only=False)
         if c.scale != 1 or (c.zero != 0 and k == base):

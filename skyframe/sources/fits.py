@@ -6,12 +6,13 @@ import gzip
 import json
 import os
 import shutil
-import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +39,7 @@ IMAGE_TYPES = {"u8": (8, 0), "i8": (8, -128), "i16": (16, 0), "u16": (16, 1 << 1
 @dataclass
 class Slice(InputPartition):
     path: str
-    hdu: int
+    hdu: files.Hdu  # with its header and places, so that no slice scans the file again
     first: int
     count: int
 
@@ -116,7 +117,12 @@ class FitsReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[Slice]:
-        return [s for p in files.list_files(self.options["path"]) for s in self.slices(p)]
+        return self.planned(files.list_files(self.options["path"]))
+
+    def planned(self, paths: list[str]) -> list[Slice]:
+        """The slices of all files; headers are read by several threads, as they wait for storage mostly."""
+        with ThreadPoolExecutor(max(1, min(32, len(paths)))) as pool:
+            return [s for some in pool.map(self.slices, paths) for s in some]
 
     def slices(self, path: str) -> list[Slice]:
         with files.open_bytes(path) as f:
@@ -126,7 +132,7 @@ class FitsReader(DataSourceReader):
         if z:
             first, last = z.rows_of(max(self.low, 1), self.high)
             step = max(1, z.rows if whole else int(self.options.get("partbytes", PART)) // (z.width * int(np.prod(z.tile))))
-            return [Slice(path, hdu.number, a, min(step, last - a + 1)) for a in range(first, last + 1, step)]
+            return [Slice(path, hdu, a, min(step, last - a + 1)) for a in range(first, last + 1, step)]
         if hdu.kind == "image" and self.options.get("raw") != "true":
             unit = abs(hdu.header.integer("BITPIX")) // 8
             total = hdu.data_bytes // unit
@@ -134,11 +140,11 @@ class FitsReader(DataSourceReader):
             unit, total = hdu.header.integer("NAXIS1"), hdu.header.integer("NAXIS2")
         low, high = max(self.low, 1), min(self.high, total)
         step = max(1, total if whole else int(self.options.get("partbytes", PART)) // max(unit, 1))
-        return [Slice(path, hdu.number, a, min(step, high - a + 1)) for a in range(low, high + 1, step)]
+        return [Slice(path, hdu, a, min(step, high - a + 1)) for a in range(low, high + 1, step)]
 
     def read(self, part: Slice):
         with files.open_bytes(part.path) as f:
-            hdu = files.scan(f)[part.hdu - 1]
+            hdu = part.hdu
             if self.options.get("raw") == "true":
                 width = hdu.header.integer("NAXIS1")
                 for a, n, data in self._blocks(f, hdu, part, width):
@@ -210,12 +216,36 @@ def pixels(stored: np.ndarray, arrow: pa.DataType, scale: float, zero: float, bl
     mask = stored == blank if blank is not None and stored.dtype.kind in "iu" else None
     native = stored.astype(stored.dtype.newbyteorder("="))
     if pa.types.is_decimal(arrow):
-        return pa.array([int(v) + (1 << 63) for v in native], arrow, mask=mask)
+        return tb.unsigned(native, mask)
     if scale != 1 or (zero and pa.types.is_float64(arrow)):
         return pa.array(native * scale + zero, pa.float64(), mask=mask)
     return pa.array(native.astype(np.int64) + int(zero), mask=mask).cast(arrow) if zero else pa.array(native, mask=mask).cast(arrow)
 
 
+def stored_pixels(values: pa.Array, dtype: np.dtype, zero: int, blank: int | None) -> np.ndarray:
+    """Whole numbers as they are stored: rounded half away from zero, moved by zero, null as blank; status 314 or 412 where that can't be."""
+    nulls = np.asarray(values.is_null())
+    if nulls.any() and blank is None:
+        raise FitsError(314)
+    limits = np.iinfo(dtype.newbyteorder("="))
+    if zero == 1 << 63:
+        if not pa.types.is_decimal(values.type):
+            values = pc.round(values, round_mode="half_towards_infinity").cast(pa.decimal128(38, 0), safe=False)
+        out = tb.signed(values)
+    else:
+        if pa.types.is_decimal(values.type):
+            values = values.cast(pa.int64())
+        x = values.fill_null(zero).to_numpy(zero_copy_only=False)
+        if x.dtype.kind == "f":
+            x = np.sign(x) * np.floor(np.abs(x) + 0.5)
+        if len(x) and not (x.min() >= limits.min + zero and x.max() <= limits.max + zero):
+            raise FitsError(412)
+        out = x.astype(np.int64) - zero
+    if nulls.any():
+        out[nulls] = blank
+    return out.astype(dtype)
+
+
 class FitsStream(DataSourceStreamReader):
     """New files of a folder, in order of name; an offset is the last name taken."""
 
@@ -231,7 +261,7 @@ class FitsStream(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Slice]:
         names = [p for p in files.list_files(self.inner.options["path"]) if start["after"] < os.path.basename(p) <= end["after"]]
-        return [s for p in names for s in self.inner.slices(p)]
+        return self.inner.planned(names)
 
     def read(self, part: Slice):
         return self.inner.read(part)
@@ -242,8 +272,9 @@ class FitsStream(DataSourceStreamReader):
 
 @dataclass
 class Part(WriterCommitMessage):
-    rows: str
-    heap: str
+    """What a task wrote: a whole file, or with single=true its rows and their heap."""
+
+    name: str
     n: int
     heap_bytes: int
     longest: dict
@@ -252,7 +283,8 @@ class Part(WriterCommitMessage):
 class FitsWriter(DataSourceArrowWriter):
     """One file of each task, or with single=true one in all. Options: path, tform (JSON: column to format), tunit, tdim, tnull,
     tscal, tzero (JSON too), extname, kind=binary|ascii, compression=gzip, checksum=true, single=true. Without a format strings
-    and arrays become cells of variable length. cards (JSON: {"cards": [[name, value, comment]]}) end the header. Tasks write rows and heap beside the target; committing joins them."""
+    and arrays become cells of variable length. cards (JSON: {"cards": [[name, value, comment]]}) end the header. Tasks write whole files
+    beside the target and committing renames them; with single=true the driver joins the tasks' rows and heaps."""
 
     def __init__(self, options: dict, schema: T.StructType, overwrite: bool) -> None:
         self.options, self.overwrite = options, overwrite
@@ -279,14 +311,17 @@ class FitsWriter(DataSourceArrowWriter):
 
     def write(self, batches) -> Part:
         os.makedirs(self.stage, exist_ok=True)
+        single = self.options.get("single") == "true"
         base = os.path.join(self.stage, uuid.uuid4().hex)
         n, heap_at = 0, 0
         longest: dict[int, int] = {}
-        with open(base + ".rows", "wb") as rows, open(base + ".heap", "wb") as heaps:
+        with open(base, "wb") as rows, open(base + ".heap", "wb") as heaps:
+            if not single:  # the header has as many cards whatever its numbers are, so it comes last, into this place
+                rows.write(bytes(len(self._head(0, 0, {}, 0))))
             for batch in batches:
                 heap = bytearray()
                 if self.ascii:
-                    rows.write(self._ascii(batch))
+                    rows.write(tb.encode_ascii(self.columns, batch))
                 else:
                     data = bytearray(tb.encode(self.columns, batch, heap))
                     for i, c in enumerate(self.columns):
@@ -298,85 +333,93 @@ class FitsWriter(DataSourceArrowWriter):
                     heaps.write(heap)
                 heap_at += len(heap)
                 n += batch.num_rows
-        return Part(base + ".rows", base + ".heap", n, heap_at, longest)
+        part = Part(base, n, heap_at, longest)
+        if n and not single:
+            with open(base, "r+b") as f:
+                f.seek(0, os.SEEK_END)
+                self._end(f, [part], len(self._head(0, 0, {}, 0)))
+            if self._gzip():
+                with open(base, "rb") as f, gzip.open(base + ".gz", "wb", 6) as z:
+                    shutil.copyfileobj(f, z, 1 << 24)
+                os.replace(base + ".gz", base)
+        return part
+
+    def _gzip(self) -> bool:
+        return self.options.get("compression") == "gzip"
 
     def _descriptors(self, data: bytearray, n: int, c: tb.Column) -> np.ndarray:
         width = sum(x.form.nbytes for x in self.columns)
         return np.ndarray((n, 2), ">i4" if c.form.descriptor == "P" else ">i8", data, c.offset, (width, c.form.nbytes // 2))
 
-    def _ascii(self, batch: pa.RecordBatch) -> bytes:
-        width = max(c.offset + c.form[1] for c in self.columns)
-        out = np.full((batch.num_rows, width), 32, np.uint8)
-        for c, a in zip(self.columns, batch.columns, strict=True):
-            for i, x in enumerate(a.to_pylist()):
-                if x is None:
-                    if c.null is None and c.form[0] != "A":
-                        raise FitsError(314, c.name)
-                    cell = str(c.null or "").encode().ljust(c.form[1])[: c.form[1]]
-                else:
-                    cell = tb.format_ascii((x - c.zero) / c.scale if (c.scale, c.zero) != (1, 0) else x, c.form)
-                out[i, c.offset : c.offset + c.form[1]] = np.frombuffer(cell, np.uint8)
-        return out.tobytes()
+    def _head(self, n: int, heap: int, longest: dict, total: int) -> bytes:
+        """An empty primary and the table's header; total: the sum of the data's words."""
+        for i, c in enumerate(self.columns):
+            if not self.ascii and c.form.descriptor:
+                c.form.width = longest.get(i, 0)
+        extname = self.options.get("extname", "")
+        h = tb.ascii_header(self.columns, n, extname) if self.ascii else tb.table_header(self.columns, n, heap, extname)
+        for card in self.cards:
+            h.write(*card)
+        if self.options.get("checksum") == "true":
+            h = sums.seal(h, total)
+        return tb.empty_primary() + h.to_bytes()
+
+    def _end(self, f, parts: list[Part], start: int) -> None:
+        """Puts the heaps behind the rows, which end where f is, fills the last record and writes the header at the front."""
+        for p in parts:
+            with open(p.name + ".heap", "rb") as heap:
+                shutil.copyfileobj(heap, f, 1 << 24)
+        f.write((b" " if self.ascii else b"\0") * (-(f.tell() - start) % 2880))
+        total = 0
+        if self.options.get("checksum") == "true":
+            f.seek(start)
+            while data := f.read(2880 * 4096):
+                total = sums.add(total, data)
+        longest = {i: max(p.longest.get(i, 0) for p in parts) for i in range(len(self.columns))} if parts else {}
+        f.seek(0)
+        f.write(self._head(sum(p.n for p in parts), sum(p.heap_bytes for p in parts), longest, total))
 
     def commit(self, messages: list) -> None:
         parts = [m for m in messages if m is not None]
-        gz = self.options.get("compression") == "gzip"
         single = self.options.get("single") == "true"
         if os.path.exists(self.path):
             if not self.clobber:
                 shutil.rmtree(self.stage, ignore_errors=True)
                 raise FitsError(105, self.path)
             shutil.rmtree(self.path) if os.path.isdir(self.path) else os.remove(self.path)
-        groups = [parts] if single else [[p] for p in parts if p.n] or [parts[:1]]
+        name = lambda k: os.path.join(self.path, f"part-{k:05d}.fits" + ".gz" * self._gzip())
         if not single:
             os.makedirs(self.path)
-        for k, group in enumerate(groups):
-            name = self.path if single else os.path.join(self.path, f"part-{k:05d}.fits" + ".gz" * gz)
-            self._join(name, group, gz)
+            for k, p in enumerate(p for p in parts if p.n):
+                os.replace(p.name, name(k))
+        if single or not any(p.n for p in parts):
+            self._join(self.path if single else name(0), parts if single else [])
         shutil.rmtree(self.stage, ignore_errors=True)
 
-    def _join(self, name: str, group: list[Part], gz: bool) -> None:
-        for i, c in enumerate(self.columns):
-            if not self.ascii and c.form.descriptor:
-                c.form.width = max((p.longest.get(i, 0) for p in group), default=0)
-        n, heap = sum(p.n for p in group), sum(p.heap_bytes for p in group)
-        h = tb.ascii_header(self.columns, n, self.options.get("extname", "")) if self.ascii else tb.table_header(self.columns, n, heap, self.options.get("extname", ""))
-        for card in self.cards:
-            h.write(*card)
-        body = tempfile.TemporaryFile(dir=self.stage)
-        before = 0
-        for p in group:
-            with open(p.rows, "rb") as f:
-                if before and any(not self.ascii and c.form.descriptor for c in self.columns):
-                    data = bytearray(f.read())
-                    for c in self.columns:
-                        if c.form.descriptor:
-                            d = self._descriptors(data, p.n, c)
-                            d[:, 1] += before * (d[:, 0] > 0)
-                    body.write(data)
-                else:
-                    while data := f.read(1 << 24):
-                        body.write(data)
-            before += p.heap_bytes
-        for p in group:
-            with open(p.heap, "rb") as f:
-                while data := f.read(1 << 24):
-                    body.write(data)
-        body.write((b" " if self.ascii else b"\0") * (-body.tell() % 2880))
-        if self.options.get("checksum") == "true":
-            total = 0
-            body.seek(0)
-            while data := body.read(2880 * 4096):
-                total = sums.add(total, data)
-            h = sums.seal(h, total)
-        out = gzip.open(name, "wb", 6) if gz else open(name, "wb")
-        with out:
-            out.write(tb.empty_primary())
-            out.write(h.to_bytes())
-            body.seek(0)
-            while data := body.read(1 << 24):
-                out.write(data)
-        body.close()
+    def _join(self, name: str, parts: list[Part]) -> None:
+        """One file of the tasks' rows and heaps."""
+        os.makedirs(self.stage, exist_ok=True)
+        body, start, before = os.path.join(self.stage, "joined"), len(self._head(0, 0, {}, 0)), 0
+        moved = [c for c in self.columns if not self.ascii and c.form.descriptor]
+        width = 1 if self.ascii else max(1, sum(c.form.nbytes for c in self.columns))
+        with open(body, "w+b") as out:
+            out.write(bytes(start))
+            for p in parts:
+                with open(p.name, "rb") as f:
+                    while data := f.read(max(1, (1 << 24) // width) * width):
+                        if before and moved:
+                            data = bytearray(data)
+                            for c in moved:
+                                d = self._descriptors(data, len(data) // width, c)
+                                d[:, 1] += before * (d[:, 0] > 0)
+                        out.write(data)
+                before += p.heap_bytes
+            self._end(out, parts, start)
+        if self._gzip():
+            with open(body, "rb") as f, gzip.open(name, "wb", 6) as z:
+                shutil.copyfileobj(f, z, 1 << 24)
+        else:
+            os.replace(body, name)
 
     def abort(self, messages: list) -> None:
         shutil.rmtree(self.stage, ignore_errors=True)
@@ -480,11 +523,18 @@ def write_image(df: DataFrame, path: str, axes: list[int], kind: str, value: str
     with open(name, "wb") as f:
         f.write(head)
         f.truncate(len(head) + -(-total * dtype.itemsize // 2880) * 2880)
-    if zero:  # 0 is stored as -zero
-        with open(name, "r+b") as f:
-            f.seek(len(head))
-            f.write(np.full(total, -zero, np.int64).astype(dtype).tobytes() if bitpix != 64 else np.full(total, -(1 << 63), np.int64).astype(dtype).tobytes())
-    low, high = (None, None) if bitpix < 0 else (np.iinfo(dtype.newbyteorder("=")).min, np.iinfo(dtype.newbyteorder("=")).max)
+    if zero:  # 0 is stored as -zero; tasks fill the file
+        block = 1 << 22
+
+        def fill(batches):
+            with open(name, "r+b") as f:
+                for b in batches:
+                    for k in b.column(0).to_pylist():
+                        f.seek(len(head) + k * block * dtype.itemsize)
+                        f.write(np.full(min(block, total - k * block), -zero, np.int64).astype(dtype).tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+        df.sparkSession.range(-(-total // block)).mapInArrow(fill, "n long").agg(F.sum("n")).collect()
 
     def run(batches):
         with open(name, "r+b") as f:
@@ -492,15 +542,7 @@ def write_image(df: DataFrame, path: str, axes: list[int], kind: str, value: str
                 at, values = b.column(0).to_numpy(), b.column(1)
                 if len(at) and (at.min() < 1 or at.max() > total):
                     raise FitsError(308)
-                if bitpix < 0:
-                    stored = values.to_numpy(zero_copy_only=False).astype(dtype)
-                else:
-                    raw = np.array([blank if v is None else int(np.floor(abs(v) + 0.5)) * (1 if v >= 0 else -1) - zero if isinstance(v, float) else int(v) - zero for v in values.to_pylist()], object)
-                    if any(v is None for v in raw):
-                        raise FitsError(314)
-                    if len(raw) and (min(raw) < low or max(raw) > high):
-                        raise FitsError(412)
-                    stored = raw.astype(np.int64).astype(dtype)
+                stored = values.to_numpy(zero_copy_only=False).astype(dtype) if bitpix < 0 else stored_pixels(values, dtype, zero, blank)
                 order = np.argsort(at, kind="stable")
                 at, stored = at[order], stored[order]
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(at) != 1) + 1, [len(at)]])
