@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import math
 import re
 from datetime import UTC, datetime
@@ -19,6 +18,11 @@ def is_date(text: str) -> bool:
     return bool(re.match(r"\d{4}-\d\d-\d\d", text))
 
 
+def fits_glob(text: str, pattern: str) -> bool:
+    """Whether a text is like a pattern in which * stands for any characters and ? for one; nothing else is special."""
+    return re.fullmatch("".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern), text, re.DOTALL) is not None
+
+
 class Header:
     """Cards without END. Names are matched without case, of several the first; positions count from 1."""
 
@@ -129,7 +133,7 @@ class Header:
 
     def find(self, include: list[str], exclude: list[str] | None = None, after: int = 0) -> str:
         """The first card past position `after` whose keyword fits a pattern of include and none of exclude; * and ? stand for any."""
-        fits = lambda c, patterns: any(fnmatch.fnmatchcase(C.keyword(c).upper(), p.upper()) for p in patterns)
+        fits = lambda c, patterns: any(fits_glob(C.keyword(c).upper(), p.upper()) for p in patterns)
         for c in self.cards[after:]:
             if fits(c, include) and not fits(c, exclude or []):
                 return c

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -80,7 +81,10 @@ def decode_tdim(text: str) -> list[int]:
     m = re.fullmatch(r"\s*\(\s*(\d+(?:\s*,\s*\d+)*)\s*\)\s*", text)
     if not m:
         raise FitsError(263, text)
-    return [int(x) for x in m[1].split(",")]
+    dims = [int(x) for x in m[1].split(",")]
+    if math.prod(dims) >= 1 << 63:
+        raise FitsError(111, text)
+    return dims
 
 
 def format_tdim(dims: list[int]) -> str:

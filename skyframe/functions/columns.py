@@ -19,8 +19,12 @@ D2R = 0.01745329252
 
 
 def quote(s: Column) -> Column:
+    """A string value: quotes doubled, 68 characters at most, a doubled quote never cut in two, at least eight between the quotes."""
     doubled = F.replace(s, F.lit("'"), F.lit("''"))
-    return F.concat(F.lit("'"), F.rpad(doubled, F.greatest(F.length(doubled), F.lit(8)), F.lit(" ")), F.lit("'"))
+    cut = F.regexp_extract(doubled, r"(?s)^((?:[^']|''){0,68})", 1)
+    # 68 pairs may be longer: of these as many as fit
+    cut = F.when(F.length(doubled) <= 68, doubled).when(F.length(cut) <= 68, cut).otherwise(F.regexp_extract(F.substring(doubled, 1, 68), r"(?s)^((?:[^']|'')*)", 1))
+    return F.concat(F.lit("'"), F.rpad(cut, F.greatest(F.length(cut), F.lit(8)), F.lit(" ")), F.lit("'"))
 
 
 def unquote(v: Column) -> Column:
@@ -29,11 +33,24 @@ def unquote(v: Column) -> Column:
 
 
 def card(name: Column, value: Column, comment: Column | None = None) -> Column:
-    """A card of 80 characters for a name of up to eight; value as written, quoted if a string."""
-    head = F.concat(F.rpad(F.upper(name), F.lit(8), F.lit(" ")), F.lit("= "))
-    body = F.when(F.startswith(value, F.lit("'")), F.rpad(F.concat(head, value), F.greatest(F.length(value) + 10, F.lit(30)), F.lit(" "))).otherwise(F.concat(head, F.lpad(value, F.greatest(F.length(value), F.lit(20)), F.lit(" "))))
-    if comment is not None:
-        body = F.when(F.length(comment) > 0, F.concat(body, F.lit(" / "), comment)).otherwise(body)
+    """A card of 80 characters; value as written, quoted if a string. Names of up to eight letters, digits, _ and - take the first eight places,
+    others make a HIERARCH card, whose blank before = goes where there is no room for it. Without a value the comment alone follows the name.
+    A name with = or without room for its value: status 207."""
+    bad = F.raise_error(F.lit("207: " + status.text(207))).cast("string")
+    name, said = F.trim(name), F.coalesce(comment, F.lit("")) if comment is not None else F.lit("")
+    short = name.rlike(r"\A[A-Za-z0-9_-]{0,8}\z")
+    named = F.when(F.upper(name).startswith("HIERARCH "), name).otherwise(F.concat(F.lit("HIERARCH "), name))
+    tight = F.length(named) + 3 + F.length(value) > 80
+    long_ = F.concat(named, F.when(tight, F.lit("= ")).otherwise(F.lit(" = ")))
+    long_ = F.when(name.contains("=") | ~name.rlike(r"\A[ -~]+\z") | (F.length(named) + 2 + F.length(value) > 80), bad).otherwise(long_)
+    head = F.when(short, F.concat(F.rpad(F.upper(name), F.lit(8), F.lit(" ")), F.lit("= "))).otherwise(long_)
+    full = F.concat(head, value)
+    text = F.when(F.length(full) > 80, F.concat(F.substring(full, 1, 79), F.lit("'"))).otherwise(full)
+    text = F.when(F.length(head) > 10, text).otherwise(F.rpad(text, F.greatest(F.length(text), F.lit(30)), F.lit(" ")))
+    number = F.when(F.length(head) > 10, full).otherwise(F.concat(head, F.lpad(value, F.greatest(F.length(value), F.lit(20)), F.lit(" "))))
+    body = F.when(F.startswith(value, F.lit("'")), text).otherwise(number)
+    body = F.when((F.length(said) > 0) & (F.length(body) + 3 < 80), F.concat(body, F.lit(" / "), said)).otherwise(body)
+    body = F.when(short & (F.length(value) == 0), F.concat(F.rpad(F.upper(name), F.lit(8), F.lit(" ")), F.lit("  "), said)).otherwise(body)
     return F.rpad(body, F.lit(80), F.lit(" "))
 
 
@@ -114,11 +131,11 @@ def number_text(x: Column, decimals: int, exponent: bool) -> Column:
 
 
 def tdim_elem(dims: list[int], coords: list[Column]) -> Column:
-    """The 1-based element of 1-based coordinates, the first axis fastest."""
-    out, step = F.lit(1).cast("bigint"), 1
+    """The 1-based element of 1-based coordinates, the first axis fastest; a coordinate past its axis: status 308."""
+    out, step, inside = F.lit(1).cast("bigint"), 1, F.lit(True)
     for n, c in zip(dims, coords, strict=True):
-        out, step = out + (c - 1) * step, step * n
-    return out
+        out, step, inside = out + (c - 1) * step, step * n, inside & c.between(1, n)
+    return F.when(inside, out).when(inside.isNull(), F.lit(None)).otherwise(F.raise_error(F.lit("308: " + status.text(308))).cast("bigint"))
 
 
 def tdim_coords(dims: list[int], elem: Column) -> list[Column]:
@@ -129,6 +146,16 @@ def tdim_coords(dims: list[int], elem: Column) -> list[Column]:
     return out
 
 
+def null_to(value: Column, nulval) -> Column:
+    """A column with its nulls as nulval."""
+    return F.coalesce(value, F.lit(nulval))
+
+
+def any_null(value: Column) -> Column:
+    """Whether a column has a null, an aggregate."""
+    return F.coalesce(F.max(value.isNull()), F.lit(False))
+
+
 def explode_cells(df: DataFrame, cell: str, row: str = "_row", repeat: int | None = None) -> DataFrame:
     """Elements of vector cells: elem from 1 in the cell and, with a fixed repeat, flat from 1 in the column."""
     out = df.select("*", F.posexplode(cell).alias("_p", "elem_value")).withColumn("elem", F.col("_p") + 1)
@@ -150,12 +177,16 @@ def pack(df: DataFrame, index: str, sample: str, nbit: int, *keys: str) -> DataF
     return df.groupBy(*keys, F.floor(F.col(index) / per).alias("byte_index")).agg(F.sum(good).alias("byte"))
 
 
-def unpack(df: DataFrame, byte_index: str, byte: str, nbit: int) -> DataFrame:
-    """The samples of each byte: sample_index from 0, sample."""
+def unpack(df: DataFrame, byte_index: str, byte: str, nbit: int, nsamp: int = 0) -> DataFrame:
+    """The samples of each byte: sample_index from 0, sample. nsamp: only the first so many, 0 for all; fewer than 0: status 306.
+    That there are as many bytes is not known without counting them, so a shorter table gives what it has."""
+    if nsamp < 0:
+        raise status.FitsError(306)
     per = 8 // nbit
     out = df.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
     value = F.floor(F.col(byte) / F.pow(F.lit(2.0), 8 - nbit - nbit * F.col("_k"))) % (1 << nbit)
-    return out.withColumns({"sample_index": F.col(byte_index) * per + F.col("_k"), "sample": value.cast("bigint")}).drop("_k")
+    out = out.withColumns({"sample_index": F.col(byte_index) * per + F.col("_k"), "sample": value.cast("bigint")}).drop("_k")
+    return out.where(F.col("sample_index") < nsamp) if nsamp else out
 
 
 def signed(u: Column, nbit: int) -> Column:
@@ -187,6 +218,11 @@ def uncalibrate(x: Column, scale: Column, offset: Column, zero_off: float = 0) -
     return F.when(scale == 0, F.raise_error(F.lit("322: " + status.text(322))).cast("double")).otherwise((x - offset) / scale + F.lit(zero_off))
 
 
+def channel_weighted(x: Column, weight: Column) -> Column:
+    """A sample times the weight of its channel."""
+    return x * weight
+
+
 # --- sky -------------------------------------------------------------------------------------------------------------
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import fnmatch
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..format import tables as tb
-from ..format.header import Header
+from ..format.header import Header, fits_glob
 from ..format.status import FitsError
 from ..sources import files
 
@@ -36,7 +34,7 @@ def insert_column(df: DataFrame, at: int, name: str, kind: str) -> DataFrame:
 def find_columns(df: DataFrame, pattern: str, case: bool = False) -> list[str]:
     """Names that fit a pattern with * and ?; none: status 219."""
     fold = (lambda s: s) if case else str.lower
-    found = [c for c in df.columns if fnmatch.fnmatchcase(fold(c), fold(pattern))]
+    found = [c for c in df.columns if fits_glob(fold(c), fold(pattern))]
     if not found:
         raise FitsError(219, pattern)
     return found

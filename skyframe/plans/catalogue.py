@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..codecs import tiles as codec
+from ..format import tables
 from ..functions import checksum
 from ..functions import columns as C
-from ..operators import edits, tiles
+from ..operators import edits, sky, subint, tiles
 from ..sources import files
 from ..sources.compressed import write_compressed_image
-from ..sources.fits import read_fits, write_fits, write_image
+from ..sources.fits import fits_hdus, fits_headers, read_fits, resize_image, write_fits, write_image, write_pixels, write_rows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,7 +40,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new path for a file, in the folder that the cluster shares if there is one."""
-    base = files.local(spark.conf.get("spark.checkpoint.dir", None) or "") or tempfile.mkdtemp(prefix="skyframe-")
+    base = files.local(spark.conf.get("spark.checkpoint.dir", None) or "")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a mounted folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="skyframe-")
     os.makedirs(base, exist_ok=True)
     return f"{base}/fits-{uuid.uuid4().hex}"
 
@@ -138,10 +143,16 @@ def col_glob(spark, sf):
     return d.select(*edits.find_columns(d, "L_SHIP*"), edits.find_column(d, "l_orderk?y"))
 
 
-@query("SELECT c_custkey, rpad('CUSTKEY = ' || lpad(c_custkey::VARCHAR, 20, ' ') || ' / key', 80, ' ') AS num, rpad('NAME    = ''' || rpad(c_name, greatest(8, length(c_name))::INTEGER, ' ') || '''', 80, ' ') AS str FROM customer")
+@query("SELECT c_custkey, rpad('CUSTKEY = ' || lpad(c_custkey::VARCHAR, 20, ' ') || ' / key', 80, ' ') AS num, rpad('NAME    = ''' || rpad(c_name, greatest(8, length(c_name))::INTEGER, ' ') || '''', 80, ' ') AS str, rpad('HIERARCH A LONG NAME = ' || c_custkey::VARCHAR || ' / key', 80, ' ') AS long, 'NAME    = ''' || substr(rpad(c_name, 75, 'x'), 1, 68) || '''' AS cut, rpad('HIERARCH ' || repeat('N', 25) || '= ''' || substr(rpad(c_name, 75, 'y'), 1, 42) || '''', 80, ' ') AS tight FROM customer")
 def card_format(spark, sf):
+    """Short and long names, a string too long for its card, and one that leaves no room for the blank before =."""
     c = table(spark, sf, "customer")
-    return c.select("c_custkey", C.card(F.lit("CUSTKEY"), F.col("c_custkey").cast("string"), F.lit("key")).alias("num"), C.card(F.lit("NAME"), C.quote(F.col("c_name"))).alias("str"))
+    long_ = lambda n, fill: C.quote(F.rpad("c_name", F.lit(n), F.lit(fill)))
+    return c.select(
+        "c_custkey", C.card(F.lit("CUSTKEY"), F.col("c_custkey").cast("string"), F.lit("key")).alias("num"), C.card(F.lit("NAME"), C.quote(F.col("c_name"))).alias("str"),
+        C.card(F.lit("A LONG NAME"), F.col("c_custkey").cast("string"), F.lit("key")).alias("long"), C.card(F.lit("NAME"), long_(75, "x")).alias("cut"),
+        C.card(F.lit("N" * 25), long_(42, "y")).alias("tight"),
+    )
 
 
 @query("SELECT c_custkey, 'NAME' AS keyword, c_name AS value, 'of ' || c_mktsegment AS comment, 150 AS class FROM customer")
@@ -183,6 +194,10 @@ def part_image(spark, sf) -> DataFrame:
     return table(spark, sf, "part").select((F.col("p_partkey") + 1).alias("_pix"), F.col("p_size").alias("value"))
 
 
+def price_image(spark, sf) -> DataFrame:
+    return table(spark, sf, "part").select((F.col("p_partkey") + 1).alias("_pix"), F.col("p_retailprice").alias("value"))
+
+
 @query("SELECT (p_partkey + 1)::BIGINT AS pix, (p_size + 40000)::INTEGER AS value FROM part")
 def image_write_read_u16(spark, sf):
     d, path = part_image(spark, sf), scratch(spark)
@@ -191,14 +206,20 @@ def image_write_read_u16(spark, sf):
     return read_fits(spark, path, hdu=1).select(F.col("_pix").alias("pix"), "value")
 
 
+def whole_rows(d: DataFrame, width: int = 50) -> tuple[DataFrame, int, int]:
+    """(d with pixels of 0 up to the end of its last row, rows, pixels before)."""
+    n = d.agg(F.max("_pix")).first()[0]
+    rows = -(-n // width)
+    fill = d.sparkSession.range(n + 1, width * rows + 1).select(F.col("id").alias("_pix"), F.lit(0).cast(d.schema["value"].dataType).alias("value"))
+    return d.unionByName(fill), rows, n
+
+
 def _zimage(name: str):
-    @query("SELECT (p_partkey + 1)::BIGINT AS pix, (p_size + 40000)::INTEGER AS value FROM part WHERE p_partkey // 50 < (SELECT (max(p_partkey) + 1) // 50 FROM part)")
+    @query("SELECT (p_partkey + 1)::BIGINT AS pix, (p_size + 40000)::INTEGER AS value FROM part")
     def f(spark, sf):
-        d, path = part_image(spark, sf), scratch(spark)
-        rows = d.agg(F.floor(F.max("_pix") / 50)).first()[0]
-        whole = d.where(F.col("_pix") <= 50 * rows).withColumn("value", F.col("value") + 40000)
-        write_compressed_image(whole, path, [50, rows], "u16", name)
-        return read_fits(spark, path, hdu=2).select(F.col("_pix").alias("pix"), "value")
+        (d, rows, n), path = whole_rows(part_image(spark, sf)), scratch(spark)
+        write_compressed_image(d.withColumn("value", F.col("value") + 40000), path, [50, rows], "u16", name)
+        return read_fits(spark, path, hdu=2).where(F.col("_pix") <= n).select(F.col("_pix").alias("pix"), "value")
 
     return f
 
@@ -209,12 +230,11 @@ for _name in ("RICE_1", "GZIP_2", "HCOMPRESS_1"):
     ORACLE_SQL[f"zimage_{_name.lower()}"] = ORACLE_SQL.pop("f")
 
 
-@query("SELECT (p_partkey + 1)::BIGINT AS pix, p_retailprice::DOUBLE AS value FROM part WHERE p_partkey < 50 * (SELECT (max(p_partkey) + 1) // 50 FROM part)")
+@query("SELECT (p_partkey + 1)::BIGINT AS pix, p_retailprice::DOUBLE AS value FROM part")
 def zimage_whole_floats(spark, sf):
-    d, path = table(spark, sf, "part").select((F.col("p_partkey") + 1).alias("_pix"), F.col("p_retailprice").alias("value")), scratch(spark)
-    rows = d.agg(F.floor(F.max("_pix") / 50)).first()[0]
-    write_compressed_image(d.where(F.col("_pix") <= 50 * rows), path, [50, rows], "f64", "GZIP_2", tile=[16, 8], level=0)
-    return read_fits(spark, path, hdu=2).select(F.col("_pix").alias("pix"), "value")
+    (d, rows, n), path = whole_rows(price_image(spark, sf)), scratch(spark)
+    write_compressed_image(d, path, [50, rows], "f64", "GZIP_2", tile=[16, 8], level=0)
+    return read_fits(spark, path, hdu=2).where(F.col("_pix") <= n).select(F.col("_pix").alias("pix"), "value")
 
 
 @query("SELECT min(p_retailprice::FLOAT) AS low, max(p_retailprice::FLOAT) AS high, count(*)::BIGINT AS n FROM part")
@@ -237,14 +257,13 @@ def tile_enumerate(spark, sf):
 
 
 def _codec(name: str, bytepix: int):
-    @query("SELECT (p_partkey + 1)::BIGINT AS pix, p_size::BIGINT AS value FROM part WHERE p_partkey // 50 < (SELECT (max(p_partkey) + 1) // 50 FROM part)")
+    @query("SELECT (p_partkey + 1)::BIGINT AS pix, p_size::BIGINT AS value FROM part")
     def f(spark, sf):
-        d = part_image(spark, sf)
-        rows = d.agg(F.floor(F.max("_pix") / 50)).first()[0]
+        d, rows, n = whole_rows(part_image(spark, sf))
         axes, shape = [50, rows], [50, 8]
-        cut = tiles.gather(d.where(F.col("_pix") <= 50 * rows), axes, shape)
+        cut = tiles.gather(d, axes, shape)
         back = tiles.decompress(tiles.compress(cut, name, bytepix, axes, shape), name, bytepix)
-        return tiles.scatter(back, axes, shape).withColumnRenamed("_pix", "pix")
+        return tiles.scatter(back, axes, shape).withColumnRenamed("_pix", "pix").where(F.col("pix") <= n)
 
     return f
 
@@ -256,12 +275,11 @@ for _name, _bytes in (("RICE_1", 2), ("GZIP_1", 4), ("GZIP_2", 4), ("PLIO_1", 4)
     ORACLE_SQL[f"tile_{_name.lower()}"] = ORACLE_SQL.pop("f")
 
 
-@query()
+@query("SELECT (y + 1)::BIGINT AS tile, true AS close FROM (SELECT DISTINCT p_partkey // 50 AS y FROM part)")
 def quantize_roundtrip(spark, sf):
     """The largest error of each tile in steps: half a step at most."""
-    d = table(spark, sf, "part").select((F.col("p_partkey") + 1).alias("_pix"), F.col("p_retailprice").alias("value"))
-    rows = d.agg(F.floor(F.max("_pix") / 50)).first()[0]
-    cut = tiles.gather(d.where(F.col("_pix") <= 50 * rows), [50, rows], [50, 1])
+    d, rows, _ = whole_rows(price_image(spark, sf))
+    cut = tiles.gather(d, [50, rows], [50, 1])
     q = tiles.quantize(cut)
     back = tiles.dequantize(q).withColumnRenamed("values", "back")
     off = F.array_max(F.zip_with("values", "back", lambda a, b: F.abs(a - b)))
@@ -274,7 +292,7 @@ def adjacent_diff(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity") - F.lag("l_quantity").over(w)).alias("diff"))
 
 
-@query()
+@query("WITH RECURSIVE g(i, s) AS (SELECT 0, 16807::BIGINT UNION ALL SELECT i + 1, s * 16807 % 2147483647 FROM g WHERE i < 9999) SELECT i, (s::DOUBLE / 2147483647)::FLOAT::DOUBLE AS value FROM g")
 def dither_table(spark, sf):
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(codec.dither_table())], "i int, value double")
 
@@ -312,7 +330,7 @@ def wcs_inverse(spark, sf):
     d = table(spark, sf, "part")
     lon, lat = C.pix_to_world(F.col("p_size"), F.col("p_partkey") % 512, **REF)
     x, y = C.world_to_pix(F.col("lon"), F.col("lat"), **REF)
-    return d.select("p_partkey", lon.alias("lon"), lat.alias("lat")).select("p_partkey", (F.round(x, 5) + 0.0).alias("x"), (F.abs(F.round(y, 5)) + 0.0).alias("y"))
+    return d.select("p_partkey", lon.alias("lon"), lat.alias("lat")).select("p_partkey", (F.round(x, 5) + 0.0).alias("x"), (F.round(y, 5) + 0.0).alias("y"))
 
 
 @query(f"SELECT p_partkey, round((45.83 * {_A} + (p_size - 256.0) * -0.00277777 * {_A}) / {_A}, 8) AS lon, round((63.57 * {_A} + (p_partkey % 512 - 257.0) * 0.00277777 * {_A}) / {_A}, 8) AS lat FROM part")
@@ -375,3 +393,174 @@ def hdu_surgery(spark, sf):
     with open(out, "wb") as f:
         f.write(b.to_bytes())
     return read_fits(spark, out)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(round((l_discount - 0.05) / 0.01) * 0.01 + 0.05, 6) AS physical FROM lineitem")
+def scaled_column_file(spark, sf):
+    """A column stored as 16-bit integers with a scale and an offset."""
+    d = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_discount").alias("physical"))
+    return round_trip(d, tform={"physical": "1I"}, tscal={"physical": 0.01}, tzero={"physical": 0.05}).withColumn("physical", F.round("physical", 6))
+
+
+_ROT = f"""SELECT p_partkey, (dx * cos(10 * {_A}) - dy * sin(10 * {_A})) * {_A} AS l, (dy * cos(10 * {_A}) + dx * sin(10 * {_A})) * {_A} AS m, 45.83 * {_A} AS ra0, 63.57 * {_A} AS dec0
+FROM (SELECT p_partkey, (p_size - 256.0) * -0.00277777 AS dx, (p_partkey % 512 - 257.0) * 0.00277777 AS dy FROM part)"""
+
+
+@query(f"SELECT p_partkey, round(atan2(b, a) / {_A}, 8) AS lon, round(atan(z / sqrt(a * a + b * b)) / {_A}, 8) AS lat FROM ({_XYZ.replace(_TAN, _ROT)})")
+def wcs_header(spark, sf):
+    """Pixels to the sky by the parameters of a file's header, with a rotation."""
+    path = scratch(spark)
+    cards = [["CRVAL1", 45.83], ["CRVAL2", 63.57], ["CRPIX1", 256.0], ["CRPIX2", 257.0], ["CDELT1", -0.00277777], ["CDELT2", 0.00277777], ["CROTA2", 10.0], ["CTYPE1", "RA---TAN"]]
+    write_fits(table(spark, sf, "part").select("p_partkey", "p_size"), path, single=True, cards={"cards": cards})
+    with files.open_bytes(path) as f:
+        where = sky.img_coord(files.scan(f)[1].header)
+    d = read_fits(spark, path)
+    lon, lat = C.pix_to_world(F.col("p_size"), F.col("p_partkey") % 512, **where)
+    return d.select("p_partkey", F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"))
+
+
+def _subint(spark, d: DataFrame, cards: dict, **options) -> str:
+    """A SUBINT table of one file, its rows in the order of vec_id."""
+    path = scratch(spark)
+    write_fits(d.coalesce(1).sortWithinPartitions("vec_id"), path, single=True, extname="SUBINT", cards={"cards": [[k, v] for k, v in cards.items()]}, **options)
+    return path
+
+
+_CELLS = "SELECT vec_id, label, i, embedding[i + 1]::DOUBLE AS v, row_number() OVER (PARTITION BY i ORDER BY vec_id) AS row FROM (SELECT vec_id, label, embedding, unnest(range(0, 64)) AS i FROM embeddings)"
+
+
+@query(f"SELECT row::BIGINT AS row, i::INTEGER AS i, round((round(v * 1000) - 3) * (i // 8 + 1) * 0.5 + (i // 8) - 2, 6) AS value FROM ({_CELLS})")
+def subint_fold(spark, sf):
+    """Cells of 64 as 8 bins, 4 channels and 2 polarisations of 16 bits, calibrated by plane."""
+    d = table(spark, sf, "embeddings").select(
+        "vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("short")).alias("DATA"),
+        F.array(*[F.lit((p + 1) * 0.5).cast("float") for p in range(8)]).alias("DAT_SCL"), F.array(*[F.lit(p - 2.0).cast("float") for p in range(8)]).alias("DAT_OFFS"),
+    )
+    path = _subint(spark, d, {"NPOL": 2, "NBIN": 8, "NCHAN": 4, "NBITS": 16, "NSBLK": 1, "ZERO_OFF": 3}, tform={"DATA": "64I", "DAT_SCL": "8E", "DAT_OFFS": "8E"}, tdim={"DATA": "(8,4,2)"})
+    out = subint.read_subint_data(spark, path, extname="SUBINT")
+    return out.select(F.col("_row").alias("row"), F.posexplode("values").alias("i", "value")).withColumn("value", F.round("value", 6))
+
+
+def _search(signed: bool):
+    sample = "((label + i) % 4)" if not signed else "(CASE WHEN (label + i) % 4 >= 2 THEN (label + i) % 4 - 4 ELSE (label + i) % 4 END)"
+
+    @query(f"SELECT row::BIGINT AS row, i::INTEGER AS i, round(({sample} - 1.5) * 1.0 * (i % 4 + 1) * 0.25, 6) AS value FROM ({_CELLS})")
+    def f(spark, sf):
+        """64 samples of 2 bits in 16 bytes, as 4 channels, 2 polarisations and 8 times; no scales, but weights of channels."""
+        byte = lambda b: sum((((F.col("label") + 4 * b + k) % 4) * (1 << (6 - 2 * k)) for k in range(4)), F.lit(0)).cast("short")
+        d = table(spark, sf, "embeddings").select("vec_id", F.array(*[byte(b) for b in range(16)]).alias("DATA"), F.array(*[F.lit((c + 1) * 0.25).cast("float") for c in range(4)]).alias("DAT_WTS"))
+        path = _subint(spark, d, {"NPOL": 2, "NCHAN": 4, "NBITS": 2, "NSBLK": 8, "ZERO_OFFS": 1.5, "SIGNINT": int(signed)}, tform={"DATA": "16B", "DAT_WTS": "4E"})
+        out = subint.read_subint_data(spark, path, extname="SUBINT", weights=True)
+        return out.select(F.col("_row").alias("row"), F.posexplode("values").alias("i", "value")).withColumn("value", F.round("value", 6))
+
+    return f
+
+
+for _name, _signed in (("subint_search", False), ("subint_search_signed", True)):
+    _search(_signed)
+    QUERIES[_name], ORACLE_SQL[_name] = QUERIES.pop("f"), ORACLE_SQL.pop("f")
+
+
+@query(f"SELECT vec_id, i::INTEGER AS i, round(v, 4) + 0.0 AS raw FROM ({_CELLS})")
+def cube_unscale(spark, sf):
+    """Calibrated and back."""
+    d = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    plane, _ = C.fold_index(F.col("i"), 8, 4)
+    x = C.calibrate(F.col("v").cast("double"), plane + 0.5, plane * 10, 2)
+    return d.select("vec_id", "i", F.round(C.uncalibrate(x, plane + 0.5, plane * 10, 2), 4).alias("raw")).withColumn("raw", F.col("raw") + 0.0)
+
+
+EDITED = [
+    ("OBJECT", "'M 31    '", "a galaxy"), ("EXPOSURE", "1.50000E+03", "[ms] how long"), ("NEWNAME", "7", "was old"), ("FLAG", "T", ""), ("HISTORY", "", "made by hand"), ("COMMENT", "", "c" * 72), ("COMMENT", "", "c" * 8),
+    ("LONGSTR", "'" + "x" * 67 + "&'", ""), ("CONTINUE", "'" + "x" * 33 + "'", ""), ("A LONG NAME", "3", ""), ("KEY1", "10", "of 2"), ("KEY2", "20", "of 2"), ("TEMPL", "'word    '", "from a template"), ("MJD", "51234.2500000000000000", ""),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', '{v.replace(chr(39), chr(39) * 2)}', '{c}')" for i, (k, v, c) in enumerate(EDITED, 1)) + ") t(n, keyword, value, comment)")
+def header_edits(spark, sf):
+    """A header's cards written, updated, renamed, deleted, templated, continued; read back as rows."""
+    path, out = scratch(spark), scratch(spark)
+    write_fits(table(spark, sf, "nation").select("n_nationkey"), path, single=True)
+    box = edits.Container.open(path)
+    h = box.units[1][0]
+    first = len(h) + 1
+    h.write("OBJECT", "M 30", "a galaxy").write("GONE", 1).write("EXPOSURE", 1500.0, "how long", decimals=5).write("OLDNAME", 7, "was old").write("FLAG", False)
+    h.update("OBJECT", "M 31").modify("FLAG", True).rename("OLDNAME", "NEWNAME").delete("GONE").set_unit("EXPOSURE", "ms")
+    h.comment("made by hand", "HISTORY").comment("c" * 80).write_long("LONGSTR", "x" * 100).write("A LONG NAME", 3).write_keys("KEY", [10, 20], comment="of 2")
+    h.template(["TEMPL = word / from a template", "-NOTHERE"]).write_time("MJD", 51234, 0.25)
+    with open(out, "wb") as f:
+        f.write(box.to_bytes())
+    cards = fits_headers(spark, out).where((F.col("hdu") == 2) & (F.col("idx") >= first))
+    return cards.select((F.col("idx") - (first - 1)).alias("n"), "keyword", "value", "comment")
+
+
+@query("SELECT ((sum(k // 4294967296 + k % 4294967296) - 1) % 4294967295 + 1)::BIGINT AS datasum, 1 AS data_right, 1 AS hdu_right FROM (SELECT l_orderkey * 1000003 + l_partkey AS k FROM lineitem)")
+def file_checksum(spark, sf):
+    """The sums that a file's cards hold, and whether they are right."""
+    path = scratch(spark)
+    write_fits(table(spark, sf, "lineitem").select((F.col("l_orderkey") * 1000003 + F.col("l_partkey")).alias("k")), path, single=True, checksum=True)
+    header, data = edits.Container.open(path).units[1]
+    right = checksum.verify(header, header.to_bytes(), tables.padded(data))
+    d = fits_headers(spark, path).where("hdu = 2 and keyword = 'DATASUM'").select(C.unquote(F.col("value")).cast("long").alias("datasum"))
+    return d.withColumns({"data_right": F.lit(right[0]), "hdu_right": F.lit(right[1])})
+
+
+@query("SELECT * FROM (VALUES (1, 'image', NULL, 0), (2, 'binary', 'ROWS', (SELECT count(*) * 8 FROM supplier)), (3, 'image', NULL, (SELECT count(*) * 2 FROM part))) t(hdu, type, extname, data_bytes)")
+def hdu_list(spark, sf):
+    """A table with an image appended to its file."""
+    path = scratch(spark)
+    write_fits(table(spark, sf, "supplier").select("s_suppkey"), path, single=True, extname="ROWS")
+    d = part_image(spark, sf)
+    write_image(d, path, [d.agg(F.max("_pix")).first()[0]], "i16", append=True)
+    return fits_hdus(spark, path).select("hdu", "type", "extname", "data_bytes")
+
+
+@query("SELECT n::BIGINT AS row, printf('%08x%08x', n_nationkey, n_regionkey) AS cells FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS n FROM nation)")
+def raw_rows(spark, sf):
+    path = scratch(spark)
+    write_fits(table(spark, sf, "nation").select("n_nationkey", "n_regionkey").coalesce(1).sortWithinPartitions("n_nationkey"), path, single=True)
+    return read_fits(spark, path, raw=True).select("row", F.lower(F.hex("bytes")).alias("cells"))
+
+
+@query("SELECT n::BIGINT AS row, CASE WHEN n = 3 THEN 77 ELSE key END::INTEGER AS key FROM (SELECT row_number() OVER (ORDER BY n_nationkey) AS n, n_nationkey AS key FROM nation) UNION ALL SELECT count(*) + 1, 0 FROM nation UNION ALL SELECT count(*) + 2, 78 FROM nation")
+def raw_row_write(spark, sf):
+    """A row replaced and one written past the end: the table grows."""
+    path = scratch(spark)
+    d = table(spark, sf, "nation").select("n_nationkey")
+    write_fits(d.coalesce(1).sortWithinPartitions("n_nationkey"), path, single=True)
+    rows = spark.createDataFrame([(3, bytearray((77).to_bytes(4))), (d.count() + 2, bytearray((78).to_bytes(4)))], "row long, bytes binary")
+    write_rows(rows, path)
+    return read_fits(spark, path, rowid=True).select(F.col("_row").alias("row"), F.col("n_nationkey").alias("key"))
+
+
+@query("SELECT n_nationkey, NULL::INTEGER AS added, n_name FROM nation")
+def column_insert_delete(spark, sf):
+    d = edits.insert_column(table(spark, sf, "nation"), 2, "added", "int").drop("n_regionkey")
+    return round_trip(d, tform={"n_name": "25A"}, tnull={"added": -99})
+
+
+@query("SELECT (p_partkey + 1)::BIGINT AS pix, CASE WHEN p_partkey % 3 = 1 THEN -p_size ELSE p_size END::INTEGER AS value FROM part")
+def image_partial_write(spark, sf):
+    """Every third pixel of an image written anew, the others as they were."""
+    d, path = part_image(spark, sf), scratch(spark)
+    write_image(d, path, [d.agg(F.max("_pix")).first()[0]], "i32")
+    write_pixels(d.where("_pix % 3 = 2").withColumn("value", -F.col("value")), path)
+    return read_fits(spark, path, hdu=1).select(F.col("_pix").alias("pix"), "value")
+
+
+@query("SELECT i::BIGINT AS pix, CASE WHEN i = 5 THEN 60000 ELSE 0 END::INTEGER AS value FROM range(1, 22) t(i)")
+def image_resize(spark, sf):
+    """An image made smaller and of another type: its pixels are 0 until they are written."""
+    d, path = part_image(spark, sf), scratch(spark)
+    write_image(d, path, [d.agg(F.max("_pix")).first()[0]], "i32")
+    resize_image(spark, path, [7, 3], "u16")
+    write_pixels(spark.createDataFrame([(5, 60000)], "_pix long, value int"), path)
+    return read_fits(spark, path, hdu=1).select(F.col("_pix").alias("pix"), "value")
+
+
+@query("SELECT l_returnflag, max(CASE WHEN l_quantity = 50 THEN 1 ELSE 0 END) = 1 AS any_null, sum(CASE WHEN l_quantity = 50 THEN -7 ELSE l_quantity END)::BIGINT AS total FROM lineitem GROUP BY 1")
+def null_values(spark, sf):
+    """Nulls read from a file as another value, and whether there were any."""
+    d = table(spark, sf, "lineitem").select("l_returnflag", F.expr("nullif(l_quantity, 50)").cast("int").alias("q"))
+    back = round_trip(d, tform={"l_returnflag": "1A"}, tnull={"q": -1})
+    return back.groupBy("l_returnflag").agg(C.any_null(F.col("q")).alias("any_null"), F.sum(C.null_to(F.col("q"), -7)).alias("total"))

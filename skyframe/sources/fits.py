@@ -503,38 +503,109 @@ def fits_headers(spark: SparkSession, path: str) -> DataFrame:
     return paths.mapInArrow(run, "path string, hdu int, idx int, keyword string, value string, comment string, class int, card string")
 
 
-def write_image(df: DataFrame, path: str, axes: list[int], kind: str, value: str = "value", pix: str = "_pix", blank: int | None = None) -> None:
-    """One image from (_pix from 1, value): tasks write their pixels into their places of one file, which the driver lays out.
-    Pixels that df lacks are 0. kind: a name of IMAGE_TYPES."""
-    name = files.local(path)
-    if os.path.exists(name):
-        raise FitsError(105, path)
+def image_header(axes: list[int], kind: str, blank: int | None = None, extension: bool = False) -> Header:
+    """Of an image, primary or extension. kind: a name of IMAGE_TYPES."""
     bitpix, zero = IMAGE_TYPES[kind]
-    h = Header().write("SIMPLE", True, "file does conform to FITS standard").write("BITPIX", bitpix, "number of bits per data pixel").write("NAXIS", len(axes), "number of data axes")
+    h = Header().write("XTENSION", "IMAGE", "IMAGE extension") if extension else Header().write("SIMPLE", True, "file does conform to FITS standard")
+    h.write("BITPIX", bitpix, "number of bits per data pixel").write("NAXIS", len(axes), "number of data axes")
     for i, n in enumerate(axes, 1):
         h.write(f"NAXIS{i}", n, f"length of data axis {i}")
-    h.write("EXTEND", True, "FITS dataset may contain extensions")
+    if extension:
+        h.write("PCOUNT", 0, "required keyword; must = 0").write("GCOUNT", 1, "required keyword; must = 1")
+    else:
+        h.write("EXTEND", True, "FITS dataset may contain extensions")
     if zero:
         h.write("BZERO", zero, "offset data range to that of unsigned").write("BSCALE", 1, "default scaling factor")
     if blank is not None:
         h.write("BLANK", blank)
-    head, dtype = h.to_bytes(), np.dtype(PIXELS[bitpix, zero][0])
-    total = int(np.prod(axes))
-    with open(name, "wb") as f:
+    return h
+
+
+def _place(path: str) -> str:
+    name = files.local(path)
+    if name is None:
+        raise FitsError(105, "only folders that are mounted can be written")
+    return name
+
+
+def _scan(path: str) -> list[files.Hdu]:
+    with files.open_bytes(path) as f:
+        if isinstance(f, gzip.GzipFile):
+            raise FitsError(112, path)
+        return files.scan(f)
+
+
+def _lay_out(spark: SparkSession, name: str, at: int, header: Header) -> files.Hdu:
+    """Writes a header at a place of a file and cuts or extends the file to its data, which are 0: tasks fill them where 0 is not stored as such."""
+    head, size = header.to_bytes(), tb.geometry(header)
+    with open(name, "r+b" if os.path.exists(name) else "wb") as f:
+        f.truncate(at)
+        f.seek(at)
         f.write(head)
-        f.truncate(len(head) + -(-total * dtype.itemsize // 2880) * 2880)
-    if zero:  # 0 is stored as -zero; tasks fill the file
-        block = 1 << 22
+        f.truncate(at + len(head) + -(-size // 2880) * 2880)
+    bitpix, zero = header.integer("BITPIX"), int(header.get("BZERO", 0))
+    if zero and size:  # 0 is stored as -zero
+        dtype, block = np.dtype(PIXELS[bitpix, zero][0]), 1 << 22
+        total, start = size // dtype.itemsize, at + len(head)
 
         def fill(batches):
             with open(name, "r+b") as f:
                 for b in batches:
                     for k in b.column(0).to_pylist():
-                        f.seek(len(head) + k * block * dtype.itemsize)
+                        f.seek(start + k * block * dtype.itemsize)
                         f.write(np.full(min(block, total - k * block), -zero, np.int64).astype(dtype).tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
 
-        df.sparkSession.range(-(-total // block)).mapInArrow(fill, "n long").agg(F.sum("n")).collect()
+        spark.range(-(-total // block)).mapInArrow(fill, "n long").agg(F.sum("n")).collect()
+    return files.Hdu(0, header, at, at + len(head), size)
+
+
+def write_image(df: DataFrame, path: str, axes: list[int], kind: str, value: str = "value", pix: str = "_pix", blank: int | None = None, append: bool = False) -> None:
+    """An image from (_pix from 1, value): tasks write their pixels into their places of one file, which the driver lays out.
+    Pixels that df lacks are 0. kind: a name of IMAGE_TYPES. append: an IMAGE extension at the end of a file that is there, or its
+    primary if that is all there is and empty; else the file must be new."""
+    name, at = _place(path), 0
+    if append:
+        hdus = _scan(path)
+        lone = len(hdus) == 1 and hdus[0].kind == "image" and not hdus[0].data_bytes
+        at = 0 if lone else hdus[-1].end
+    elif os.path.exists(name):
+        raise FitsError(105, path)
+    hdu = _lay_out(df.sparkSession, name, at, image_header(axes, kind, blank, at > 0))
+    _write_pixels(df, name, hdu, value, pix)
+
+
+def write_pixels(df: DataFrame, path: str, hdu: int = 1, value: str = "value", pix: str = "_pix") -> None:
+    """Pixels of (_pix from 1, value) into their places of an image that is there; the others stay. Tiles of compressed images can't be written so: status 233."""
+    found = files.find(_scan(path), hdu)
+    if found.kind != "image" or found.header.get("ZIMAGE", False) is True:
+        raise FitsError(233)
+    _write_pixels(df, _place(path), found, value, pix)
+
+
+def resize_image(spark: SparkSession, path: str, axes: list[int], kind: str) -> None:
+    """Gives the last HDU, an image, another size and type; its pixels are 0 then. Another HDU: status 201."""
+    last = _scan(path)[-1]
+    if last.kind != "image" or last.header.get("ZIMAGE", False) is True:
+        raise FitsError(201, "only an image at the end can be resized")
+    _lay_out(spark, _place(path), last.header_start, image_header(axes, kind, extension=last.header_start > 0))
+
+
+def image_size(path: str, hdu: int = 1) -> tuple[str, list[int]]:
+    """(name of its type, axes) of an image, of a compressed one those of its pixels."""
+    h = files.find(_scan(path), hdu).header
+    z = "Z" if h.get("ZIMAGE", False) is True else ""
+    if not z and h.get("XTENSION", "IMAGE").strip() != "IMAGE":
+        raise FitsError(233)
+    code = (h.integer(z + "BITPIX"), int(h.get("BZERO", 0)))
+    kinds = {v: k for k, v in IMAGE_TYPES.items()}
+    return kinds.get(code) or kinds[code[0], 0], [h.integer(f"{z}NAXIS{i}") for i in range(1, h.integer(z + "NAXIS") + 1)]
+
+
+def _write_pixels(df: DataFrame, name: str, hdu: files.Hdu, value: str, pix: str) -> None:
+    bitpix, zero, blank, start = hdu.header.integer("BITPIX"), int(hdu.header.get("BZERO", 0)), hdu.header.get("BLANK"), hdu.data_start
+    dtype = np.dtype(PIXELS[bitpix, zero][0])
+    total = hdu.data_bytes // dtype.itemsize
 
     def run(batches):
         with open(name, "r+b") as f:
@@ -544,12 +615,53 @@ def write_image(df: DataFrame, path: str, axes: list[int], kind: str, value: str
                     raise FitsError(308)
                 stored = values.to_numpy(zero_copy_only=False).astype(dtype) if bitpix < 0 else stored_pixels(values, dtype, zero, blank)
                 order = np.argsort(at, kind="stable")
-                at, stored = at[order], stored[order]
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(at) != 1) + 1, [len(at)]])
-                for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                    if z > a:
-                        f.seek(len(head) + (int(at[a]) - 1) * dtype.itemsize)
-                        f.write(stored[a:z].tobytes())
+                _write_runs(f, at[order], stored[order], start, dtype.itemsize)
                 yield pa.RecordBatch.from_arrays([pa.array([len(at)])], names=["n"])
 
     df.select(F.col(pix).cast("long"), value).repartitionByRange(pix).sortWithinPartitions(pix).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def _write_runs(f, at: np.ndarray, units: np.ndarray, start: int, size: int) -> None:
+    """Units of `size` bytes into their places, from 1; neighbours at once."""
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(at) != 1) + 1, [len(at)]])
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        if z > a:
+            f.seek(start + (int(at[a]) - 1) * size)
+            f.write(units[a:z].tobytes())
+
+
+def write_rows(df: DataFrame, path: str, hdu: int = 2, row: str = "row", data: str = "bytes") -> None:
+    """Whole rows (row from 1, bytes) into a table that is there, as raw="true" reads them. Rows past its end make it longer, which only the last
+    HDU can be, without a heap (status 301 else); rows between that are not given are 0. A row of another size: status 308."""
+    hdus = _scan(path)
+    found, name = files.find(hdus, hdu), _place(path)
+    if found.kind == "image":
+        raise FitsError(235)
+    h, width = found.header, found.header.integer("NAXIS1")
+    last = df.agg(F.max(row)).first()[0] or 0
+    if last > h.integer("NAXIS2"):
+        if found.number != len(hdus) or h.get("PCOUNT", 0):
+            raise FitsError(301, "rows can be added to the last HDU only")
+        fill = (b" " if found.kind == "ascii" else b"\0") * (1 << 20)
+        h.modify("NAXIS2", last)
+        with open(name, "r+b") as f:
+            f.seek(found.header_start)
+            f.write(h.to_bytes())
+            size = found.data_start + -(-width * last // 2880) * 2880
+            f.truncate(size)
+            if found.kind == "ascii":  # blanks, not 0, are empty there
+                f.seek(found.end)
+                while f.tell() < size:
+                    f.write(fill[: size - f.tell()])
+
+    def run(batches):
+        with open(name, "r+b") as f:
+            for b in batches:
+                at, cells = b.column(0).to_numpy(), b.column(1).to_pylist()
+                if any(x is None or len(x) != width for x in cells) or len(at) and at.min() < 1:
+                    raise FitsError(308)
+                order = np.argsort(at, kind="stable")
+                _write_runs(f, at[order], np.array([cells[i] for i in order], f"V{width}"), found.data_start, width)
+                yield pa.RecordBatch.from_arrays([pa.array([len(at)])], names=["n"])
+
+    df.select(F.col(row).cast("long"), data).repartitionByRange(row).sortWithinPartitions(row).mapInArrow(run, "n long").agg(F.sum("n")).collect()
