@@ -82,7 +82,7 @@ def passes(model: Model, classes: list[np.ndarray], learn: np.ndarray | None = N
 
     def forward(t: int, a: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         x = flat[first[t] : first[t + 1]]
-        a = (np.broadcast_to(model.start, (live[t], STATES)) if t == 0 else a[: live[t]] @ model.move) * emit[x]
+        a = (np.broadcast_to(model.start, (live[t], STATES)) if t == 0 else a[: live[t]] @ model.move) * np.take(emit, x, 0)
         s = a.sum(1)
         return a / s[:, None], s
 
@@ -118,7 +118,7 @@ def passes(model: Model, classes: list[np.ndarray], learn: np.ndarray | None = N
                     k = len(ahead)
                     moved += alphas[p : p + k].T @ ahead
                     b[:k] = ahead @ model.move.T
-                ahead = emit[flat[first[t] : first[t + 1]]] * b / scales[p:q, None]
+                ahead = np.take(emit, flat[first[t] : first[t + 1]], 0) * b / scales[p:q, None]
                 alphas[p:q] *= b  # now the chance of each state
             x = flat[first[lo] : first[hi]]
             for s in range(STATES):
@@ -266,7 +266,8 @@ def scores(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_co
 
     kind = d.schema["id"].dataType.simpleString()
     coded = d.mapInArrow(code, f"id {kind}, training boolean, n_tokens long, known long, base double, word double, classes binary, rest array<long>, rest_cls array<int>")
-    coded = table(coded.withColumn("row", F.monotonically_increasing_id()), "coded")
+    # texts of like length stand together: they step together, and the longest share their steps
+    coded = table(coded.withColumn("row", F.monotonically_increasing_id()).sortWithinPartitions("n_tokens"), "coded")
     tail = coded.select("row", F.explode(F.arrays_zip("rest", "rest_cls")).alias("x")).select("row", F.col("x.rest").alias("h"), F.col("x.rest_cls").alias("k"))
     rare = counted.where(steps < least) if least is not None else counted
     sizes = spark.createDataFrame([(int(k), float(x)) for k, x in enumerate(class_of)], "k int, of double").coalesce(1)
