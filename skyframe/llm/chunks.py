@@ -148,10 +148,14 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = mine.withColumns({"k": k, "l": low}).join(sent(marks), ["k", "l"])
     own = table(removed_runs(own.select("key", "dup", "text"), min_words).where("n_removed > 0"), "kept").dropDuplicates(["key"]).withColumnRenamed("key", "_key")
     changed = sent(table(own.select("_key"), "changed"))
-    same = owned.join(changed, "_key", "left_anti").withColumns({"kept_text": F.lit(None).cast("string"), "n_removed": F.lit(None).cast("long")})
-    d = owned.join(changed, "_key", "left_semi").join(own, "_key").unionByName(same)
+    # of a group of copies only the owner's rows need what is kept, so a large group does not meet in one task
+    is_copy = F.col("_owner").isNotNull() & ~F.col("_order").eqNullSafe(F.col("_owner"))
+    owned = owned.withColumn("_copy", is_copy)
+    left = changed.withColumnRenamed("_key", "_changed")
+    same = owned.join(left, (F.col("_key") == F.col("_changed")) & ~F.col("_copy"), "left_anti").withColumns({"kept_text": F.lit(None).cast("string"), "n_removed": F.lit(None).cast("long")})
+    d = owned.where("not _copy").join(changed, "_key", "left_semi").join(own, "_key").unionByName(same)
     size = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
-    copy = F.col("_owner").isNotNull() & ~F.col("_order").eqNullSafe(F.col("_owner")) & F.coalesce(size >= min_words, F.lit(False))
+    copy = F.col("_copy") & F.coalesce(size >= min_words, F.lit(False))
     kept = F.when(copy, F.lit("")).otherwise(F.coalesce("kept_text", text))
     gone = F.when(copy, size.cast("long")).otherwise(F.coalesce("n_removed", F.lit(0)))
     return d.select("_doc.*", kept.alias("_kept_text"), gone.alias("_n_removed"))
