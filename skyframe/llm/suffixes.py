@@ -364,20 +364,20 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     found = table(anchor_table(long_, length), "anchors")
     per = found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("one"))
     per = table(per, "contexts")
-    grams = per.groupBy("gram").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
+    grams = per.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").withColumn("times", F.col("kinds"))
+    grams = table(grams, "grams")
     equal = per.where("n > 1").select("gram", "context", "n")
     reach = length - GRAM
     whole = join_dealt(found, equal, ["gram", "context"], "n").join(copies, "key", "left_anti")
     whole = table(whole.select("key", F.greatest(F.col("place") - reach, F.lit(0)).alias("a"), (F.col("place") + length).alias("b")), "whole")
     drop(found)
-    open_ = per.join(grams.where("kinds > 1").select("gram", "kinds"), "gram").select("gram", "kinds", "one.key", "one.place")
-    open_ = table(open_, "open")
+    open_ = table(join_dealt(per, grams, ["gram"], "times").select("gram", "one.key", "one.place"), "open")
     drop(per)
     wanted = open_.groupBy("key").agg(F.collect_list(F.struct("place", "gram")).alias("at"))
     one = long_.select("key", "text").join(wanted, "key").dropDuplicates(["key"])
     around = context_table(one, length)
     around = table(around, "around")
-    crowded = table(open_.groupBy("gram").agg(F.max("kinds").alias("kinds")).where(F.col("kinds") > group).select("gram"), "crowded")
+    crowded = table(grams.where(F.col("kinds") > group).select("gram"), "crowded")
     near = around.join(sent(crowded), "gram", "left_anti").withColumns({"lo": F.lit(0), "hi": F.lit(reach)})
     if not crowded.isEmpty():
         few, many = crowded_groups(around.join(sent(crowded), "gram"), length, group)
