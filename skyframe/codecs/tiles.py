@@ -14,19 +14,26 @@ RICE = {1: (3, 6, 8), 2: (4, 14, 16), 4: (5, 25, 32)}
 NULL_VALUE, ZERO_VALUE = -2147483647, -2147483646
 
 
-def _bits(values: np.ndarray, widths: np.ndarray) -> bytes:
-    """Numbers of given widths in bits, one after the other, the first bit uppermost."""
-    total = int(widths.sum())
-    ends = np.cumsum(widths)
-    place = np.arange(total)
-    which = np.repeat(np.arange(len(widths)), widths)
-    shift = ends[which] - 1 - place
-    return np.packbits(((values.astype(np.uint64)[which] >> shift.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)).tobytes()
+def _put(bits: np.ndarray, at: np.ndarray, values: np.ndarray, widths: np.ndarray | int) -> None:
+    """Numbers of given widths into an array of bits, the first bit uppermost, from the places `at`."""
+    widths = np.broadcast_to(widths, at.shape)
+    for j in range(int(widths.max(initial=0))):
+        some = widths > j
+        bits[at[some] + j] = values[some] >> (widths[some] - 1 - j) & 1
+
+
+def _get(bits: np.ndarray, at: np.ndarray, widths: np.ndarray | int) -> np.ndarray:
+    widths = np.broadcast_to(widths, at.shape)
+    out = np.zeros(at.shape, np.int64)
+    for j in range(int(widths.max(initial=0))):
+        some = widths > j
+        out[some] = out[some] << 1 | bits[at[some] + j]
+    return out
 
 
 def rice_encode(pixels: np.ndarray, bytepix: int = 4, block: int = 32) -> bytes:
     """The first pixel, then differences to the pixel before, folded to be positive, in blocks with a common split: the upper part in
-    unary, the lower in plain bits. All codes of all blocks become one array of (value, width) that is packed at once."""
+    unary, the lower in plain bits. All blocks are coded at once: widths first, then the bits into their places."""
     fsbits, fsmax, raw = RICE[bytepix]
     p = np.asarray(pixels, np.int64)
     n = len(p)
@@ -36,79 +43,78 @@ def rice_encode(pixels: np.ndarray, bytepix: int = 4, block: int = 32) -> bytes:
     d = np.diff(p, prepend=p[0]) & mask
     d = np.where(d >> (raw - 1), d - (1 << raw), d)
     u = np.where(d >= 0, 2 * d, -2 * d - 1)
-    values, widths = [p[:1] & mask], [np.array([raw])]
-    for a in range(0, n, block):
-        x = u[a : a + block]
-        total, k = int(x.sum()), len(x)
-        mean = max(0.0, (total - k // 2 - 1) / k)
-        fs = (int(mean) >> 1).bit_length()
-        if fs >= fsmax:
-            values += [np.array([fsmax + 1]), x]
-            widths += [np.array([fsbits]), np.full(k, raw)]
-        elif fs == 0 and total == 0:
-            values.append(np.array([0]))
-            widths.append(np.array([fsbits]))
-        else:
-            top = x >> fs
-            cells, size = np.empty((k, 3), np.int64), np.empty((k, 3), np.int64)
-            cells[:, 0], size[:, 0] = 0, top  # unary zeros may be long
-            cells[:, 1], size[:, 1] = 1, 1
-            cells[:, 2], size[:, 2] = x & ((1 << fs) - 1), fs
-            values += [np.array([fs + 1]), cells.ravel()]
-            widths += [np.array([fsbits]), size.ravel()]
-    v, w = np.concatenate(values), np.concatenate(widths)
-    return _long_bits(v, w)
-
-
-def _long_bits(v: np.ndarray, w: np.ndarray) -> bytes:
-    keep = w > 0
-    v, w = v[keep], w[keep]
-    ends = np.cumsum(w)
-    which = np.repeat(np.arange(len(w)), w)
-    shift = ends[which] - 1 - np.arange(ends[-1])
-    bit = np.where(shift < 63, (v[which] >> np.minimum(shift, 62)) & 1, 0)
-    return np.packbits(bit.astype(np.uint8)).tobytes()
+    first = np.arange(0, n, block)
+    size = np.minimum(block, n - first)
+    total = np.add.reduceat(u, first)
+    mean = np.maximum((total - size // 2 - 1) / size, 0).astype(np.int64)
+    split = np.minimum(np.frexp((mean >> 1).astype(float))[1], fsmax).astype(np.int64)
+    none = (split == 0) & (total == 0)
+    fs, plain, empty = (np.repeat(x, size) for x in (split, split == fsmax, none))
+    top = u >> fs
+    widths = np.where(empty, 0, np.where(plain, raw, top + 1 + fs))
+    widths[first] += fsbits
+    ends = raw + np.cumsum(widths)
+    at = ends - widths
+    bits = np.zeros(int(ends[-1]), np.uint8)
+    _put(bits, np.zeros(1, np.int64), p[:1] & mask, raw)
+    _put(bits, at[first], np.where(none, 0, split + 1), fsbits)
+    at[first] += fsbits
+    _put(bits, at[plain], u[plain], raw)
+    coded = ~(plain | empty)
+    one, fs = (at + top)[coded], fs[coded]
+    bits[one] = 1
+    _put(bits, one + 1, u[coded] & ((1 << fs) - 1), fs)
+    return np.packbits(bits).tobytes()
 
 
 def rice_decode(data: bytes, n: int, bytepix: int = 4, block: int = 32) -> np.ndarray:
+    """A pass over the codes finds where the unary part of each ends, as codes can't be told apart otherwise; all else is done at once."""
     fsbits, fsmax, raw = RICE[bytepix]
     if not n:
         return np.zeros(0, np.int64)
     bits = np.unpackbits(np.frombuffer(data, np.uint8))
-    ones = np.append(np.flatnonzero(bits), len(bits))
-    if len(bits) < raw:
+    text, end = bits.tobytes(), len(bits)
+    if end < raw:
         raise FitsError(414)
+    ones, find = [], text.find
+    starts = np.zeros(-(-n // block), np.int64)
+    split = np.full(len(starts), -1, np.int64)
     at = raw
-
-    def number(start: np.ndarray, width: int) -> np.ndarray:
-        out = np.zeros(len(start), np.int64)
-        for i in range(width):
-            out = out << 1 | bits[start + i]
-        return out
-
-    first = int(number(np.array([0]), raw)[0])
-    u = np.zeros(n, np.int64)
-    for a in range(0, n, block):
-        k = min(block, n - a)
-        if at + fsbits > len(bits):
+    for i in range(len(starts)):
+        k = min(block, n - i * block)
+        if at + fsbits > end:
             raise FitsError(414)
-        fs = int(number(np.array([at]), fsbits)[0]) - 1
+        fs = -1
+        for bit in text[at : at + fsbits]:
+            fs += (fs + 1) + bit
         at += fsbits
+        starts[i], split[i] = at, fs
         if fs == fsmax:
-            u[a : a + k] = number(at + raw * np.arange(k), raw)
             at += raw * k
+        elif fs > fsmax:
+            raise FitsError(414)
         elif fs >= 0:
-            for i in range(k):
-                one = int(ones[np.searchsorted(ones, at)])
-                if one + fs >= len(bits) + (fs == 0):
+            for _ in range(k):
+                one = find(1, at)
+                if one < 0:
                     raise FitsError(414)
-                low = 0
-                for b in bits[one + 1 : one + 1 + fs]:
-                    low = low << 1 | int(b)
-                u[a + i] = (one - at) << fs | low
+                ones.append(one)
                 at = one + 1 + fs
+        if at > end:
+            raise FitsError(414)
+    size = np.minimum(block, n - block * np.arange(len(starts)))
+    fs = np.repeat(split, size)
+    u = np.zeros(n, np.int64)
+    plain, coded = fs == fsmax, (fs >= 0) & (fs < fsmax)
+    inside = np.arange(n) - np.repeat(block * np.arange(len(starts)), size)
+    u[plain] = _get(bits, (np.repeat(starts, size) + raw * inside)[plain], raw)
+    one, part = np.array(ones, np.int64), fs[coded]
+    begin = np.repeat(starts, size)[coded]
+    later = np.flatnonzero(inside[coded])
+    begin[later] = one[later - 1] + 1 + part[later - 1]
+    u[coded] = (one - begin) << part | _get(bits, one + 1, part)
     d = np.where(u & 1, -((u + 1) >> 1), u >> 1)
-    p = (first + np.cumsum(d)) & ((1 << raw) - 1)
+    p = (int(_get(bits, np.zeros(1, np.int64), raw)[0]) + np.cumsum(d)) & ((1 << raw) - 1)
     return p if bytepix == 1 else np.where(p >> (raw - 1), p - (1 << raw), p)
 
 
@@ -130,20 +136,12 @@ def plio_encode(pixels: np.ndarray) -> np.ndarray:
     p = np.asarray(pixels, np.int64)
     if len(p) and (p.min() < 0 or p.max() >= 1 << 24):
         raise FitsError(413)
-    out, high, at, n = [], 1, 0, len(p)
-    while at < n:
-        zeros = 0
-        while at + zeros < n and p[at + zeros] == 0:
-            zeros += 1
-        at += zeros
-        if at == n:
-            while zeros > 0:
-                out.append(min(zeros, 4095))
-                zeros -= min(zeros, 4095)
-            break
-        value, run = int(p[at]), 1
-        while at + run < n and p[at + run] == value:
-            run += 1
+    first = np.flatnonzero(np.diff(p, prepend=-1))
+    out, high, zeros = [], 1, 0
+    for value, run in zip(p[first].tolist(), np.diff(first, append=len(p)).tolist(), strict=True):
+        if not value:
+            zeros = run
+            continue
         step = value - high
         while zeros > 4095:
             out.append(4095)
@@ -159,43 +157,45 @@ def plio_encode(pixels: np.ndarray) -> np.ndarray:
                 zeros = run = 0
             if zeros:
                 out.append(zeros)
-        high = value
-        at += int(np.argmax(np.append(p[at:] != value, True)))
+        high, zeros = value, 0
         while run > 0:
             out.append(4 << 12 | min(run, 4095))
             run -= min(run, 4095)
+    while zeros > 0:
+        out.append(min(zeros, 4095))
+        zeros -= min(zeros, 4095)
     total = len(out) + 7
     return np.array([0, 7, -100, total % 32768, total // 32768, 0, 0, *out], np.int32).astype(np.uint16).view(np.int16)
 
 
 def plio_decode(words: np.ndarray, n: int) -> np.ndarray:
+    """Each word is some zeros and then some pixels of the high value that holds after it."""
     w = np.asarray(words, np.int16).view(np.uint16).astype(np.int64)
-    total, start = int(w[3] + w[4] * 32768), int(w[1])
+    total, start = (int(w[3] + w[4] * 32768), int(w[1])) if len(w) >= 7 else (1, 0)
     if total > len(w):
         raise FitsError(414)
-    out, high, at, i = np.zeros(n, np.int64), 1, 0, start
-    while i < total and at < n:
-        code, x = w[i] >> 12, int(w[i] & 4095)
-        if code == 0:
-            at += x
-        elif code == 1:
-            i += 1
-            high = int(w[i]) << 12 | x
-        elif code in (2, 3):
-            high += x if code == 2 else -x
-        elif code == 4:
-            out[at : at + x] = high
-            at += x
-        elif code == 5:
-            at += x
-            if at <= n:
-                out[at - 1] = high
-        else:
-            high += x if code == 6 else -x
-            out[at] = high
-            at += 1
-        i += 1
-    return out
+    w = w[start:total]
+    ones = (w >> 12 == 1).astype(np.int64)
+    place = np.arange(len(w))
+    chain = place - np.maximum.accumulate(np.where(ones == 0, place, -1)) - 1
+    sets = (ones == 1) & (chain % 2 == 0)  # the word behind one that sets the value is the value's upper part
+    if len(w) and sets[-1]:
+        raise FitsError(414)
+    upper = np.flatnonzero(sets) + 1
+    value = w & 4095
+    value[upper - 1] |= w[upper] << 12
+    ops = np.ones(len(w), bool)
+    ops[upper] = False
+    code, x, sets = w[ops] >> 12, value[ops], sets[ops]
+    moved = np.cumsum(np.where((code == 2) | (code == 6), x, np.where((code == 3) | (code >= 7), -x, 0)))
+    last = np.maximum.accumulate(np.where(sets, np.arange(len(code)), -1))
+    high = moved + np.where(last >= 0, (x - moved)[last], 1) if len(code) else moved
+    cells, widths = np.zeros((len(code), 2), np.int64), np.zeros((len(code), 2), np.int64)
+    cells[:, 1] = high
+    widths[:, 0] = np.select([code == 0, code == 5], [x, np.maximum(x - 1, 0)], 0)
+    widths[:, 1] = np.select([code == 4, code == 5, code >= 6], [x, np.minimum(x, 1), 1], 0)
+    got = np.repeat(cells.ravel(), widths.ravel())[:n]
+    return np.concatenate([got, np.zeros(n - len(got), np.int64)])
 
 
 def dither_table() -> np.ndarray:

@@ -50,3 +50,59 @@ def test_htransform_scaled_and_broken():
     for bad in (b"", b"xx" + whole[2:], whole[: len(whole) // 2]):
         with pytest.raises(FitsError):
             H.decode(bad)
+
+
+def stream(*bits: str) -> bytes:
+    """Bits as bytes, the last one filled up with 0."""
+    text = "".join(bits).replace(" ", "")
+    text += "0" * (-len(text) % 8)
+    return int(text, 2).to_bytes(len(text) // 8)
+
+
+@pytest.mark.parametrize(
+    "width, pixels, bits",
+    [
+        (2, [10, 12, 11], f"{10:016b} 0001 1 00001 01"),  # folded differences 0, 4, 1, no split
+        (4, [0, 8, 0, 8], f"{0:032b} 00100 1000 001000 01111 001000"),  # 0, 16, 15, 16, split after three bits
+        (1, [5, 5, 5], f"{5:08b} 000"),  # no differences at all
+        (1, [0, 100, 0, 100], f"{0:08b} 111 {0:08b} {200:08b} {199:08b} {200:08b}"),  # too large to be split
+    ],
+)
+def test_rice_bits(width, pixels, bits):
+    """Worked by hand."""
+    assert T.rice_encode(pixels, width) == stream(bits)
+    assert T.rice_decode(stream(bits), len(pixels), width).tolist() == pixels
+
+
+@pytest.mark.parametrize(
+    "pixels, words",
+    [
+        ([0, 0, 0, 1, 1, 0], [3, 0x4002, 1]),
+        ([5, 0, 0, 9], [0x6004, 0x2004, 0x5003]),
+        ([9, 2], [0x6008, 0x7007]),
+        ([70000, 70000, 3], [0x1170, 0x0011, 0x4002, 0x1003, 0, 0x4001]),
+    ],
+)
+def test_plio_words(pixels, words):
+    """Worked by hand; seven words come before."""
+    got = T.plio_encode(pixels).view(np.uint16).tolist()
+    assert got == [0, 7, 65536 - 100, len(words) + 7, 0, 0, 0, *words]
+    assert T.plio_decode(np.array(got, np.uint16).view(np.int16), len(pixels)).tolist() == pixels
+
+
+def test_htransform_bits():
+    """Worked by hand: sum 12 (of 10, rounded to fours), differences 2 along rows and 4 along columns, none across; three planes."""
+    none, one = "1111 111110", "1111 011"
+    data = b"\xdd\x99" + bytes([0, 0, 0, 2, 0, 0, 0, 2, 0, 0, 0, 0, *[0] * 7, 12, 0, 3, 0]) + stream(none, one, none, one, none, none, "0000") + b"\0"
+    assert H.encode(np.array([[1, 2], [3, 4]])) == data
+    assert H.decode(data).tolist() == [[1, 2], [3, 4]]
+
+
+def test_broken_streams():
+    rice, plio = T.rice_encode(np.arange(99) ** 2 % 97, 2), T.plio_encode(np.arange(99) % 5)
+    for cut in (0, 1, 3, len(rice) // 2):
+        with pytest.raises(FitsError):
+            T.rice_decode(rice[:cut], 99, 2)
+    with pytest.raises(FitsError):
+        T.plio_decode(plio[:-3], 99)
+    assert T.plio_decode(T.plio_encode([]), 4).tolist() == [0] * 4
