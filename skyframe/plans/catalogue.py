@@ -17,7 +17,7 @@ from ..functions import checksum
 from ..functions import columns as C
 from ..operators import edits, sky, subint, tiles
 from ..sources import files
-from ..sources.compressed import write_compressed_image
+from ..sources.compressed import write_compressed_image, write_compressed_pixels
 from ..sources.fits import fits_hdus, fits_headers, read_fits, resize_image, write_fits, write_image, write_pixels, write_rows
 
 QUERIES: dict = {}
@@ -237,6 +237,15 @@ def zimage_whole_floats(spark, sf):
     return read_fits(spark, path, hdu=2).where(F.col("_pix") <= n).select(F.col("_pix").alias("pix"), "value")
 
 
+@query("SELECT (p_partkey + 1)::BIGINT AS pix, CASE WHEN p_partkey BETWEEN 9 AND 70 AND p_partkey % 3 = 1 THEN p_size + 500 ELSE p_size + 40000 END::INTEGER AS value FROM part")
+def zimage_partial_write(spark, sf):
+    """Some pixels of a compressed image written anew: only their tiles are coded again."""
+    (d, rows, n), path = whole_rows(part_image(spark, sf)), scratch(spark)
+    write_compressed_image(d.withColumn("value", F.col("value") + 40000), path, [50, rows], "u16", tile=[16, 8])
+    write_compressed_pixels(d.where("_pix between 10 and 71 and _pix % 3 = 2").withColumn("value", F.col("value") + 500), path)
+    return read_fits(spark, path, hdu=2).where(F.col("_pix") <= n).select(F.col("_pix").alias("pix"), "value")
+
+
 @query("SELECT min(p_retailprice::FLOAT) AS low, max(p_retailprice::FLOAT) AS high, count(*)::BIGINT AS n FROM part")
 def image_minmax_f32(spark, sf):
     d, path = table(spark, sf, "part").select((F.col("p_partkey") + 1).alias("_pix"), F.col("p_retailprice").alias("value")), scratch(spark)

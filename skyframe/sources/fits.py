@@ -36,6 +36,9 @@ PIXELS = {
 IMAGE_TYPES = {"u8": (8, 0), "i8": (8, -128), "i16": (16, 0), "u16": (16, 1 << 15), "i32": (32, 0), "u32": (32, 1 << 31), "i64": (64, 0), "u64": (64, 1 << 63), "f32": (-32, 0), "f64": (-64, 0)}
 
 
+TILES = pa.schema([("tile", pa.int64()), ("data", pa.binary()), ("whole", pa.binary()), ("step", pa.float64()), ("zero", pa.float64())])
+
+
 @dataclass
 class Slice(InputPartition):
     path: str
@@ -57,7 +60,7 @@ def _pixel(h: Header) -> tuple[str, pa.DataType, float, float]:
 
 class FitsSource(DataSource):
     """Options: path (a file, or a folder of files alike), hdu | extname [extver], columns (a,b,...: only these are decoded),
-    raw (true: row and its bytes), rowid (true: _row from 1 within the file), firstrow, lastrow. Images come as
+    raw (true: row and its bytes), tiles (true: those of a compressed image as they are stored: tile from 1, data, whole, step, zero), rowid (true: _row from 1 within the file), firstrow, lastrow. Images come as
     (_pix from 1, value), in the order of the file, the first axis fastest."""
 
     @classmethod
@@ -75,6 +78,10 @@ class FitsSource(DataSource):
         _, hdu = self._hdu()
         if self.options.get("raw") == "true":
             return pa.schema([("row", pa.int64()), ("bytes", pa.binary())])
+        if self.options.get("tiles") == "true":
+            if zimage.parse(hdu.header) is None:
+                raise FitsError(233)
+            return TILES
         if hdu.kind == "image":
             return pa.schema([("_pix", pa.int64()), ("value", _pixel(hdu.header)[1])])
         lay = tb.layout(hdu.header)
@@ -150,7 +157,11 @@ class FitsReader(DataSourceReader):
                 for a, n, data in self._blocks(f, hdu, part, width):
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + n)), pa.array([data[i * width : (i + 1) * width] for i in range(n)], pa.binary())], schema=self.schema)
             elif z := zimage.parse(hdu.header):
-                yield from self._tiles(f, hdu, part, z)
+                if self.options.get("tiles") == "true":
+                    for t in self._tiles(f, hdu, part):
+                        yield pa.RecordBatch.from_arrays([pa.array([v], k.type) for v, k in zip(t, TILES, strict=True)], schema=TILES)
+                else:
+                    yield from self._pixels(f, hdu, part, z)
             elif hdu.kind == "image":
                 kind, arrow, scale, zero = _pixel(hdu.header)
                 blank = hdu.header.get("BLANK")
@@ -172,13 +183,19 @@ class FitsReader(DataSourceReader):
                         columns = [pa.array(np.arange(a, a + n)), *columns]
                     yield pa.RecordBatch.from_arrays(columns, schema=self.schema)
 
-    def _tiles(self, f, hdu: files.Hdu, part: Slice, z: zimage.ZImage):
+    def _pixels(self, f, hdu: files.Hdu, part: Slice, z: zimage.ZImage):
         """The pixels of compressed tiles, a batch for each."""
-        lay = tb.layout(hdu.header, hdu.data_start)
-        of = {c.name.upper(): c for c in lay.columns}
         _, arrow, scale, zero = _pixel(hdu.header)
         blank = hdu.header.get("ZBLANK", hdu.header.get("BLANK")) if z.bitpix > 0 else None
         table = codec.dither_table() if z.method else None
+        for row, data, whole, step, low in self._tiles(f, hdu, part):
+            stored = z.decode(row, data, whole, step, low, table)
+            yield pa.RecordBatch.from_arrays([pa.array(z.pixels(row)), pixels(stored, arrow, scale, zero, blank)], schema=self.schema)
+
+    def _tiles(self, f, hdu: files.Hdu, part: Slice):
+        """(row, data, data of floats kept whole, step, zero) of compressed tiles."""
+        lay = tb.layout(hdu.header, hdu.data_start)
+        of = {c.name.upper(): c for c in lay.columns}
 
         def heap(cells: np.ndarray, name: str) -> bytes:
             if name not in of:
@@ -197,8 +214,7 @@ class FitsReader(DataSourceReader):
 
         for a, n, data in self._blocks(f, hdu, part, lay.row_bytes):
             for row, cells in enumerate(np.frombuffer(data, np.uint8).reshape(n, -1), a):
-                stored = z.decode(row, heap(cells, "COMPRESSED_DATA"), heap(cells, "GZIP_COMPRESSED_DATA"), number(cells, "ZSCALE"), number(cells, "ZZERO"), table)
-                yield pa.RecordBatch.from_arrays([pa.array(z.pixels(row)), pixels(stored, arrow, scale, zero, blank)], schema=self.schema)
+                yield row, heap(cells, "COMPRESSED_DATA"), heap(cells, "GZIP_COMPRESSED_DATA"), number(cells, "ZSCALE"), number(cells, "ZZERO")
 
     @staticmethod
     def _blocks(f, hdu: files.Hdu, part: Slice, unit: int):
@@ -576,7 +592,8 @@ def write_image(df: DataFrame, path: str, axes: list[int], kind: str, value: str
 
 
 def write_pixels(df: DataFrame, path: str, hdu: int = 1, value: str = "value", pix: str = "_pix") -> None:
-    """Pixels of (_pix from 1, value) into their places of an image that is there; the others stay. Tiles of compressed images can't be written so: status 233."""
+    """Pixels of (_pix from 1, value) into their places of an image that is there; the others stay. For compressed images there is
+    write_compressed_pixels; here they give status 233."""
     found = files.find(_scan(path), hdu)
     if found.kind != "image" or found.header.get("ZIMAGE", False) is True:
         raise FitsError(233)

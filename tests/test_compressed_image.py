@@ -4,10 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skyframe.format import tables
 from skyframe.format.status import FitsError
 from skyframe.format.zimage import ZImage
-from skyframe.sources.compressed import write_compressed_image
-from skyframe.sources.fits import read_fits
+from skyframe.functions import checksum
+from skyframe.operators import edits
+from skyframe.sources.compressed import write_compressed_image, write_compressed_pixels
+from skyframe.sources.fits import read_fits, write_image
 
 
 def image(spark, n, expr="cast(pmod(id * 37, 251) as int)"):
@@ -52,3 +55,41 @@ def test_slices_and_errors(spark, tmp_path):
         write_compressed_image(image(spark, 40 * 49), str(tmp_path / "b.fits"), [40, 50], "i32")
     with pytest.raises(Exception, match="308"):
         write_compressed_image(image(spark, 2000).where(F.col("_pix") != 7), str(tmp_path / "c.fits"), [40, 50], "i32")
+
+
+@pytest.mark.parametrize("name", ["RICE_1", "GZIP_2", "PLIO_1", "HCOMPRESS_1"])
+def test_some_pixels(spark, tmp_path, name):
+    """Pixels of a few tiles are written anew; other tiles keep their bytes, other HDUs and cards stay, and the checksums are right."""
+    path = str(tmp_path / "a.fits")
+    d = image(spark, 46 * 34)
+    write_compressed_image(d, path, [46, 34], "i16" if name == "PLIO_1" else "u16", name, tile=[10, 5], checksum=True)
+    write_image(d, path, [46, 34], "i16", append=True)
+    before = {r["tile"]: bytes(r["data"]) for r in read_fits(spark, path, hdu=2, tiles=True).collect()}
+    some = d.where("_pix <= 3 or _pix between 60 and 62").withColumn("value", F.col("value") + 300)
+    write_compressed_pixels(some, path)
+    want = {r["_pix"]: r["value"] for r in d.collect()}
+    assert {r["_pix"]: r["value"] for r in read_fits(spark, path, hdu=3).collect()} == want
+    want |= {r["_pix"]: r["value"] for r in some.collect()}
+    assert back(spark, path) == want
+    after = {r["tile"]: bytes(r["data"]) for r in read_fits(spark, path, hdu=2, tiles=True).collect()}
+    assert {t for t in after if after[t] != before[t]} == {1, 2}
+    header, data = edits.Container.open(path).units[1]
+    assert checksum.verify(header, header.to_bytes(), tables.padded(data)) == (1, 1)
+    with pytest.raises(Exception, match="308"):
+        write_compressed_pixels(image(spark, 46 * 34 + 1), path)
+    with pytest.raises(Exception, match="314"):
+        write_compressed_pixels(image(spark, 1, "cast(null as int)"), path)
+    with pytest.raises(FitsError):
+        write_compressed_pixels(d, path, 3)
+    assert back(spark, path) == want and len(list(tmp_path.iterdir())) == 1
+
+
+def test_some_float_pixels(spark, tmp_path):
+    path = str(tmp_path / "f.fits")
+    d = image(spark, 64 * 30, "if(id < 64, 7.5D, sin(id) * 100 + id)")
+    write_compressed_image(d, path, [64, 30], "f32", level=-0.01)
+    some = spark.createDataFrame([(3, -5.0), (70, None)], "_pix long, value double")
+    write_compressed_pixels(some, path, level=-0.01)
+    want = {r["_pix"]: r["value"] for r in d.collect()} | {3: -5.0}
+    got = back(spark, path)
+    assert np.isnan(got[70]) and all(abs(got[p] - want[p]) <= 0.0101 for p in want if p != 70)
