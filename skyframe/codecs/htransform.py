@@ -86,8 +86,10 @@ def restore(coefficients: np.ndarray) -> np.ndarray:
 
 def _nybbles(bits: np.ndarray) -> np.ndarray:
     """Of each 2x2 cell of a 0/1 array, the upper left bit uppermost; cells at the edge are filled up with 0."""
-    x, y = bits.shape
-    b = np.pad(bits, ((0, x % 2), (0, y % 2)))
+    (x, y), b = bits.shape, bits
+    if x % 2 or y % 2:
+        b = np.zeros((x + x % 2, y + y % 2), bits.dtype)
+        b[:x, :y] = bits
     return b[::2, ::2] << 3 | b[::2, 1::2] << 2 | b[1::2, ::2] << 1 | b[1::2, 1::2]
 
 

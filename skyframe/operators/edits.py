@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
+import os
+import sys
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +37,20 @@ def insert_column(df: DataFrame, at: int, name: str, kind: str) -> DataFrame:
     return df.select(*cols[: at - 1], F.lit(None).cast(kind).alias(name), *cols[at - 1 :])
 
 
+def map_files(df: DataFrame, edit, content: str = "content") -> DataFrame:
+    """df with each file of a binary column edited: edit(Container) changes it in place or returns another. A file is a unit of work; null stays null."""
+
+    @F.pandas_udf("binary")
+    def f(s: pd.Series) -> pd.Series:
+        def one(data):
+            box = Container(bytes(data))
+            return (edit(box) or box).to_bytes()
+
+        return s.map(one, na_action="ignore")
+
+    return df.withColumn(content, f(F.col(content)))
+
+
 def find_columns(df: DataFrame, pattern: str, case: bool = False) -> list[str]:
     """Names that fit a pattern with * and ?; none: status 219."""
     fold = (lambda s: s) if case else str.lower
@@ -51,13 +71,29 @@ class Container:
     """The HDUs of one file as (header, data) in order, for surgery; numbers count from 1. Meant for files of a size that one machine holds."""
 
     def __init__(self, data: bytes | None = None) -> None:
-        data = data or tb.empty_primary()
+        data = files.in_memory(data or tb.empty_primary()).getvalue()
         self.units = [(h.header, data[h.data_start : h.data_start + h.data_bytes]) for h in files.scan_bytes(data)]
 
     @staticmethod
     def open(path: str) -> Container:
         return Container(files.read_all(path))
 
+    def save(self, path: str) -> Container:
+        """To a new file, one that is there with ! before its name, or standard output for -; gzipped where the name ends so."""
+        data = self.to_bytes()
+        if path.strip() in ("-", "stdout"):
+            sys.stdout.buffer.write(data)
+            sys.stdout.buffer.flush()
+            return self
+        name = files.local(path.removeprefix("!"))
+        if name is None or os.path.exists(name) and not path.startswith("!"):
+            raise FitsError(105, path)
+        stage = f"{name}.tmp-{uuid.uuid4().hex}"
+        with open(stage, "wb") as f:
+            f.write(gzip.compress(data, 6) if name.endswith(".gz") else data)
+        os.replace(stage, name)
+        return self
+
     def to_bytes(self) -> bytes:
         fill = lambda h: b" " if (h.get("XTENSION") or "").strip() == "TABLE" else b"\0"
         return b"".join(h.to_bytes() + tb.padded(d, fill(h)) for h, d in self.units)

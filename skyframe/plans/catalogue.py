@@ -18,7 +18,7 @@ from ..functions import columns as C
 from ..operators import edits, sky, subint, tiles
 from ..sources import files
 from ..sources.compressed import write_compressed_image, write_compressed_pixels
-from ..sources.fits import fits_hdus, fits_headers, read_fits, resize_image, write_fits, write_image, write_pixels, write_rows
+from ..sources.fits import fits_hdus, fits_headers, read_fits, read_fits_content, resize_image, write_fits, write_image, write_pixels, write_rows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -573,3 +573,18 @@ def null_values(spark, sf):
     d = table(spark, sf, "lineitem").select("l_returnflag", F.expr("nullif(l_quantity, 50)").cast("int").alias("q"))
     back = round_trip(d, tform={"l_returnflag": "1A"}, tnull={"q": -1})
     return back.groupBy("l_returnflag").agg(C.any_null(F.col("q")).alias("any_null"), F.sum(C.null_to(F.col("q"), -7)).alias("total"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, 'ORDERS' AS object FROM orders")
+def content_rows(spark, sf):
+    """Files in a binary column, gzipped; a card written into each of them; their rows and that card."""
+    path = scratch(spark)
+    write_fits(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), path, compression="gzip")
+    found = spark.read.format("binaryFile").load(path).select("content")
+
+    def edit(box):
+        box.units[1][0].update("OBJECT", "ORDERS")
+
+    done = edits.map_files(found, edit)
+    box = edits.Container(bytes(done.first()["content"]))
+    return read_fits_content(done).withColumn("object", F.lit(box.units[1][0].get("OBJECT")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 import os
+import sys
 from dataclasses import dataclass
 
 from ..format.header import Header
@@ -120,10 +121,17 @@ def find(hdus: list[Hdu], hdu: str | int | None = None, extname: str | None = No
 
 
 def read_all(path: str) -> bytes:
+    """A whole file, or standard input for -."""
+    if path.strip() in ("-", "stdin"):
+        return sys.stdin.buffer.read()
     with open_bytes(path) as f:
         return f.read()
 
 
+def in_memory(data: bytes) -> io.BytesIO:
+    """gzip is undone."""
+    return io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+
+
 def scan_bytes(data: bytes) -> list[Hdu]:
-    """From memory; gzip is undone."""
-    return scan(io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data))
+    return scan(in_memory(data))

@@ -58,6 +58,25 @@ def _pixel(h: Header) -> tuple[str, pa.DataType, float, float]:
     return PIXELS[bitpix, 0][0], pa.float64(), scale, zero
 
 
+def _schema(hdu: files.Hdu, options: dict) -> pa.Schema:
+    """What is read of an HDU."""
+    if options.get("raw") == "true":
+        return pa.schema([("row", pa.int64()), ("bytes", pa.binary())])
+    if options.get("tiles") == "true":
+        if zimage.parse(hdu.header) is None:
+            raise FitsError(233)
+        return TILES
+    if hdu.kind == "image":
+        return pa.schema([("_pix", pa.int64()), ("value", _pixel(hdu.header)[1])])
+    lay = tb.layout(hdu.header)
+    wanted = [x.strip() for x in options["columns"].split(",")] if options.get("columns") else [c.name for c in lay.columns]
+    by = {c.name.lower(): c for c in lay.columns}
+    if missing := [x for x in wanted if x.lower() not in by]:
+        raise FitsError(219, *missing)
+    fields = [(by[x.lower()].name, by[x.lower()].arrow()) for x in wanted]
+    return pa.schema(([("_row", pa.int64())] if options.get("rowid") == "true" else []) + fields)
+
+
 class FitsSource(DataSource):
     """Options: path (a file, or a folder of files alike), hdu | extname [extver], columns (a,b,...: only these are decoded),
     raw (true: row and its bytes), tiles (true: those of a compressed image as they are stored: tile from 1, data, whole, step, zero), rowid (true: _row from 1 within the file), firstrow, lastrow. Images come as
@@ -75,22 +94,7 @@ class FitsSource(DataSource):
             return paths, files.find(files.scan(f), **_options(self.options))
 
     def arrow_schema(self) -> pa.Schema:
-        _, hdu = self._hdu()
-        if self.options.get("raw") == "true":
-            return pa.schema([("row", pa.int64()), ("bytes", pa.binary())])
-        if self.options.get("tiles") == "true":
-            if zimage.parse(hdu.header) is None:
-                raise FitsError(233)
-            return TILES
-        if hdu.kind == "image":
-            return pa.schema([("_pix", pa.int64()), ("value", _pixel(hdu.header)[1])])
-        lay = tb.layout(hdu.header)
-        wanted = [x.strip() for x in self.options["columns"].split(",")] if self.options.get("columns") else [c.name for c in lay.columns]
-        by = {c.name.lower(): c for c in lay.columns}
-        if missing := [x for x in wanted if x.lower() not in by]:
-            raise FitsError(219, *missing)
-        fields = [(by[x.lower()].name, by[x.lower()].arrow()) for x in wanted]
-        return pa.schema(([("_row", pa.int64())] if self.options.get("rowid") == "true" else []) + fields)
+        return _schema(self._hdu()[1], self.options)
 
     def schema(self) -> T.StructType:
         from pyspark.sql.pandas.types import from_arrow_schema
@@ -133,8 +137,11 @@ class FitsReader(DataSourceReader):
 
     def slices(self, path: str) -> list[Slice]:
         with files.open_bytes(path) as f:
-            hdu = files.find(files.scan(f), **_options(self.options))
-            whole = isinstance(f, gzip.GzipFile)
+            return self.slices_of(f, path, isinstance(f, gzip.GzipFile))
+
+    def slices_of(self, f, path: str, whole: bool) -> list[Slice]:
+        """Of an open file; whole: all rows in one, as their places can't be reached otherwise."""
+        hdu = files.find(files.scan(f), **_options(self.options))
         z = zimage.parse(hdu.header) if self.options.get("raw") != "true" else None
         if z:
             first, last = z.rows_of(max(self.low, 1), self.high)
@@ -151,37 +158,40 @@ class FitsReader(DataSourceReader):
 
     def read(self, part: Slice):
         with files.open_bytes(part.path) as f:
-            hdu = part.hdu
-            if self.options.get("raw") == "true":
-                width = hdu.header.integer("NAXIS1")
-                for a, n, data in self._blocks(f, hdu, part, width):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + n)), pa.array([data[i * width : (i + 1) * width] for i in range(n)], pa.binary())], schema=self.schema)
-            elif z := zimage.parse(hdu.header):
-                if self.options.get("tiles") == "true":
-                    for t in self._tiles(f, hdu, part):
-                        yield pa.RecordBatch.from_arrays([pa.array([v], k.type) for v, k in zip(t, TILES, strict=True)], schema=TILES)
-                else:
-                    yield from self._pixels(f, hdu, part, z)
-            elif hdu.kind == "image":
-                kind, arrow, scale, zero = _pixel(hdu.header)
-                blank = hdu.header.get("BLANK")
-                for a, n, data in self._blocks(f, hdu, part, np.dtype(kind).itemsize):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + n)), pixels(np.frombuffer(data, kind), arrow, scale, zero, blank)], schema=self.schema)
+            yield from self.read_of(f, part)
+
+    def read_of(self, f, part: Slice):
+        hdu = part.hdu
+        if self.options.get("raw") == "true":
+            width = hdu.header.integer("NAXIS1")
+            for a, n, data in self._blocks(f, hdu, part, width):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + n)), pa.array([data[i * width : (i + 1) * width] for i in range(n)], pa.binary())], schema=self.schema)
+        elif z := zimage.parse(hdu.header):
+            if self.options.get("tiles") == "true":
+                for t in self._tiles(f, hdu, part):
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k.type) for v, k in zip(t, TILES, strict=True)], schema=TILES)
             else:
-                lay = tb.layout(hdu.header, hdu.data_start)
-                names = [x for x in self.schema.names if x != "_row"]
+                yield from self._pixels(f, hdu, part, z)
+        elif hdu.kind == "image":
+            kind, arrow, scale, zero = _pixel(hdu.header)
+            blank = hdu.header.get("BLANK")
+            for a, n, data in self._blocks(f, hdu, part, np.dtype(kind).itemsize):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + n)), pixels(np.frombuffer(data, kind), arrow, scale, zero, blank)], schema=self.schema)
+        else:
+            lay = tb.layout(hdu.header, hdu.data_start)
+            names = [x for x in self.schema.names if x != "_row"]
 
-                def heap(offset: int, size: int) -> bytes:
-                    if offset < 0 or lay.heap + offset + size > hdu.data_bytes:
-                        raise FitsError(264)
-                    f.seek(lay.data_start + lay.heap + offset)
-                    return f.read(size)
+            def heap(offset: int, size: int) -> bytes:
+                if offset < 0 or lay.heap + offset + size > hdu.data_bytes:
+                    raise FitsError(264)
+                f.seek(lay.data_start + lay.heap + offset)
+                return f.read(size)
 
-                for a, n, data in self._blocks(f, hdu, part, lay.row_bytes):
-                    columns = tb.decode(lay, data, heap, names)
-                    if "_row" in self.schema.names:
-                        columns = [pa.array(np.arange(a, a + n)), *columns]
-                    yield pa.RecordBatch.from_arrays(columns, schema=self.schema)
+            for a, n, data in self._blocks(f, hdu, part, lay.row_bytes):
+                columns = tb.decode(lay, data, heap, names)
+                if "_row" in self.schema.names:
+                    columns = [pa.array(np.arange(a, a + n)), *columns]
+                yield pa.RecordBatch.from_arrays(columns, schema=self.schema)
 
     def _pixels(self, f, hdu: files.Hdu, part: Slice, z: zimage.ZImage):
         """The pixels of compressed tiles, a batch for each."""
@@ -483,6 +493,33 @@ def read_fits(spark: SparkSession, path: str, **options) -> DataFrame:
     return r.load(path)
 
 
+def read_fits_content(df: DataFrame, content: str = "content", keep: list[str] | None = None, **options) -> DataFrame:
+    """Rows or pixels of files that lie in a binary column, plain or gzipped, as spark.read.format("binaryFile") gives them; a file is a unit of
+    work and held in memory. keep: columns of df to repeat beside each row. Files are alike: the first one tells the columns. Options as in
+    read_fits. Null gives no rows, no file at all status 104."""
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    given = {k: ",".join(v) if isinstance(v, (list, tuple)) else str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}
+    keep = keep or []
+    first = df.where(F.col(content).isNotNull()).select(content).first()
+    if first is None:
+        raise FitsError(104, content)
+    kinds = _schema(files.find(files.scan_bytes(bytes(first[0])), **_options(given)), given)
+
+    def run(batches):
+        for b in batches:
+            for i, data in enumerate(b.column(0)):
+                if not data.is_valid:
+                    continue
+                f, reader = files.in_memory(data.as_py()), FitsReader(given, kinds)
+                for part in reader.slices_of(f, "", False):
+                    for rows in reader.read_of(f, part):
+                        yield pa.RecordBatch.from_arrays([*[pa.repeat(b.column(k)[i], rows.num_rows) for k in range(1, b.num_columns)], *rows.columns], names=out.names)
+
+    out = T.StructType([df.schema[k] for k in keep] + from_arrow_schema(kinds).fields)
+    return df.select(content, *keep).mapInArrow(run, out)
+
+
 def fits_hdus(spark: SparkSession, path: str) -> DataFrame:
     """One row per HDU of each file; data are not read."""
     paths = spark.createDataFrame([(p,) for p in files.list_files(path)], "path string")
