@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 import os
+import shutil
 import sys
 from dataclasses import dataclass
 
@@ -57,6 +58,82 @@ def list_files(path: str) -> list[str]:
     return [name]
 
 
+class Mounted:
+    """Where files are written: a folder of this machine's file system, which a cluster shares."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def create(self, name: str):
+        return open(name, "wb")
+
+    def open(self, name: str):
+        return open(name, "rb")
+
+    def exists(self, name: str) -> bool:
+        return os.path.exists(name)
+
+    def folder(self, name: str) -> None:
+        os.makedirs(name, exist_ok=True)
+
+    def move(self, old: str, new: str) -> None:
+        os.replace(old, new)
+
+    def remove(self, name: str) -> None:
+        """A file, or a folder with all in it; nothing if it is not there."""
+        if os.path.isdir(name):
+            shutil.rmtree(name, ignore_errors=True)
+        elif os.path.exists(name):
+            os.remove(name)
+
+
+class Store:
+    """Where files are written: a store that Arrow knows. It is opened anew in each process."""
+
+    def __init__(self, uri: str) -> None:
+        from pyarrow import fs
+
+        self.uri, self.path = uri, fs.FileSystem.from_uri(uri)[1]
+
+    @property
+    def fs(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.uri)[0]
+
+    def create(self, name: str):
+        return self.fs.open_output_stream(name)
+
+    def open(self, name: str):
+        return self.fs.open_input_stream(name)
+
+    def _is(self, name: str):
+        return self.fs.get_file_info(name).type.name
+
+    def exists(self, name: str) -> bool:
+        return self._is(name) != "NotFound"
+
+    def folder(self, name: str) -> None:
+        self.fs.create_dir(name, recursive=True)
+
+    def move(self, old: str, new: str) -> None:
+        self.fs.move(old, new)
+
+    def remove(self, name: str) -> None:
+        kind = self._is(name)
+        if kind == "Directory":
+            self.fs.delete_dir(name)
+        elif kind != "NotFound":
+            self.fs.delete_file(name)
+
+
+def place(path: str, mounted: bool = True) -> Mounted | Store:
+    name = local(path)
+    if mounted and name is not None:
+        return Mounted(name)
+    return Store(path if name is None else f"file://{os.path.abspath(name)}")
+
+
 @dataclass
 class Hdu:
     number: int

@@ -156,7 +156,9 @@ class FitsReader(DataSourceReader):
         step = max(1, total if whole else int(self.options.get("partbytes", PART)) // max(unit, 1))
         return [Slice(path, hdu, a, min(step, high - a + 1)) for a in range(low, high + 1, step)]
 
-    def read(self, part: Slice):
+    def read(self, part: Slice | None):
+        if part is None:  # no slice at all: an empty table, or bounds outside it
+            return
         with files.open_bytes(part.path) as f:
             yield from self.read_of(f, part)
 
@@ -310,15 +312,15 @@ class FitsWriter(DataSourceArrowWriter):
     """One file of each task, or with single=true one in all. Options: path, tform (JSON: column to format), tunit, tdim, tnull,
     tscal, tzero (JSON too), extname, kind=binary|ascii, compression=gzip, checksum=true, single=true. Without a format strings
     and arrays become cells of variable length. cards (JSON: {"cards": [[name, value, comment]]}) end the header. Tasks write whole files
-    beside the target and committing renames them; with single=true the driver joins the tasks' rows and heaps."""
+    beside the target and committing renames them; with single=true the driver joins the tasks' rows and heaps. The target is a mounted folder or any
+    store that Arrow knows (mounted=false: treat it as one); there a task writes its rows before its file, as nothing can be written over."""
 
     def __init__(self, options: dict, schema: T.StructType, overwrite: bool) -> None:
         self.options, self.overwrite = options, overwrite
         path = options["path"]
         self.clobber = overwrite or path.startswith("!")
-        self.path = files.local(path.removeprefix("!"))
-        if self.path is None:
-            raise FitsError(105, "only folders that are mounted can be written")
+        self.place = files.place(path.removeprefix("!"), options.get("mounted") != "false")
+        self.path, self.mounted = self.place.path, isinstance(self.place, files.Mounted)
         given = {k: json.loads(options.get(k, "{}")) for k in ("tform", "tunit", "tdim", "tnull", "tscal", "tzero")}
         self.ascii = options.get("kind") == "ascii"
         self.cards = json.loads(options.get("cards", "{}")).get("cards", [])
@@ -336,13 +338,13 @@ class FitsWriter(DataSourceArrowWriter):
         self.stage = f"{self.path}.tmp-{uuid.uuid4().hex}"
 
     def write(self, batches) -> Part:
-        os.makedirs(self.stage, exist_ok=True)
-        single = self.options.get("single") == "true"
-        base = os.path.join(self.stage, uuid.uuid4().hex)
+        self.place.folder(self.stage)
+        whole = self.options.get("single") != "true"
+        base = f"{self.stage}/{uuid.uuid4().hex}"
         n, heap_at = 0, 0
         longest: dict[int, int] = {}
-        with open(base, "wb") as rows, open(base + ".heap", "wb") as heaps:
-            if not single:  # the header has as many cards whatever its numbers are, so it comes last, into this place
+        with self.place.create(base) as rows, self.place.create(base + ".heap") as heaps:
+            if whole and self.mounted:  # the header has as many cards whatever its numbers are, so it comes last, into this place
                 rows.write(bytes(len(self._head(0, 0, {}, 0))))
             for batch in batches:
                 heap = bytearray()
@@ -360,10 +362,13 @@ class FitsWriter(DataSourceArrowWriter):
                 heap_at += len(heap)
                 n += batch.num_rows
         part = Part(base, n, heap_at, longest)
-        if n and not single:
+        if n and whole and not self.mounted:
+            self._join(base + ".whole", [part])
+            part.name += ".whole"
+        elif n and whole:
             with open(base, "r+b") as f:
                 f.seek(0, os.SEEK_END)
-                self._end(f, [part], len(self._head(0, 0, {}, 0)))
+                self._end(f, part, len(self._head(0, 0, {}, 0)))
             if self._gzip():
                 with open(base, "rb") as f, gzip.open(base + ".gz", "wb", 6) as z:
                     shutil.copyfileobj(f, z, 1 << 24)
@@ -390,65 +395,85 @@ class FitsWriter(DataSourceArrowWriter):
             h = sums.seal(h, total)
         return tb.empty_primary() + h.to_bytes()
 
-    def _end(self, f, parts: list[Part], start: int) -> None:
-        """Puts the heaps behind the rows, which end where f is, fills the last record and writes the header at the front."""
-        for p in parts:
-            with open(p.name + ".heap", "rb") as heap:
-                shutil.copyfileobj(heap, f, 1 << 24)
-        f.write((b" " if self.ascii else b"\0") * (-(f.tell() - start) % 2880))
+    def _end(self, f, part: Part, start: int) -> None:
+        """Puts the heap behind the rows, which end where f is, fills the last record and writes the header at the front."""
+        with open(part.name + ".heap", "rb") as heap:
+            shutil.copyfileobj(heap, f, 1 << 24)
+        f.write(self._fill(f.tell() - start))
         total = 0
         if self.options.get("checksum") == "true":
             f.seek(start)
             while data := f.read(2880 * 4096):
                 total = sums.add(total, data)
-        longest = {i: max(p.longest.get(i, 0) for p in parts) for i in range(len(self.columns))} if parts else {}
         f.seek(0)
-        f.write(self._head(sum(p.n for p in parts), sum(p.heap_bytes for p in parts), longest, total))
+        f.write(self._head(part.n, part.heap_bytes, part.longest, total))
+
+    def _fill(self, size: int) -> bytes:
+        return (b" " if self.ascii else b"\0") * (-size % 2880)
 
     def commit(self, messages: list) -> None:
         parts = [m for m in messages if m is not None]
         single = self.options.get("single") == "true"
-        if os.path.exists(self.path):
+        if self.place.exists(self.path):
             if not self.clobber:
-                shutil.rmtree(self.stage, ignore_errors=True)
+                self.place.remove(self.stage)
                 raise FitsError(105, self.path)
-            shutil.rmtree(self.path) if os.path.isdir(self.path) else os.remove(self.path)
-        name = lambda k: os.path.join(self.path, f"part-{k:05d}.fits" + ".gz" * self._gzip())
+            self.place.remove(self.path)
+        name = lambda k: f"{self.path}/part-{k:05d}.fits" + ".gz" * self._gzip()
         if not single:
-            os.makedirs(self.path)
+            self.place.folder(self.path)
             for k, p in enumerate(p for p in parts if p.n):
-                os.replace(p.name, name(k))
+                self.place.move(p.name, name(k))
         if single or not any(p.n for p in parts):
-            self._join(self.path if single else name(0), parts if single else [])
-        shutil.rmtree(self.stage, ignore_errors=True)
+            self.place.folder(self.stage)
+            joined = f"{self.stage}/joined"
+            self._join(joined, parts if single else [])
+            self.place.move(joined, self.path if single else name(0))
+        self.place.remove(self.stage)
 
     def _join(self, name: str, parts: list[Part]) -> None:
-        """One file of the tasks' rows and heaps."""
-        os.makedirs(self.stage, exist_ok=True)
-        body, start, before = os.path.join(self.stage, "joined"), len(self._head(0, 0, {}, 0)), 0
+        """One file of tasks' rows and heaps, from its start to its end."""
+        total = 0
+        if self.options.get("checksum") == "true":
+            rest = b""
+            for data in self._data(parts):
+                data = rest + data
+                whole = len(data) // 4 * 4
+                total, rest = sums.add(total, data[:whole]), data[whole:]
+        longest = {i: max(p.longest.get(i, 0) for p in parts) for i in range(len(self.columns))} if parts else {}
+        with self.place.create(name) as out:
+            f = gzip.GzipFile(fileobj=out, mode="wb", compresslevel=6) if self._gzip() else out
+            f.write(self._head(sum(p.n for p in parts), sum(p.heap_bytes for p in parts), longest, total))
+            for data in self._data(parts):
+                f.write(data)
+            if f is not out:
+                f.close()
+
+    def _data(self, parts: list[Part]):
+        """The data unit in blocks: rows, whose descriptors move by the heaps before theirs, heaps, and fill up to a whole record."""
         moved = [c for c in self.columns if not self.ascii and c.form.descriptor]
         width = 1 if self.ascii else max(1, sum(c.form.nbytes for c in self.columns))
-        with open(body, "w+b") as out:
-            out.write(bytes(start))
-            for p in parts:
-                with open(p.name, "rb") as f:
-                    while data := f.read(max(1, (1 << 24) // width) * width):
-                        if before and moved:
-                            data = bytearray(data)
-                            for c in moved:
-                                d = self._descriptors(data, len(data) // width, c)
-                                d[:, 1] += before * (d[:, 0] > 0)
-                        out.write(data)
-                before += p.heap_bytes
-            self._end(out, parts, start)
-        if self._gzip():
-            with open(body, "rb") as f, gzip.open(name, "wb", 6) as z:
-                shutil.copyfileobj(f, z, 1 << 24)
-        else:
-            os.replace(body, name)
+        before, size = 0, 0
+        for p in parts:
+            with self.place.open(p.name) as f:
+                while data := f.read(max(1, (1 << 24) // width) * width):
+                    if before and moved:
+                        data = bytearray(data)
+                        for c in moved:
+                            d = self._descriptors(data, len(data) // width, c)
+                            d[:, 1] += before * (d[:, 0] > 0)
+                    size += len(data)
+                    yield bytes(data)
+            before += p.heap_bytes
+        for p in parts:
+            with self.place.open(p.name + ".heap") as f:
+                while data := f.read(1 << 24):
+                    size += len(data)
+                    yield data
+        yield self._fill(size)
 
     def abort(self, messages: list) -> None:
-        shutil.rmtree(self.stage, ignore_errors=True)
+        self.place.remove(self.stage)
 
 
 def default_tform(t: T.DataType, ascii_: bool = False) -> str:
