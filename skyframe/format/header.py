@@ -68,6 +68,15 @@ class Header:
             raise FitsError(203, str(n))
         return self.cards[n - 1]
 
+    def keyn(self, n: int) -> tuple[str, str, str]:
+        """(keyword, value, comment) of the card at a position."""
+        card = self.record(n)
+        return C.keyword(card), *C.parse(card)
+
+    def __iter__(self):
+        """Cards in order."""
+        return iter(self.cards)
+
     def raw(self, name: str) -> tuple[str, str]:
         return C.parse(self.cards[self.index(name)])
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+from collections import deque
+
 #: The texts of the status codes.
 TEXTS = {
     0: "OK - no error",
@@ -151,6 +154,25 @@ def text(status: int) -> str:
     return TEXTS.get(status, UNKNOWN)
 
 
+class Messages(threading.local):
+    """Messages of a thread, taken in the order in which they came."""
+
+    def __init__(self) -> None:
+        self.waiting: deque[str] = deque()
+
+    def push(self, message: str) -> None:
+        self.waiting.append(message)
+
+    def pop(self) -> str | None:
+        return self.waiting.popleft() if self.waiting else None
+
+    def clear(self) -> None:
+        self.waiting.clear()
+
+
+MESSAGES = Messages()
+
+
 class FitsError(Exception):
     """An error with a status and messages, the oldest first."""
 

@@ -129,6 +129,19 @@ class Column:
         return pa.list_(one) if self.form.descriptor or self.form.repeat != 1 else one
 
 
+def dims_of(c: Column) -> list[int]:
+    """The axes of a column's cells by TDIM, or its repeat where there is none; axes that do not make up the repeat: status 263. Cells
+    of variable length have no repeat to compare with."""
+    if isinstance(c.form, tuple):  # a field of an ASCII table
+        return [1]
+    if not c.dim:
+        return [max(c.form.repeat, 1)]
+    dims = decode_tdim(c.dim)
+    if not c.form.descriptor and math.prod(dims) != c.form.repeat:
+        raise FitsError(263, c.name, c.dim)
+    return dims
+
+
 @dataclass
 class Layout:
     kind: str  # BINTABLE or TABLE

@@ -7,6 +7,7 @@ import os
 import sys
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..format import tables as tb
 from ..format.header import Header, fits_glob
 from ..format.status import FitsError
-from ..sources import files
+from ..sources import files, fits
 
 
 def insert_rows(df: DataFrame, after: int, n: int, row: str = "_row") -> DataFrame:
@@ -118,6 +119,27 @@ class Container:
         self.units.insert(n, (as_extension(header), data))
         return self
 
+    def insert_image(self, n: int, kind: str, axes: list[int]) -> Container:
+        """An image of 0 after HDU n."""
+        header = fits.image_header(axes, kind, extension=True)
+        bitpix, zero = fits.IMAGE_TYPES[kind]
+        dtype = np.dtype(fits.PIXELS[bitpix, zero][0])
+        return self.insert(n, header, np.full(int(np.prod(axes)) if axes else 0, -zero, np.int64).astype(dtype).tobytes())
+
+    def insert_table(self, n: int, names: list[str], formats: list[str], rows: int, units: list[str] | None = None, extname: str = "", ascii_: bool = False) -> Container:
+        """A table of empty cells after HDU n: 0, or blanks in an ASCII table."""
+        if rows < 0:
+            raise FitsError(218)
+        columns, at = [], 0
+        for name, text, unit in zip(names, formats, units or [""] * len(names), strict=True):
+            form, zero = (tb.parse_ascii_tform(text), 0) if ascii_ else (tb.parse_tform(text), 0)
+            if not ascii_:
+                form.letter, zero = tb.STORED.get(form.letter, (form.letter, 0))
+            columns.append(tb.Column(name, form, zero=zero, offset=at, unit=unit or ""))
+            at += form[1] + 1 if ascii_ else form.nbytes
+        header = tb.ascii_header(columns, rows, extname) if ascii_ else tb.table_header(columns, rows, 0, extname)
+        return self.insert(n, header, (b" " if ascii_ else b"\0") * (header.get("NAXIS1") * rows))
+
     def copy(self, n: int, other: Container) -> Container:
         """HDU n to the end of other; images become extensions, or the primary of an empty container."""
         header, data = self.units[n - 1]

@@ -18,7 +18,7 @@ from ..functions import columns as C
 from ..operators import edits, sky, subint, tiles
 from ..sources import files
 from ..sources.compressed import write_compressed_image, write_compressed_pixels
-from ..sources.fits import fits_hdus, fits_headers, read_fits, read_fits_content, resize_image, write_fits, write_image, write_pixels, write_rows
+from ..sources.fits import fits_columns, fits_hdus, fits_headers, read_fits, read_fits_content, resize_image, write_fits, write_image, write_pixels, write_rows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -588,3 +588,13 @@ def content_rows(spark, sf):
     done = edits.map_files(found, edit)
     box = edits.Container(bytes(done.first()["content"]))
     return read_fits_content(done).withColumn("object", F.lit(box.units[1][0].get("OBJECT")))
+
+
+@query("""SELECT pos::INTEGER AS pos, name, tform, start::BIGINT AS start, nbytes::BIGINT AS nbytes, unit, (SELECT count(*) FROM embeddings)::BIGINT AS rows, dims
+FROM (VALUES (1, 'vec_id', '1K', 0, 8, NULL, '1'), (2, 'embedding', '64E', 8, 256, 'mV', '4,16'), (3, 'label', '1K', 264, 8, NULL, '1')) t(pos, name, tform, start, nbytes, unit, dims)""")
+def column_list(spark, sf):
+    """Columns of a file; axes and units come back with the DataFrame and go into the next file."""
+    d = table(spark, sf, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    path = scratch(spark)
+    write_fits(round_trip(d, tform={"embedding": "64E"}, tdim={"embedding": "(4,16)"}, tunit={"embedding": "mV"}), path, single=True, tform={"embedding": "64E"})
+    return fits_columns(spark, path).select("pos", "name", "tform", "start", "nbytes", "unit", "rows", F.array_join("dims", ",").alias("dims"))

@@ -77,6 +77,13 @@ def _schema(hdu: files.Hdu, options: dict) -> pa.Schema:
     return pa.schema(([("_row", pa.int64())] if options.get("rowid") == "true" else []) + fields)
 
 
+def _fits_dims(c: tb.Column) -> bool:
+    try:
+        return bool(tb.dims_of(c))
+    except FitsError:
+        return False
+
+
 class FitsSource(DataSource):
     """Options: path (a file, or a folder of files alike), hdu | extname [extver], columns (a,b,...: only these are decoded),
     raw (true: row and its bytes), tiles (true: those of a compressed image as they are stored: tile from 1, data, whole, step, zero), rowid (true: _row from 1 within the file), firstrow, lastrow. Images come as
@@ -99,7 +106,14 @@ class FitsSource(DataSource):
     def schema(self) -> T.StructType:
         from pyspark.sql.pandas.types import from_arrow_schema
 
-        return from_arrow_schema(self.arrow_schema())
+        hdu = self._hdu()[1]
+        out = from_arrow_schema(_schema(hdu, self.options))
+        if hdu.kind != "image" and self.options.get("raw") != "true":
+            about = {c.name: c for c in tb.layout(hdu.header).columns}
+            for f in out.fields:
+                if c := about.get(f.name):
+                    f.metadata = {k: v for k, v in (("tunit", c.unit), ("tdim", c.dim)) if v}
+        return out
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return FitsReader(dict(self.options), self.arrow_schema())
@@ -310,7 +324,7 @@ class Part(WriterCommitMessage):
 
 class FitsWriter(DataSourceArrowWriter):
     """One file of each task, or with single=true one in all. Options: path, tform (JSON: column to format), tunit, tdim, tnull,
-    tscal, tzero (JSON too), extname, kind=binary|ascii, compression=gzip, checksum=true, single=true. Without a format strings
+    tscal, tzero (JSON too; tunit and tdim else by the columns' metadata, which reading a table sets), extname, kind=binary|ascii, compression=gzip, checksum=true, single=true. Without a format strings
     and arrays become cells of variable length. cards (JSON: {"cards": [[name, value, comment]]}) end the header. Tasks write whole files
     beside the target and committing renames them; with single=true the driver joins the tasks' rows and heaps. The target is a mounted folder or any
     store that Arrow knows (mounted=false: treat it as one); there a task writes its rows before its file, as nothing can be written over."""
@@ -332,7 +346,12 @@ class FitsWriter(DataSourceArrowWriter):
             else:
                 form = tb.parse_tform(text)
                 form.letter, zero = tb.STORED.get(form.letter, (form.letter, 0))
-            c = tb.Column(f.name, form, given["tscal"].get(f.name, 1), given["tzero"].get(f.name, zero), given["tnull"].get(f.name), at, given["tunit"].get(f.name, ""), given["tdim"].get(f.name, ""))
+            known = {k: given[k].get(f.name, (f.metadata or {}).get(k, "")) for k in ("tunit", "tdim")}
+            c = tb.Column(f.name, form, given["tscal"].get(f.name, 1), given["tzero"].get(f.name, zero), given["tnull"].get(f.name), at, known["tunit"], known["tdim"])
+            if f.name in given["tdim"]:
+                tb.dims_of(c)
+            elif not self.ascii and not _fits_dims(c):
+                c.dim = ""
             self.columns.append(c)
             at += form[1] + 1 if self.ascii else form.nbytes
         self.stage = f"{self.path}.tmp-{uuid.uuid4().hex}"
@@ -560,6 +579,34 @@ def fits_hdus(spark: SparkSession, path: str) -> DataFrame:
     return paths.mapInArrow(run, "path string, hdu int, type string, extname string, header_start long, data_start long, data_bytes long")
 
 
+def fits_columns(spark: SparkSession, path: str) -> DataFrame:
+    """One row per column of each table of each file, pos from 1; dims by TDIM, null where it does not fit the format."""
+    paths = spark.createDataFrame([(p,) for p in files.list_files(path)], "path string")
+    kinds = pa.schema(
+        [("path", pa.string()), ("hdu", pa.int32()), ("extname", pa.string()), ("rows", pa.int64()), ("pos", pa.int32()), ("name", pa.string()), ("tform", pa.string())]
+        + [("start", pa.int64()), ("nbytes", pa.int64()), ("unit", pa.string()), ("scale", pa.float64()), ("zero", pa.float64()), ("dims", pa.list_(pa.int64()))]
+    )
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for p in b.column(0).to_pylist():
+                with files.open_bytes(p) as f:
+                    for x in files.scan(f):
+                        if x.kind == "image":
+                            continue
+                        lay = tb.layout(x.header)
+                        for i, c in enumerate(lay.columns, 1):
+                            size = c.form[1] if isinstance(c.form, tuple) else c.form.nbytes
+                            about = {"name": c.name, "tform": x.header.string(f"TFORM{i}").strip(), "start": c.offset, "nbytes": size, "unit": c.unit or None, "scale": c.scale, "zero": c.zero}
+                            rows.append({"path": p, "hdu": x.number, "extname": x.header.get("EXTNAME"), "rows": lay.rows, "pos": i, "dims": tb.dims_of(c) if _fits_dims(c) else None, **about})
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    return paths.mapInArrow(run, from_arrow_schema(kinds))
+
+
 def fits_headers(spark: SparkSession, path: str) -> DataFrame:
     """One row per card, in order of idx, from 1."""
     from ..format import cards as C
