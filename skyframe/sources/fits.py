@@ -339,6 +339,8 @@ class FitsWriter(DataSourceArrowWriter):
         self.ascii = options.get("kind") == "ascii"
         self.cards = json.loads(options.get("cards", "{}")).get("cards", [])
         self.columns, at = [], 0
+        if len(schema.fields) > 999:
+            raise FitsError(216, f"{len(schema.fields)} columns")
         for f in schema.fields:
             text = given["tform"].get(f.name) or default_tform(f.dataType, self.ascii)
             if self.ascii:
@@ -496,18 +498,19 @@ class FitsWriter(DataSourceArrowWriter):
 
 
 def default_tform(t: T.DataType, ascii_: bool = False) -> str:
+    """The format of a type; those that cells can't hold, such as dates, decimals with a fraction and arrays of texts: status 410."""
     one = {T.BooleanType: "L", T.ByteType: "S", T.ShortType: "I", T.IntegerType: "J", T.LongType: "K", T.FloatType: "E", T.DoubleType: "D", T.TimestampType: "K", T.TimestampNTZType: "K"}
     if ascii_:
         return {T.StringType: "A32", T.FloatType: "E16.8", T.DoubleType: "D25.16"}.get(type(t), "I20")
     if type(t) in one:
         return "1" + one[type(t)]
-    if isinstance(t, T.DecimalType):
+    if isinstance(t, T.DecimalType) and t.scale == 0:
         return "1W"
     if isinstance(t, (T.StringType, T.BinaryType)):
         return "1PA" if isinstance(t, T.StringType) else "1PB"
     if isinstance(t, T.StructType):
         return "1C" if isinstance(t.fields[0].dataType, T.FloatType) else "1M"
-    if isinstance(t, T.ArrayType):
+    if isinstance(t, T.ArrayType) and not isinstance(t.elementType, (T.ArrayType, T.StringType, T.BinaryType)):
         return "1PX" if isinstance(t.elementType, T.BooleanType) else "1P" + default_tform(t.elementType)[-1]
     raise FitsError(410, t.simpleString())
 

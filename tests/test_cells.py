@@ -5,9 +5,11 @@ from decimal import Decimal
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from skyframe.format import tables as tb
 from skyframe.format.status import FitsError
+from skyframe.sources.fits import read_fits, write_fits
 
 
 def round_trip(form, array, kind=None):
@@ -98,3 +100,20 @@ def test_ascii_fields():
     for bad, code in ((pa.array([123456]), "412"), (pa.array([None], pa.int32()), "314")):
         with pytest.raises(FitsError, match=code):
             tb.encode_ascii([tb.Column("i", ("I", 5, 0), 1, 0, None, 0)], pa.RecordBatch.from_arrays([bad], names=["i"]))
+
+
+@pytest.mark.parametrize(
+    "sql, code", [("array('a')", 410), ("array(array(1))", 410), ("cast(1.25 as decimal(10, 2))", 410), ("date'2020-01-02'", 410), ("map(1, 2)", 410)]
+)
+def test_types_without_cells(spark, tmp_path, sql, code):
+    with pytest.raises(Exception, match=str(code)):
+        write_fits(spark.sql(f"select {sql} as x"), str(tmp_path / "t"))
+    assert not list(tmp_path.iterdir())
+
+
+def test_most_columns(spark, tmp_path):
+    d = spark.range(1).select(*[F.lit(i).alias(f"c{i}") for i in range(1000)])
+    with pytest.raises(Exception, match="216"):
+        write_fits(d, str(tmp_path / "t"))
+    write_fits(d.drop("c3"), str(tmp_path / "t"))
+    assert read_fits(spark, str(tmp_path / "t")).select("c999").first()[0] == 999
